@@ -154,6 +154,34 @@ VIEWS: dict[str, str] = {
                concat('{"x":', cast(l_linenumber AS string), ',"y":', cast(l_partkey % 100 AS string), '}') AS source_bbox,
                concat(substr(cast(l_shipdate AS string), 1, 10), 'T10:00:00Z') AS created_at
         FROM {lineitem}""".replace('{"x":', '{{"x":').replace("'}')", "'}}')"),
+    # Evidence for recorded cases, one row per order line, every type filled in.
+    "evidence": """
+        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS evaluation_id,
+               cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
+               l_orderkey AS bidder_id, l_partkey AS criterion_id,
+               l_linenumber <> 7 AS has_value,
+               CASE WHEN l_linenumber IN (6, 7) THEN NULL ELSE cast(floor(l_extendedprice) AS bigint) END AS amount,
+               cast(floor(l_extendedprice) AS double) / 4 AS raw_value, 'rupees' AS unit,
+               CASE WHEN l_linenumber % 3 = 0 THEN '2023-24' ELSE NULL END AS fiscal_year,
+               l_quantity > 10 AS found,
+               CASE WHEN l_quantity > 10 THEN concat('REG', cast(l_suppkey AS string)) ELSE NULL END AS registration_number,
+               CASE l_partkey % 3 WHEN 0 THEN 'gst' WHEN 1 THEN 'pan' ELSE NULL END AS certificate_type,
+               CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE substr(cast(l_shipdate AS string), 1, 10) END AS validity_date,
+               CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE l_returnflag <> 'R' END AS is_valid,
+               l_linenumber AS project_count,
+               CASE l_suppkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END AS model_verdict,
+               round(cast(l_quantity / 50 AS double), 6) AS model_confidence,
+               CASE l_suppkey % 2 WHEN 0 THEN 'PASS' ELSE 'REVIEW' END AS rules_verdict,
+               'partial' AS agreement,
+               round(1 - 6 * l_discount, 6) AS extraction_confidence,
+               round(1 - 5 * l_discount, 6) AS ocr_confidence,
+               CASE WHEN l_linenumber = 7 THEN 'none' ELSE 'deterministic' END AS evaluation_method,
+               l_linenumber % 5 = 0 AS entity_match_flag,
+               concat('Registered ', cast(l_suppkey AS string)) AS registered_name,
+               concat('Seen ', cast(l_suppkey AS string)) AS extracted_name,
+               CASE WHEN l_linenumber % 2 = 1 THEN l_linenumber ELSE NULL END AS source_page_number,
+               CASE WHEN l_linenumber % 3 = 1 THEN concat('bid_', cast(l_orderkey AS string), '.pdf') ELSE NULL END AS source_filename
+        FROM {lineitem}""",
     # Officer decisions on evaluations, several per case now and then, some invalid on purpose.
     "decisions": """
         SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber + CASE WHEN l_partkey % 41 = 0 THEN 100 ELSE 0 END AS string)) AS evaluation_id,
