@@ -135,7 +135,7 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 7 WHEN 0 THEN 'extracted' WHEN 1 THEN 'reviewed' ELSE 'approved' END AS status
         FROM {{part}}""",
     "evaluations": """
-        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS evaluation_id,
+        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(floor(l_extendedprice) AS bigint) AS string)) AS evaluation_id,
                cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
                l_orderkey AS bidder_id, l_partkey AS criterion_id,
                CASE WHEN l_returnflag = 'R' THEN 'FAIL' WHEN l_returnflag = 'A' THEN 'PASS'
@@ -156,7 +156,7 @@ VIEWS: dict[str, str] = {
         FROM {lineitem}""".replace('{"x":', '{{"x":').replace("'}')", "'}}')"),
     # Evidence for recorded cases, one row per order line, every type filled in.
     "evidence": """
-        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS evaluation_id,
+        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(floor(l_extendedprice) AS bigint) AS string)) AS evaluation_id,
                cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
                l_orderkey AS bidder_id, l_partkey AS criterion_id,
                l_linenumber <> 7 AS has_value,
@@ -184,16 +184,22 @@ VIEWS: dict[str, str] = {
         FROM {lineitem}""",
     # Officer decisions on evaluations, several per case now and then, some invalid on purpose.
     "decisions": """
-        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber + CASE WHEN l_partkey % 41 = 0 THEN 100 ELSE 0 END AS string)) AS evaluation_id,
-               concat(cast(l_orderkey AS string), '/', cast(l_linenumber AS string), '/', cast(l_partkey AS string)) AS decision_id,
-               CASE l_partkey % 9 WHEN 0 THEN 'maybe' WHEN 1 THEN 'override' WHEN 2 THEN 'override' WHEN 3 THEN 'override' ELSE 'confirm' END AS decision,
-               concat('officer-', cast(l_suppkey % 7 AS string)) AS officer_id,
-               CASE WHEN l_partkey % 9 = 1 THEN NULL WHEN l_partkey % 9 = 2 THEN 'equivalent evidence' WHEN l_partkey % 9 = 3 THEN '  '
+        SELECT concat(evaluation_id, CASE WHEN criterion_id % 41 = 0 THEN 'x' ELSE '' END) AS evaluation_id,
+               concat(evaluation_id, '/1') AS decision_id,
+               CASE criterion_id % 9 WHEN 0 THEN 'maybe' WHEN 1 THEN 'override' WHEN 2 THEN 'override' WHEN 3 THEN 'override' ELSE 'confirm' END AS decision,
+               concat('officer-', cast(amount % 7 AS string)) AS officer_id,
+               CASE WHEN criterion_id % 9 = 1 THEN NULL WHEN criterion_id % 9 = 2 THEN 'equivalent evidence' WHEN criterion_id % 9 = 3 THEN '  '
                     ELSE 'accepted' END AS reason,
-               concat(substr(cast(l_shipdate AS string), 1, 10), 'T12:00:00Z') AS decided_at
-        FROM {lineitem}""",
+               concat(substr(created_at, 1, 10), 'T12:00:00Z') AS decided_at
+        FROM {evaluations}
+        UNION ALL
+        SELECT evaluation_id, concat(evaluation_id, '/2') AS decision_id,
+               CASE criterion_id % 4 WHEN 0 THEN 'override' WHEN 1 THEN 'maybe' ELSE 'confirm' END AS decision,
+               concat('officer-', cast(amount % 5 AS string)) AS officer_id, 'second look' AS reason,
+               concat(substr(created_at, 1, 10), CASE WHEN amount % 2 = 0 THEN 'T11:00:00Z' ELSE 'T13:00:00Z' END) AS decided_at
+        FROM {evaluations} WHERE amount % 3 = 0""",
     "second_decisions": """
-        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS evaluation_id,
+        SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(floor(l_extendedprice) AS bigint) AS string)) AS evaluation_id,
                concat('officer-', cast(l_partkey % 5 AS string)) AS officer_id,
                CASE l_partkey % 6 WHEN 0 THEN 'reject' WHEN 1 THEN 'later' ELSE 'approve' END AS decision,
                concat(substr(cast(l_shipdate AS string), 1, 10), 'T15:00:00Z') AS decided_at
@@ -243,7 +249,7 @@ VIEWS: dict[str, str] = {
     "bid_pages": f"""
         SELECT concat('B', {_txt('o_orderkey')}) AS document_id, cast(floor(o_orderkey / 10) AS bigint) AS tender_id,
                o_orderkey AS bidder_id, CASE WHEN o_orderkey % 3 = 0 THEN 'certificate' ELSE 'bidder_submission' END AS doc_type,
-               concat(substr(cast(o_orderdate AS string), 1, 10), 'T07:00:00Z') AS uploaded_at, 0 AS page_number,
+               concat(substr(cast(o_orderdate AS string), 1, 10), 'T07:00:00Z') AS uploaded_at, cast(0 AS bigint) AS page_number,
                round(cast(0.4 AS double) + cast(o_orderkey % 60 AS double) / 100, 6) AS ocr_confidence,
                concat(
                  CASE WHEN o_orderkey % 13 = 5 THEN 'Bid documents' WHEN o_orderkey % 11 = 3 THEN concat('M/s ', {_company('(o_orderkey + 1)')})
@@ -261,7 +267,7 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT concat('B', {_txt('l_orderkey')}) AS document_id, cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
                l_orderkey AS bidder_id, CASE WHEN l_orderkey % 3 = 0 THEN 'certificate' ELSE 'bidder_submission' END AS doc_type,
-               '' AS uploaded_at, l_linenumber AS page_number,
+               '' AS uploaded_at, l_linenumber * cast(1000000000 AS bigint) + l_partkey AS page_number,
                round(cast(0.4 AS double) + l_quantity / 100, 6) AS ocr_confidence,
                CASE WHEN l_linenumber = 4 THEN '' ELSE
                  concat('Supply order ', {_txt('l_partkey')}, ' to depot',
@@ -270,13 +276,13 @@ VIEWS: dict[str, str] = {
         FROM {{lineitem}}""",
     # Tables found in bid documents: a header row (0) and one row per order line.
     "bid_table_rows": f"""
-        SELECT l_orderkey AS bidder_id, cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
-               concat('B', {_txt('l_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, 0 AS row_index,
+        SELECT o_orderkey AS bidder_id, cast(floor(o_orderkey / 10) AS bigint) AS tender_id,
+               concat('B', {_txt('o_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, cast(0 AS bigint) AS row_index,
                'Nature of work' AS cell_1, 'Order Value' AS cell_2, 'Date of completion' AS cell_3
-        FROM {{lineitem}} WHERE l_linenumber = 1 AND l_orderkey % 4 = 0
+        FROM {{orders}} WHERE o_orderkey % 4 = 0
         UNION ALL
         SELECT l_orderkey AS bidder_id, cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
-               concat('B', {_txt('l_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, l_linenumber AS row_index,
+               concat('B', {_txt('l_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, l_linenumber * cast(1000000000 AS bigint) + l_partkey AS row_index,
                CASE l_linenumber WHEN 3 THEN '' WHEN 5 THEN 'Annual turnover' ELSE concat('Supply lot ', {_txt('l_partkey')}) END AS cell_1,
                CASE WHEN l_linenumber = 2 THEN '' WHEN l_linenumber = 6 THEN concat('Rs. ', {_txt('cast(floor(l_quantity) AS bigint)')})
                     ELSE concat('Rs. ', {_txt('cast(floor(l_quantity) AS bigint)')}, ' lakh') END AS cell_2,
@@ -431,6 +437,11 @@ def with_views(names: str, sql: str) -> str:
         for name in ordered
     ]
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    head = "WITH "
+    if body.startswith("WITH RECURSIVE "):
+        head, body = "WITH RECURSIVE ", body[len("WITH RECURSIVE ") :]
+    elif body.startswith("WITH "):
+        body = body[len("WITH ") :]
+    else:
+        return head + ",\n".join(ctes) + "\n" + body
+    return head + ",\n".join([*ctes, body])
