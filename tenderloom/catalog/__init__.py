@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "evaluation",
     "reporting",
+    "documents",
 ]
 
 
