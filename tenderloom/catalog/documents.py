@@ -371,7 +371,7 @@ def rupees(spark, d):
 @query("C10_normalise_doc_key", "nit_pages", f"WITH {_CLAUSES}, every AS ({_CAT_ALL}) SELECT document, {_doc_key('document')} AS doc_key, count(*) AS n FROM every GROUP BY ALL")
 def normalise_doc_key(spark, d):
     mentions = F.explode(F.concat(*[F.regexp_extract_all("body", F.lit(p), F.lit(1)) for p in P.CATEGORICAL_PATTERNS]))
-    rows = nit_clauses(spark, d).select(F.trim(mentions).alias("document"))
+    rows = nit_clauses(spark, d).select(mentions.alias("document")).withColumn("document", F.trim("document"))
     rows = rows.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("document", C.normalise_doc_key(F.col("document")).alias("doc_key"), "n")
 

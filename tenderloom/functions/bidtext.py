@@ -56,6 +56,7 @@ def _amount(text: Column, pattern: str, whole: Column) -> Column:
                     F.when(F.length(unit) > 0, unit).otherwise(F.lit("rupees")).alias("unit"),
                     year.alias("fiscal_year"),
                     F.round(base + F.when(year.isNotNull(), F.lit(0.05)).otherwise(F.lit(0.0)), 6).alias("confidence"),
+                    F.when(F.lit(pattern != P.CURRENCY_AMOUNT), 0).when(at > 0, 2).otherwise(1).alias("quality"),
                 ),
             )
 
@@ -104,28 +105,33 @@ def _month_number(name: Column) -> Column:
     return F.array_position(months, F.substring(F.lower(name), 1, 3))
 
 
-def date_by_family(text: Column) -> list[Column]:
-    """The first match of each date family, null when absent or not a calendar date."""
+_FAMILIES = [(P.DATE_DMY, 3, 2, 1), (P.DATE_YMD, 1, 2, 3), (P.DATE_DMONY, 3, 2, 1), (P.DATE_MONY, 2, 1, 0)]
 
-    def family(pattern: str, year: int, month: int, day: int) -> Column:
-        named = pattern in (P.DATE_DMONY, P.DATE_MONY)
 
-        def build(m: Column) -> Column:
-            month_text = group(m, pattern, month)
-            return _iso(
-                group(m, pattern, year),
-                _month_number(month_text) if named else month_text,
-                group(m, pattern, day) if day else F.lit("1"),
-            )
+def date_matches(text: Column) -> list[Column]:
+    """The first matching text of each date family, null when absent."""
+    return [null_if_empty(group(text, pattern, 0)) for pattern, *_ in _FAMILIES]
+
 
-        return let(null_if_empty(group(text, pattern, 0)), build)
+def date_of_match(family: int, match: Column) -> Column:
+    """ISO date of a match of one family, null when it is not a calendar date."""
+    pattern, year, month, day = _FAMILIES[family]
+    named = pattern in (P.DATE_DMONY, P.DATE_MONY)
+
+    def build(m: Column) -> Column:
+        month_text = group(m, pattern, month)
+        return _iso(
+            group(m, pattern, year),
+            _month_number(month_text) if named else month_text,
+            group(m, pattern, day) if day else F.lit("1"),
+        )
 
-    return [
-        family(P.DATE_DMY, 3, 2, 1),
-        family(P.DATE_YMD, 1, 2, 3),
-        family(P.DATE_DMONY, 3, 2, 1),
-        family(P.DATE_MONY, 2, 1, 0),
-    ]
+    return let(match, build)
+
+
+def date_by_family(text: Column) -> list[Column]:
+    """The date of the first match of each family, null when absent or impossible."""
+    return [date_of_match(i, m) for i, m in enumerate(date_matches(text))]
 
 
 def first_iso_date(text: Column) -> Column:
@@ -182,16 +188,25 @@ def clean_company_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(trimmed, rf"^(?i)(?:(?:{fillers})(?:\s+|$))+", ""))
 
 
-def company_name(text: Column) -> Column:
-    """Name after M/s with a legal suffix, else any suffixed name, else a bare M/s name."""
+def company_name_candidate(text: Column) -> Column:
+    """Struct of preference (0 best) and cleaned name, null when no pattern hits."""
     bare = F.get(F.split(group(text, P.NAME_AFTER_MS, 1), P.NAME_CUT, 2), F.lit(0))
-    return F.coalesce(
-        F.when(text.rlike(P.NAME_AFTER_MS_LEGAL), clean_company_name(group(text, P.NAME_AFTER_MS_LEGAL, 1))),
-        F.when(text.rlike(P.NAME_WITH_SUFFIX), clean_company_name(group(text, P.NAME_WITH_SUFFIX, 1))),
-        F.when(text.rlike(P.NAME_AFTER_MS), clean_company_name(bare)),
+
+    def found(rank: int, name: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), clean_company_name(name).alias("name"))
+
+    return (
+        F.when(text.rlike(P.NAME_AFTER_MS_LEGAL), found(0, group(text, P.NAME_AFTER_MS_LEGAL, 1)))
+        .when(text.rlike(P.NAME_WITH_SUFFIX), found(1, group(text, P.NAME_WITH_SUFFIX, 1)))
+        .when(text.rlike(P.NAME_AFTER_MS), found(2, bare))
     )
 
 
+def company_name(text: Column) -> Column:
+    """Name after M/s with a legal suffix, else any suffixed name, else a bare M/s name."""
+    return company_name_candidate(text)["name"]
+
+
 def infer_cert_type(document: Column, criterion_text: Column) -> Column:
     """Identifier kind named by the requirement; substring tests in fixed order."""
     s = F.lower(F.concat_ws(" ", F.coalesce(document, F.lit("")), criterion_text))

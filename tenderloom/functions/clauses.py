@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,12 +40,36 @@ def split_clauses(text: Column) -> Column:
     )
 
 
+# Literals without which a pattern cannot match: a cheap test in front of each regex.
+_HINTS = {
+    **dict(zip(P.NUMERIC_PATTERNS, [["turnover"], ["worth"], ["emd", "earnest", "security"], ["work", "contract", "project"]])),
+    **dict(
+        zip(
+            P.CATEGORICAL_PATTERNS,
+            [
+                ["gst", "goods"], ["pan", "account"], ["iso"], ["msme", "udyam", "ssi", "aadhaar"], ["cin", "corporate"],
+                ["tan", "deduction"], ["epf", "provident", "esi"], ["shop"], ["fssai", "food"], ["drug", "20b"],
+                ["certificate"], ["pollution", "pcc"],
+            ],
+        )
+    ),
+    P.TEMPORAL_COUNT_PATTERN: ["last", "preceding", "previous"],
+    P.TEMPORAL_EXPERIENCE_PATTERN: ["experience"],
+}
+
+
+def hinted_groups(text: Column, lowered: Column, pattern: str, index: int) -> Column:
+    """``groups`` behind the literal test of the pattern; the result is the same."""
+    hit = contains_any(lowered, _HINTS[pattern])
+    return F.when(hit, groups(text, pattern, index)).otherwise(F.array().cast("array<string>"))
+
+
 def classify_type(text: Column) -> Column:
     """Requirement type by the first pattern family that hits."""
     t = F.lower(text)
 
     def hit(ps: list[str]) -> Column:
-        return F.exists(F.array(*[t.rlike(p) for p in ps]), lambda b: b)
+        return reduce(lambda a, b: a | b, [contains_any(t, _HINTS[p]) & t.rlike(p) for p in ps])
 
     return (
         F.when(hit(P.NUMERIC_PATTERNS), "numeric_threshold")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clauses as C
 from ..functions import patterns as P
-from ..functions.common import group, groups, let, parse_amount, to_rupees, word_to_int
+from ..functions.common import group, let, parse_amount, to_rupees, word_to_int
 
 _MATCH = (
     "struct<criterion_type:string,label:string,value:double,unit:string,rupees:bigint,document:string,doc_key:string,"
@@ -33,7 +33,7 @@ def _match(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(_MATCH)
 
 
-def numeric_matches(body: Column) -> Column:
+def numeric_matches(body: Column, lowered: Column) -> Column:
     """One entry per amount requirement, family by family."""
     period = C.measurement_period(body)
 
@@ -45,10 +45,13 @@ def numeric_matches(body: Column) -> Column:
             rupees=to_rupees(value, unit), measurement_period=period,
         )
 
-    return F.concat(*[F.transform(groups(body, p, 0), lambda m, p=p: entry(m, p)) for p in P.NUMERIC_PATTERNS])
+    def family(pattern: str) -> Column:
+        return F.transform(C.hinted_groups(body, lowered, pattern, 0), lambda m: entry(m, pattern))
 
+    return F.concat(*[family(p) for p in P.NUMERIC_PATTERNS])
 
-def temporal_matches(body: Column) -> Column:
+
+def temporal_matches(body: Column, lowered: Column) -> Column:
     """Counted works in a period, and years of experience (count 0)."""
 
     def entry(count: Column, what: Column, period: Column, unit: Column) -> Column:
@@ -59,14 +62,14 @@ def temporal_matches(body: Column) -> Column:
         )
 
     a, b = P.TEMPORAL_COUNT_PATTERN, P.TEMPORAL_EXPERIENCE_PATTERN
-    counted = F.transform(groups(body, a, 0), lambda m: entry(word_to_int(group(m, a, 1)), group(m, a, 2), group(m, a, 3), group(m, a, 4)))
-    years = F.transform(groups(body, b, 0), lambda m: entry(F.lit(0), group(m, b, 1), group(m, b, 2), group(m, b, 3)))
+    counted = F.transform(C.hinted_groups(body, lowered, a, 0), lambda m: entry(word_to_int(group(m, a, 1)), group(m, a, 2), group(m, a, 3), group(m, a, 4)))
+    years = F.transform(C.hinted_groups(body, lowered, b, 0), lambda m: entry(F.lit(0), group(m, b, 1), group(m, b, 2), group(m, b, 3)))
     return F.concat(counted, years)
 
 
-def categorical_matches(body: Column) -> Column:
+def categorical_matches(body: Column, lowered: Column) -> Column:
     """Required documents, one entry per canonical key within the clause."""
-    found = F.concat(*[groups(body, p, 1) for p in P.CATEGORICAL_PATTERNS])
+    found = F.concat(*[C.hinted_groups(body, lowered, p, 1) for p in P.CATEGORICAL_PATTERNS])
 
     def first_of_key(docs: Column) -> Column:
         return let(
@@ -96,10 +99,12 @@ def qualitative_match(body: Column) -> Column:
 
 def match_clauses(clauses: DataFrame) -> DataFrame:
     """Every requirement of every clause in emission order; wording only when nothing else hit."""
-    body = F.col("body")
-    strong = F.concat(numeric_matches(body), temporal_matches(body), categorical_matches(body))
-    matches = let(strong, lambda s: F.when(F.size(s) > 0, s).otherwise(qualitative_match(body)))
-    return clauses.select("*", F.posexplode(matches).alias("match_no", "_m")).select(*clauses.columns, "match_no", "_m.*")
+    body, low = F.col("body"), F.col("_low")
+    rows = clauses.withColumn("_low", F.lower(body))
+    strong = F.concat(numeric_matches(body, low), temporal_matches(body, low), categorical_matches(body, low))
+    rows = rows.withColumn("_strong", strong)
+    matches = F.when(F.size("_strong") > 0, F.col("_strong")).otherwise(qualitative_match(body))
+    return rows.select(*clauses.columns, F.posexplode(matches).alias("match_no", "_m")).select(*clauses.columns, "match_no", "_m.*")
 
 
 def threshold_signature() -> Column:

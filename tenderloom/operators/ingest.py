@@ -177,6 +177,8 @@ def assemble_text(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.groupBy(*keys).agg(
         F.array_join(texts, "\n").alias("text"),
         F.coalesce(F.avg("ocr_confidence"), F.lit(0.0)).alias("mean_confidence"),
+        F.coalesce(F.sum("ocr_confidence"), F.lit(0.0)).alias("confidence_sum"),
+        F.count("ocr_confidence").alias("confidence_pages"),
         F.max("uploaded_at").alias("uploaded_at") if "uploaded_at" in pages.columns else F.lit("").alias("uploaded_at"),
     )
 

@@ -437,6 +437,8 @@ def with_views(names: str, sql: str) -> str:
         for name in ordered
     ]
     body = sql.strip()
+    if not ctes:
+        return body
     head = "WITH "
     if body.startswith("WITH RECURSIVE "):
         head, body = "WITH RECURSIVE ", body[len("WITH RECURSIVE ") :]
