@@ -9,6 +9,7 @@ _MODULES = [
     "reporting",
     "documents",
     "bids",
+    "search",
 ]
 
 

@@ -242,24 +242,55 @@ def scope_chunks(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1\x01"), r"\n+", "\x01"), "\x01", -1)
 
 
+# Every place where a project may end its description, found by looking ahead; the match
+# runs from there to the end of the text, so its length gives the position.
+_TAILS = r"(?i)(?=(" + P.PROJECT_TAIL + r"[\s\S]*))"
+_TAIL = r"(?i)" + P.PROJECT_TAIL
+
+
 def prose_projects(text: Column) -> Column:
-    """``ARRAY<STRUCT<description, amount, completion_date, confidence>>`` from running text."""
-    at = lambda i: groups(text, P.PROJECT_IN_PROSE, i)
-    rows = F.arrays_zip(at(1).alias("d"), at(2).alias("v"), at(3).alias("u"), at(4).alias("t"))
+    """``ARRAY<STRUCT<description, amount, completion_date, confidence>>`` from running text.
+
+    Same matches as the one-piece pattern, without its trial of every description length
+    at every character: tails are found first, and each takes the text before it on its
+    line, back to the previous project and at most 120 characters.
+    """
+    shortest, longest = P.PROJECT_DESCRIPTION_LENGTH
+    tails = F.transform(
+        groups(text, _TAILS, 1),
+        lambda rest: F.struct((F.length(text) - F.length(rest)).alias("at"), group(rest, _TAIL, 0).alias("tail")),
+    )
+
+    def take(state: Column, t: Column) -> Column:
+        on_line = F.length(F.substring_index(F.substr(text, F.lit(1), t["at"]), "\n", -1))
+        size = F.least(on_line, t["at"] - state["end"], F.lit(longest))
+        hit = F.struct(F.substr(text, t["at"] - size + 1, size).alias("d"), t["tail"].alias("t"))
+        return F.when(
+            size >= shortest,
+            F.struct((t["at"] + F.length(t["tail"])).alias("end"), F.concat(state["found"], F.array(hit)).alias("found")),
+        ).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<d:string,t:string>>").alias("found"))
+    found = F.aggregate(tails, start, take)["found"]
 
     def project(m: Column) -> Column:
-        raw = parse_amount(m["v"])
-        amount = F.when(F.length(m["u"]) > 0, to_rupees(raw, m["u"])).otherwise(F.rint(raw).cast("bigint"))
-        date = first_iso_date(m["t"])
-        score = 0.55 + F.when(raw.isNotNull(), F.lit(0.2)).otherwise(0.0) + F.when(date.isNotNull(), F.lit(0.1)).otherwise(0.0)
-        return F.struct(
-            F.regexp_replace(collapse(m["d"]), r"^[ \-:–|]+|[ \-:–|]+$", "").alias("description"),
-            amount.alias("amount"),
-            date.alias("completion_date"),
-            F.round(score, 2).alias("confidence"),
+        def shape(p: Column) -> Column:
+            amount = F.when(F.length(p["u"]) > 0, to_rupees(p["raw"], p["u"])).otherwise(F.rint(p["raw"]).cast("bigint"))
+            score = 0.55 + F.when(p["raw"].isNotNull(), F.lit(0.2)).otherwise(0.0) + F.when(p["date"].isNotNull(), F.lit(0.1)).otherwise(0.0)
+            return F.struct(
+                p["d"].alias("description"), amount.alias("amount"), p["date"].alias("completion_date"), F.round(score, 2).alias("confidence")
+            )
+
+        return let(
+            F.struct(
+                F.regexp_replace(collapse(m["d"]), r"^[ \-:–|]+|[ \-:–|]+$", "").alias("d"),
+                parse_amount(group(m["t"], _TAIL, 1)).alias("raw"), group(m["t"], _TAIL, 2).alias("u"),
+                first_iso_date(group(m["t"], _TAIL, 3)).alias("date"),
+            ),
+            shape,
         )
 
-    return F.filter(F.transform(rows, project), lambda p: F.length(p["description"]) > 0)
+    return F.filter(F.transform(found, project), lambda p: F.length(p["description"]) > 0)
 
 
 def header_position(headers: Column, candidates: list[str]) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.bidtext import normalise_company
+from ..functions.common import let
 
 
 def similarity_ratio(a: Column | str, b: Column | str) -> Column:
@@ -56,44 +57,55 @@ def needs_disambiguation(registered: Column, extracted: Column, score: Column) -
     return (score < 1.0) & (F.length(extracted) > 0) & (F.lower(extracted) != F.lower(registered))
 
 
-def _pairs_of_letters(name: Column) -> Column:
-    """Adjacent letter pairs of a name, numbered where they repeat."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
-    return F.transform(
-        pairs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string"))
+def _numbered(items: Column) -> Column:
+    """Array entries numbered where they repeat, so that set operations count repeats."""
+    return let(
+        items,
+        lambda arr: F.transform(
+            arr, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(arr, F.lit(1), i), lambda h: h == g)).cast("string"))
+        ),
     )
 
 
+def _spelling(names: DataFrame) -> DataFrame:
+    """Distinct names with their letters and adjacent letter pairs."""
+    name = F.col("name")
+    distinct = names.select("name").distinct().where(F.length(name) >= 2)
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
+    return distinct.select("name", F.length(name).alias("len"), _numbered(F.split(name, "")).alias("letters"), _numbered(pairs).alias("pairs"))
+
+
 def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:
     """Pairs (a, b) of different names that may reach the threshold; none that does is missing.
 
-    With S = len(a) + len(b), a ratio >= t needs at least t*S/2 matched letters and
-    leaves at most (1-t)*S unmatched ones.  Matched blocks are separated by unmatched
-    letters, so the blocks number at most (1-t)*S + 1 and the names share at least
-    (1.5*t - 1)*S - 1 letter pairs.  Of the pairs of a name sorted by rarity it is thus
-    enough to look at the first (all - required + 1), which leaves out the common ones.
+    With S = len(a) + len(b), a ratio >= t needs at least M = t*S/2 matched letters and
+    leaves at most S - 2M unmatched ones.  Matched blocks are separated by unmatched
+    letters, so there are at most S - 2M + 1 blocks and the names share at least
+    3M - S - 1 letter pairs.  Of the pairs of a name sorted by rarity it is thus enough
+    to join on the first (all - required + 1), which leaves out the common ones; the
+    same counts, and the letters the names share, then remove most joined pairs.
     """
     shortest = threshold / (2.0 - threshold)  # smallest length quotient of two matching names
     share = 1.5 * threshold - 1.0
-
-    def grams(names: DataFrame) -> DataFrame:
-        rows = names.where(F.length("name") >= 2).select("name", F.explode(_pairs_of_letters(F.col("name"))).alias("gram"))
-        return rows.withColumn("len", F.length("name"))
-
-    a, b = grams(left.select(F.col("name")).distinct()), grams(right.select(F.col("name")).distinct())
-    rarity = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    a, b = _spelling(left), _spelling(right)
+    rarity = b.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(rows: DataFrame) -> DataFrame:
-        ranked = rows.join(rarity, "gram", "left").na.fill(0, ["n"])
-        order = W.partitionBy("name").orderBy("n", "gram")
+        ranked = rows.select("*", F.explode("pairs").alias("pair")).join(rarity, "pair", "left").na.fill(0, ["n"])
+        order = W.partitionBy("name").orderBy("n", "pair")
         required = F.greatest(F.lit(1), F.ceil(share * (1.0 + shortest) * F.col("len") - 1.0 - 1e-9))
         ranked = ranked.withColumn("_rank", F.row_number().over(order))
         # Pairs that the other side never has cannot join; they only use up ranks.
-        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + 1) & (F.col("n") > 0)).select("gram", "name", "len")
+        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + 1) & (F.col("n") > 0)).drop("_rank", "n")
 
-    l, r = rare(a).toDF("gram", "a", "la"), rare(b).toDF("gram", "b", "lb")
+    l = rare(a).toDF("pair", "a", "la", "letters_a", "pairs_a")
+    r = rare(b).toDF("pair", "b", "lb", "letters_b", "pairs_b")
+    total = F.col("la") + F.col("lb")
+    matched = F.ceil(total * (threshold / 2.0) - 1e-9)
     near = (F.col("lb") >= F.col("la") * (shortest - 1e-9)) & (F.col("la") >= F.col("lb") * (shortest - 1e-9)) & (F.col("a") != F.col("b"))
-    return l.join(r, "gram").where(near).select("a", "b").distinct()
+    shared_pairs = F.size(F.array_intersect("pairs_a", "pairs_b")) >= 3 * matched - total - 1
+    shared_letters = F.size(F.array_intersect("letters_a", "letters_b")) >= matched
+    return l.join(r, "pair").where(near).where(shared_pairs & shared_letters).select("a", "b").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:

@@ -21,7 +21,7 @@ def evaluation_pairs(bidders: DataFrame, criteria: DataFrame, debarred: DataFram
     if debarred is not None:
         open_bidders = open_bidders.join(debarred.select("bidder_id"), "bidder_id", "left_anti")
     approved = criteria.where(F.col("status") == "approved").drop("status")
-    return open_bidders.drop("status", "debarment_status").join(approved, "tender_id")
+    return open_bidders.select("tender_id", "bidder_id", "company_name").join(approved, "tender_id")
 
 
 def numeric_threshold_rupees() -> Column:

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "tende
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Test tables are tiny: without this AQE folds text work into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TENDERLOOM_DRIVER_MEMORY", "12g"))
     )
