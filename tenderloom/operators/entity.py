@@ -60,10 +60,8 @@ def needs_disambiguation(registered: Column, extracted: Column, score: Column) -
 def _numbered(items: Column) -> Column:
     """Array entries numbered where they repeat, so that set operations count repeats."""
     return let(
-        items,
-        lambda arr: F.transform(
-            arr, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(arr, F.lit(1), i), lambda h: h == g)).cast("string"))
-        ),
+        F.array_sort(items),
+        lambda arr: F.transform(arr, lambda g, i: F.concat(g, F.lit("#"), (i + 2 - F.array_position(arr, g)).cast("string"))),
     )
 
 
@@ -91,21 +89,23 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     rarity = b.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(rows: DataFrame) -> DataFrame:
-        ranked = rows.select("*", F.explode("pairs").alias("pair")).join(rarity, "pair", "left").na.fill(0, ["n"])
+        ranked = rows.select("name", "len", F.explode("pairs").alias("pair")).join(rarity, "pair", "left").na.fill(0, ["n"])
         order = W.partitionBy("name").orderBy("n", "pair")
         required = F.greatest(F.lit(1), F.ceil(share * (1.0 + shortest) * F.col("len") - 1.0 - 1e-9))
         ranked = ranked.withColumn("_rank", F.row_number().over(order))
         # Pairs that the other side never has cannot join; they only use up ranks.
-        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + 1) & (F.col("n") > 0)).drop("_rank", "n")
+        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + 1) & (F.col("n") > 0)).select("pair", "name", "len")
 
-    l = rare(a).toDF("pair", "a", "la", "letters_a", "pairs_a")
-    r = rare(b).toDF("pair", "b", "lb", "letters_b", "pairs_b")
+    l, r = rare(a).toDF("pair", "a", "la"), rare(b).toDF("pair", "b", "lb")
+    near = (F.col("lb") >= F.col("la") * (shortest - 1e-9)) & (F.col("la") >= F.col("lb") * (shortest - 1e-9)) & (F.col("a") != F.col("b"))
+    joined = l.join(r, "pair").where(near).select("a", "b").distinct()
+    # Only now are the letters attached, once per pair of names.
+    full = joined.join(a.toDF("a", "la", "letters_a", "pairs_a"), "a").join(b.toDF("b", "lb", "letters_b", "pairs_b"), "b")
     total = F.col("la") + F.col("lb")
     matched = F.ceil(total * (threshold / 2.0) - 1e-9)
-    near = (F.col("lb") >= F.col("la") * (shortest - 1e-9)) & (F.col("la") >= F.col("lb") * (shortest - 1e-9)) & (F.col("a") != F.col("b"))
     shared_pairs = F.size(F.array_intersect("pairs_a", "pairs_b")) >= 3 * matched - total - 1
     shared_letters = F.size(F.array_intersect("letters_a", "letters_b")) >= matched
-    return l.join(r, "pair").where(near).where(shared_pairs & shared_letters).select("a", "b").distinct()
+    return full.where(shared_pairs & shared_letters).select("a", "b")
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:

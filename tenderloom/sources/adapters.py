@@ -339,7 +339,16 @@ VIEWS: dict[str, str] = {
                CASE c.turn % 3 WHEN 0 THEN 'Goods' WHEN 1 THEN 'Services' ELSE 'Works' END AS tender_category,
                CASE WHEN c.turn % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict,
                CASE WHEN c.turn % 4 = 0 THEN 'override' ELSE 'confirm' END AS officer_action
-        FROM {{conversations}} c""",
+        FROM {{conversations}} c
+        UNION ALL
+        SELECT concat('S', {_txt('p_partkey')}) AS precedent_id,
+               concat(CASE p_partkey % 4 WHEN 0 THEN 'Annual turnover requirement for ' WHEN 1 THEN 'Valid certificate required for '
+                      WHEN 2 THEN 'Completed similar works of ' ELSE 'Technical capacity needed for ' END, p_name) AS criterion_text,
+               concat('Accepted with ', p_type, ' evidence for ', p_name) AS resolved_interpretation,
+               {{seg4}} AS department,
+               CASE p_partkey % 3 WHEN 0 THEN 'Goods' WHEN 1 THEN 'Services' ELSE 'Works' END AS tender_category,
+               'PASS' AS verdict, 'confirm' AS officer_action
+        FROM {{part}} WHERE p_size > 40""",
     # Query texts for precedent search: whole prose documents with a scope.
     "precedent_queries": f"""
         SELECT doc_id AS query_id, text AS query_text,
@@ -395,7 +404,7 @@ def _segment(key: str) -> str:
     )
 
 
-VIEWS["precedents"] = VIEWS["precedents"].replace("{seg}", _segment("item_id")).replace("{seg2}", _segment("(c.conv_id + c.turn)"))
+VIEWS["precedents"] = VIEWS["precedents"].replace("{seg}", _segment("item_id")).replace("{seg2}", _segment("(c.conv_id + c.turn)")).replace("{seg4}", _segment("p_partkey"))
 VIEWS["precedent_queries"] = VIEWS["precedent_queries"].replace("{seg3}", _segment("doc_id"))
 
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
