@@ -100,10 +100,10 @@ def ascii_escape(text: Column) -> Column:
         code = F.ascii(c).cast("bigint")
         high = F.lit(0xD800) + F.shiftright(code - F.lit(0x10000), 10)
         low = F.lit(0xDC00) + ((code - F.lit(0x10000)) % F.lit(1024))
-        return F.when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        return F.when(code < 127, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
 
     escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
-    return F.when(text.rlike(r"[^\x00-\x7f]"), escaped).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7e]"), escaped).otherwise(text)
 
 
 def json_string(text: Column) -> Column:

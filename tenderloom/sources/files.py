@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
+    """A new folder for one run in the shared folder the cluster names.
+
+    A local folder is used only where none is set, as in tests.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder if folder else tempfile.mkdtemp(prefix="tenderloom-")
+    return f"{folder}/tenderloom-{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="tenderloom-")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
