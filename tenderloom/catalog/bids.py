@@ -457,5 +457,4 @@ def evaluate_all(spark, d):
 
 @query("H12_evaluation_summary")
 def evaluation_summary(spark, d):
-    run = full_run(spark, d)
-    return run.summary.join(run.tender_status, "tender_id").select("tender_id", "evaluations", "auto_committed", run.summary["pending"], "new_status")
+    return full_run(spark, d).summary

@@ -85,7 +85,8 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     """
     shortest = threshold / (2.0 - threshold)  # smallest length quotient of two matching names
     share = 1.5 * threshold - 1.0
-    a, b = _spelling(left), _spelling(right)
+    # Each side is read three times below; distinct names are few next to the rows behind them.
+    a, b = _spelling(left).persist(), _spelling(right).persist()
     rarity = b.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(rows: DataFrame) -> DataFrame:

@@ -291,7 +291,8 @@ def extract_evidence(
     """
     from .entity import match_entity
 
-    facts = document_facts(documents)
+    # The text is read once: five branches start from these rows, which hold no text.
+    facts = document_facts(documents).persist()
     profile = bidder_profile(facts, as_of)
     known = ["numeric_threshold", "categorical_presence", "temporal_recency", "qualitative_assessment"]
     other = pairs.where(~F.col("criterion_type").isin(*known)).join(profile.select("bidder_id", "found_name"), "bidder_id", "left")
