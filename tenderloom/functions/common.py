@@ -112,16 +112,20 @@ def json_string(text: Column) -> Column:
     def control(t: Column) -> Column:
         for raw, esc in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
             t = F.replace(t, F.lit(raw), F.lit(esc))
-        rest = F.transform(
-            F.split(t, ""),
-            lambda c: F.when(
-                F.ascii(c) < 32, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c).cast("bigint"))), 4, "0"))
-            ).otherwise(c),
-        )
-        return F.when(t.rlike(r"[\x01-\x1f]"), F.array_join(rest, "")).otherwise(t)
+
+        def others(u: Column) -> Column:
+            rest = F.transform(
+                F.split(u, ""),
+                lambda c: F.when(
+                    F.ascii(c) < 32, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c).cast("bigint"))), 4, "0"))
+                ).otherwise(c),
+            )
+            return F.when(u.rlike(r"[\x01-\x1f]"), F.array_join(rest, "")).otherwise(u)
+
+        return let(t, others)
 
     plain = text.rlike(r"^[\x20-\x21\x23-\x5b\x5d-\x7e]*$")
-    body = F.when(plain, text).otherwise(ascii_escape(control(text)))
+    body = F.when(plain, text).otherwise(let(control(text), ascii_escape))
     return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 
@@ -143,7 +147,7 @@ def json_object(fields: dict[str, Column]) -> Column:
 
 def canonical_json(text: Column) -> Column:
     """Sorted keys, compact, ASCII; null when the text is not JSON."""
-    return ascii_escape(F.to_json(F.try_parse_json(text)))
+    return let(F.to_json(F.try_parse_json(text)), ascii_escape)
 
 
 def natural_id(*columns: str) -> Column:
