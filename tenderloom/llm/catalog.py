@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import boosting, isolation
-from .common import table
+from . import boosting, isolation, linededup, mixing, urlrules
+from .common import table, word_count, written
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.apply_rules(docs, isolation.fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return mixing.mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlrules.RULES, "host string, path string, verdict string")
+    return urlrules.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return boosting.score_quality(docs, boosting.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -20,6 +36,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_url_filters": op5_url_filters,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_source_mixing": mixing.ORACLE,
+    "op5_url_filters": urlrules.ORACLE,
+    "op6_line_dedup": linededup.ORACLE,
+}
