@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, isolation, linededup, mixing, urlrules
-from .common import table, word_count, written
+from . import boosting, isolation, linededup, mixing, planes, urlrules
+from .common import shared_folder, table, word_count, written
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.apply_rules(docs, isolation.fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    path = shared_folder(spark, "token-files")
+    planes.write_ids(table(spark, sf_dir, "documents"), path, lambda: planes.WordEncoder(vocabulary, end_id=2))
+    return planes.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mixing.mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +44,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_files": op3_token_files,
     "op4_source_mixing": op4_source_mixing,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,

@@ -106,3 +106,32 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out += words[k : k + n]
     return mixed(out)
+
+
+#: At most so many ranges, and so many sampled keys for each, reach the driver.
+MOST_RANGES, KEYS_A_RANGE = 4096, 30
+
+
+def range_bounds(keys: DataFrame, rows_a_range: int, least: int = 1) -> tuple[list, int]:
+    """Bounds that cut the one column of ``keys`` into ranges of about equal numbers of rows, and the number of ranges.
+
+    They come from a sample of keys: they balance the work and must not touch results. A key that holds
+    many rows can be several bounds.
+    """
+    total = keys.count()
+    n = max(1, min(MOST_RANGES, max(least, -(-total // rows_a_range))))
+    name = keys.columns[0]
+    found = sorted(r[0] for r in keys.where(F.col(name).isNotNull()).sample(min(1.0, KEYS_A_RANGE * n / max(total, 1)), seed=1).collect())
+    return ([found[len(found) * i // n] for i in range(1, n)] if found else []), n
+
+
+def range_number(key: Column, bounds: list) -> Column:
+    """The number of the range of a numeric key, from 0; a null key is in range 0."""
+    cuts = np.array(bounds)
+
+    @F.pandas_udf("int")
+    def number(keys):
+        out = np.searchsorted(cuts, keys.to_numpy(), side="right") if len(cuts) else np.zeros(len(keys))
+        return keys.__class__(np.where(keys.isna(), 0, out).astype(np.int32))
+
+    return number(key)

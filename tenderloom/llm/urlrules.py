@@ -25,10 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import range_bounds
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: At most so many ranges, and so many sampled keys for each, reach the driver: 10 MB of keys.
-MOST_RANGES, KEYS_A_RANGE, ROWS_A_RANGE = 4096, 30, 200_000
+ROWS_A_RANGE = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -83,11 +84,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("pa
     spark = pages.sparkSession
     urls = pages.select(F.struct(*keep).alias("kept"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     key = F.concat(reversed_host(F.col("host")), F.col("path"))
-    total = pages.count()
-    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_A_RANGE)))
-    sampled = urls.select(key.alias("key")).sample(min(1.0, KEYS_A_RANGE * n / max(total, 1)), seed=1)
-    keys = sorted(row[0] for row in sampled.collect())
-    bounds = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    bounds, n = range_bounds(urls.select(key.alias("key")), ROWS_A_RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series, salts: pd.Series) -> pd.Series:
