@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, isolation, linededup, mixing, planes, urlrules
+from . import boosting, isolation, linededup, mixing, planes, simhash, urlrules
 from .common import shared_folder, table, word_count, written
 
 
@@ -42,6 +42,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.score_quality(docs, boosting.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_prints: for doc_id divisible by 100, the other fingerprints of the table within the radius."""
+    found = written(simhash.edited(table(spark, sf_dir, "documents")), "fingerprints")
+    prints = found.select("doc_id", F.col("own_high").alias("high"), F.col("own_low").alias("low"))
+    asked = F.col("doc_id") % 100 == 0
+    near = simhash.find_near(prints, prints.where(asked)).groupBy(F.col("high").alias("own_high"), F.col("low").alias("own_low")).agg(F.count("*").alias("n"))
+    pair = lambda p: (F.col(f"{p}_high"), F.col(f"{p}_low"))
+    return found.join(near, ["own_high", "own_low"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", simhash.shown(*pair("own")).alias("fingerprint"), simhash.shown(*pair("edited")).alias("edited_fingerprint"),
+        simhash.likeness(pair("own"), pair("edited")).alias("near_edited"), simhash.likeness(pair("own"), pair("next")).alias("near_next"),
+        F.when(asked, F.coalesce("n", F.lit(0))).alias("near_prints"),
+    )
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
@@ -49,6 +63,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,

@@ -83,7 +83,7 @@ class WordHashes:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for word in set(words) - known.keys():
+        for word in [w for w in set(words) if w not in known]:
             known[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 

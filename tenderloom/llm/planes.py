@@ -52,7 +52,7 @@ class WordEncoder:
         if len(known) > REMEMBERED:
             known.clear()
         words = [(b or b"").split() for b in blobs]
-        new = list(set().union(*words) - known.keys())
+        new = [w for w in set().union(*words) if w not in known]
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for word, e in zip(new, encoded, strict=True):
             known[word] = np.array(e.ids, "<u4").tobytes()
