@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, isolation, linededup, mixing, planes, simhash, urlrules
+from . import boosting, isolation, jaccard, linededup, mixing, planes, simhash, urlrules
 from .common import shared_folder, table, word_count, written
 
 
@@ -42,6 +42,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.score_quality(docs, boosting.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_prints: for doc_id divisible by 100, the other fingerprints of the table within the radius."""
     found = written(simhash.edited(table(spark, sf_dir, "documents")), "fingerprints")
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {
