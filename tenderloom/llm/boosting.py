@@ -109,18 +109,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     return fit_trees(ratios(counts), sample["quality"].to_numpy(dtype=np.float64), **options)
 
 
-def with_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
-    """All columns of docs and the score of each text, under a name that docs does not have."""
-    if name in docs.columns:
-        raise ValueError(f"documents already have a column {name}")
-
-    @F.pandas_udf("double")
-    def score(texts):
-        hashes, blobs = WordHashes(), [t.encode() if isinstance(t, str) else b"" for t in texts]
-        out = [trees.score(ratios(statistics(blobs[a:b], hashes))) for a, b in slices(blobs)]
-        return texts.__class__(np.concatenate(out) if out else np.zeros(0))
-
-    return docs.withColumn(name, score("text"))
+def keep_good(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose text has a score of ``least`` or more."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            blobs = blobs_of(batch.column("text"))
+            for a, b in slices(blobs):
+                good = trees.score(ratios(statistics(blobs[a:b], hashes))) >= least
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:

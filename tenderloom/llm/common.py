@@ -48,6 +48,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def with_text(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The columns nested in ``row`` with another text, and n_chars, where there is one, to fit."""
+    new = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return rows.select(*(new.get(c, F.col("row")[c].alias(c)) for c in columns))
+
+
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
     """A repeatable number in [0, 1) for a row."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)).cast("double") / float(1 << 53)
