@@ -4,7 +4,8 @@ A page's tags and text slots form a token stream; repeated stretches are folded
 distinct folded streams of a host are aligned one after the other: what one has and the other lacks becomes
 an optional group, texts become slots, and neighbours that are alike become repeated groups. The result is
 the host's wrapper. Its text slots lie in regions (chains of sectioning elements); the wrapper decides which
-container holds the host's articles, and with that which regions are content.
+container holds the host's articles, and with that which regions are content. A page that has nothing in
+its host's container is read by its own.
 
 Alignment runs over distinct streams only, in chunks of at most about ``chunk`` streams a task, whose
 wrappers are aligned again until a host has one; a host with a third of all pages is no hot key. The
@@ -288,8 +289,15 @@ def is_content(region: str, where: str) -> bool:
     return any(p.endswith(".content") if where == "content" else p.partition(".")[0] == where for p in parts)
 
 
+def article(page: str, where: str) -> str:
+    """The text of a page by its host's container, or by its own if it has nothing there."""
+    text = extracted(page, where)
+    own = where if text else container(skeleton(page))
+    return text if own == where else extracted(page, own)
+
+
 def extracted(page: str, where: str) -> str:
-    """The article of a page whose host keeps its articles in ``where``."""
+    """The article of a page whose articles lie in ``where``."""
     walk, blocks, own = Walk(), [], []
     known: dict[str, bool] = {}
 
@@ -362,7 +370,7 @@ def extract_pages(pages: DataFrame, chunk: int = 200) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extracted(h, c) if h else "" for h, c in zip(batch.column("html").to_pylist(), batch.column("container").to_pylist(), strict=True)]
+            texts = [article(h, c) if h else "" for h, c in zip(batch.column("html").to_pylist(), batch.column("container").to_pylist(), strict=True)]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("container")]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "container"])
 
