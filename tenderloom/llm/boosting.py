@@ -115,9 +115,9 @@ def keep_good(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            blobs = blobs_of(batch.column("text"))
-            for a, b in slices(blobs):
-                good = trees.score(ratios(statistics(blobs[a:b], hashes))) >= least
+            for a, b in slices(batch.column("text")):
+                blobs = blobs_of(batch.column("text").slice(a, b - a))
+                good = trees.score(ratios(statistics(blobs, hashes))) >= least
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
     return docs.mapInArrow(kept, docs.schema)
@@ -129,9 +129,9 @@ def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            blobs = blobs_of(batch.column("text"))
-            for a, b in slices(blobs):
-                score = trees.score(ratios(statistics(blobs[a:b], hashes)))
+            for a, b in slices(batch.column("text")):
+                blobs = blobs_of(batch.column("text").slice(a, b - a))
+                score = trees.score(ratios(statistics(blobs, hashes)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score)], ["doc_id", "score"])
 
     found = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")

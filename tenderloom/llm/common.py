@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +64,17 @@ def blobs_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(blobs: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most so many bytes, at least one row each."""
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of the rows of a text column with at most so many bytes, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = size = 0
-    for i, blob in enumerate(blobs):
-        n = len(blob or b"")
+    for i, n in enumerate(sizes):
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(blobs):
-        yield start, len(blobs)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 class WordHashes:
@@ -115,16 +116,17 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 #: At most so many ranges, and so many sampled keys for each, reach the driver.
-MOST_RANGES, KEYS_A_RANGE = 4096, 30
+MOST_RANGES, KEYS_A_RANGE = 32_768, 20
 
 
-def range_bounds(keys: DataFrame, rows_a_range: int, least: int = 1) -> tuple[list, int]:
+def range_bounds(keys: DataFrame, rows_a_range: int) -> tuple[list, int]:
     """Bounds that cut the one column of ``keys`` into ranges of about equal numbers of rows, and the number of ranges.
 
-    They come from a sample of keys: they balance the work and must not touch results. A key that holds
+    There are as many ranges as shuffle partitions at least. The bounds come from a sample of keys: they balance the work and must not touch results. A key that holds
     many rows can be several bounds.
     """
     total = keys.count()
+    least = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, min(MOST_RANGES, max(least, -(-total // rows_a_range))))
     name = keys.columns[0]
     found = sorted(r[0] for r in keys.where(F.col(name).isNotNull()).sample(min(1.0, KEYS_A_RANGE * n / max(total, 1)), seed=1).collect())

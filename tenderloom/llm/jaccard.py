@@ -73,9 +73,9 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            blobs = blobs_of(batch.column("text"))
-            for a, b in slices(blobs):
-                words = [(x or b"").split() for x in blobs[a:b]]
+            for a, b in slices(batch.column("text")):
+                blobs = blobs_of(batch.column("text").slice(a, b - a))
+                words = [(x or b"").split() for x in blobs]
                 flat, ends = hashes([w for own in words for w in own]), np.cumsum([len(own) for own in words])
                 runs = [runs_of(flat[e - len(own) : e], width) for own, e in zip(words, ends, strict=True)]
                 full = [i for i, r in enumerate(runs) if len(r)]

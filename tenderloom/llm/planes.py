@@ -19,8 +19,11 @@ any length is held whole by one task; only one block waits beside it.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +36,76 @@ from .common import blobs_of, range_bounds, range_number, slices
 CHUNK_IDS = 65_536
 ROWS_A_RANGE = 4_000
 MAGIC = b"TLPL"
-REMEMBERED = 400_000
+#: Words that a task remembers, and words encoded at once; they bound its memory.
+REMEMBERED, AT_ONCE = 250_000, 8_000
+#: Marks that end a word, after a letter.
+MARKED = re.compile(rb"(?<=[a-z])([.,;:!?*&%$#|\"'()-]+)(?![^\x20\x09-\x0D])")
 
 
 class WordEncoder:
-    """Ids of texts as little-endian u32, by a tokenizers file whose words are separated by white space."""
+    """Ids of texts as little-endian u32, by a tokenizers file whose words are separated by white space.
+
+    Where the file marks ends of words, lower-cases, and splits letters from marks, texts are cut between a
+    letter and the marks that end a word as well, and lower-case words of letters are encoded many at a time,
+    past the normaliser and splitter that would not change them. ``_short_cut`` tries this on samples.
+    """
 
     def __init__(self, path: str, end_id: int | None = None) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.known: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.short = bool(suffix)
+        self.short = self.short and self._short_cut()
+
+    def _short_cut(self) -> bool:
+        samples = ["Abc", "word.", "été***", "ÜBER!!", "straße,", "don't.", "x", "a'", "naïve)", "e\u0301t", "ab12%%", "ñ&&&", "日本。", "'s'", "A.b.C!"]
+        shorter = self([x.encode() for x in samples])
+        self.known.clear()
+        return shorter == [ids + self.end for ids in self._whole(samples)]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest = new
+        if self.short:
+            letters = [w for w in new if w.isalpha()]
+            rest = []
+            for word in [w for w in new if not w.isalpha()]:
+                text = word.decode("utf-8", "replace")
+                (letters if text.isalpha() and text == text.lower() and is_normalized("NFC", text) else rest).append(word)
+            lines = [letters[at : at + 64] for at in range(0, len(letters), 64)]
+            for line, e in zip(lines, self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+                ids = ids.tobytes()
+                for word, a, b in zip(line, cuts[:-1], cuts[1:], strict=True):
+                    self.known[word] = ids[a:b]
+        self.known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest]), strict=True))
 
     def __call__(self, blobs: list[bytes | None]) -> list[bytes]:
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        words = [(b or b"").split() for b in blobs]
-        new = [w for w in set().union(*words) if w not in known]
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, e in zip(new, encoded, strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in own]) + self.end for own in words]
+        if self.short:
+            words = [MARKED.sub(rb" \1", (b or b"").lower()).split() for b in blobs]
+        else:
+            words = [(b or b"").split() for b in blobs]
+        own_words = set().union(*words)
+        new = [w for w in own_words if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            # Words of this slice stay, and with them the common ones.
+            self.known = known = {w: known[w] for w in own_words if w in known}
+        for at in range(0, len(new), AT_ONCE):
+            self._learn(new[at : at + AT_ONCE])
+        return [b"".join(map(known.__getitem__, own)) + self.end for own in words]
 
 
 def pack_planes(ids: np.ndarray, bits: int = 8, level: int = 3) -> bytes:
@@ -97,9 +146,9 @@ def unpack_planes(payload: bytes) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[bytes | None]], list[bytes]]], chunk_ids: int = CHUNK_IDS, bits: int = 8, level: int = 3) -> None:
     """Encode rows (doc_id, text) in ascending doc_id order to block files under ``path``."""
     kind = dict(docs.dtypes)["doc_id"]
-    bounds, _ = range_bounds(docs.select("doc_id"), ROWS_A_RANGE)
+    bounds, n_ranges = range_bounds(docs.select("doc_id"), ROWS_A_RANGE)
     dealt = docs.select(range_number(F.col("doc_id"), bounds).alias("range"), "doc_id", "text")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
+    dealt = dealt.repartitionById(n_ranges, "range").sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
     entry = f"struct<doc_id:{kind},start:bigint,n_tokens:bigint,skip:bigint,n:bigint>"
     schema = f"range int, first bigint, n_ids bigint, payload binary, docs array<{entry}>"
 
@@ -120,10 +169,10 @@ def write_ids(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[b
             return row
 
         for batch in batches:
-            ranges, names, blobs = batch.column("range").to_pylist(), batch.column("doc_id"), blobs_of(batch.column("text"))
+            ranges, names = batch.column("range").to_pylist(), batch.column("doc_id")
             doc_type, names = names.type, names.to_pylist()
-            for a, b in slices(blobs):
-                for at, doc_id, ids in zip(ranges[a:b], names[a:b], encode(blobs[a:b]), strict=True):
+            for a, b in slices(batch.column("text")):
+                for at, doc_id, ids in zip(ranges[a:b], names[a:b], encode(blobs_of(batch.column("text").slice(a, b - a))), strict=True):
                     if at != current:
                         if held:
                             yield flush()

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,8 @@ from .common import slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 400_000
+#: Parts that a task remembers, and parts encoded at once; they bound its memory.
+REMEMBERED, AT_ONCE = 200_000, 8_000
 PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -164,12 +166,14 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         tokenizer = self.parts if self.model.divisible else self.whole
-        for part, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        if self.verify is not None:
-            for part, ids in zip(new, self.verify.encode(new, num_threads=self.threads), strict=True):
-                if np.array(ids, "<u4").tobytes() != self.known[part]:
-                    self.odd.add(part)
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            for part, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = array("I", found.ids).tobytes()
+            if self.verify is not None:
+                for part, ids in zip(some, self.verify.encode(some, num_threads=self.threads), strict=True):
+                    if array("I", ids).tobytes() != self.known[part]:
+                        self.odd.add(part)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
         """Ids as little-endian u32, and the number of parts that sentencepiece encodes otherwise."""
@@ -183,7 +187,7 @@ class Codec:
             parts = [[t] if t else [] for t in texts]
         known = self.known
         self._learn([p for p in set().union(*parts) if p not in known])
-        return [(b"".join([known[p] for p in own]), sum(p in self.odd for p in own) if self.odd else 0) for own in parts]
+        return [(b"".join(map(known.__getitem__, own)), sum(p in self.odd for p in own) if self.odd else 0) for own in parts]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -203,10 +207,10 @@ def encode_documents(docs: DataFrame, model: bytes | str, threads: int = 1, veri
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, threads, verify)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                found = codec.encode(texts[a:b])
-                same = [codec.decode(ids) == (t or "") for (ids, _), t in zip(found, texts[a:b], strict=True)]
+            for a, b in slices(batch.column("text")):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                found = codec.encode(texts)
+                same = [codec.decode(ids) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]
                 columns = [pa.array([i for i, _ in found], pa.binary()), pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "ids", "n_tokens", "mismatches", "round_trip"])
 

@@ -68,12 +68,13 @@ def shown(high: Column, low: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows (range, doc_id, text, sent) so that sorting a range by sent and descending doc_id lines up neighbours.
 
-    Rows with ``sent`` are the copies that only serve as the last neighbour of a range.
+    Rows with ``sent`` are the copies that only serve as the last neighbour of a range. The number of ranges
+    comes with them.
     """
-    bounds, _ = range_bounds(docs.select("doc_id"), ROWS_A_RANGE)
+    bounds, n_ranges = range_bounds(docs.select("doc_id"), ROWS_A_RANGE)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     rows = rows.select(range_number(F.col("doc_id"), bounds).alias("range"), "doc_id", "text", "tie", F.lit(0).alias("sent"))
     # One row per range, MOST_RANGES at most; texts join it by the greatest key.
@@ -82,7 +83,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     every = W.orderBy("range")
     above = F.coalesce(F.lead("range").over(every), F.min("range").over(W.partitionBy(F.lit(0))))
     sent = heads.select(above.alias("range"), F.col("top.doc_id").alias("doc_id"), "text", F.col("top.tie").alias("tie"), F.lit(1).alias("sent"))
-    return rows.unionByName(sent)
+    return rows.unionByName(sent), n_ranges
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -92,7 +93,8 @@ def edited(docs: DataFrame) -> DataFrame:
     next document.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = neighbours(docs).repartition("range").sortWithinPartitions("range", "sent", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    rows, n_ranges = neighbours(docs)
+    rows = rows.repartitionById(n_ranges, "range").sortWithinPartitions("range", "sent", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     prints = [f"{p}_{h}" for p in ("own", "edited", "next") for h in ("high", "low")]
     names = ["doc_id", "n_chars", "edited_sha256", *prints]
 

@@ -81,10 +81,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("pa
 
     ``rules`` has host, path and verdict (allow or block).
     """
-    spark = pages.sparkSession
     urls = pages.select(F.struct(*keep).alias("kept"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     key = F.concat(reversed_host(F.col("host")), F.col("path"))
-    bounds, n = range_bounds(urls.select(key.alias("key")), ROWS_A_RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds, n = range_bounds(urls.select(key.alias("key")), ROWS_A_RANGE)
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series, salts: pd.Series) -> pd.Series:
@@ -103,7 +102,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("pa
         F.lit(None).cast(located.schema["kept"].dataType).alias("kept"), "verdict",
     )
     order = [F.col("range"), F.when(F.col("kind") == 0, reversed_host(F.col("host"))).otherwise(key), F.col("kind")]
-    events = located.unionByName(sent).repartition(n, "range").sortWithinPartitions(*order)
+    events = located.unionByName(sent).repartitionById(n, "range").sortWithinPartitions(*order)
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[Level] = []

@@ -403,10 +403,15 @@ def test_find_near(spark):
         assert got == want and want
 
 
-def test_shared_folder_is_read_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        written(spark.range(3), "x").count()
-        assert any(p.name.startswith("llm-x-") for p in tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_read_from_the_session():
+    class Session:
+        """What a session on a cluster says."""
+
+        def __init__(self, folder):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = type("Context", (), {"master": "spark://host"})
+
+
+    assert shared_folder(Session("store://bucket/x/"), "a").startswith("store://bucket/x/llm-a-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(None), "a")
