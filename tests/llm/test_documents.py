@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.llm import boosting, isolation, jaccard, linededup, mixing, planes, sentencepieces, simhash
-from tenderloom.llm.common import WordHashes, table, word_count, written
+from tenderloom.llm.common import WordHashes, shared_folder, table, word_count
 
 from .cases import SCHEMA, documents, frame
 
