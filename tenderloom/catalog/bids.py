@@ -66,7 +66,7 @@ def numeric_terms(spark, d):
     return V.criterion_terms(view(spark, d, "criteria"))
 
 
-_ROWS = """lines AS (SELECT tender_id, bidder_id, document_id, page_number, table_index, row_index, concat(trim(cell_1), ' ', trim(cell_2), ' ', trim(cell_3)) AS line FROM bid_table_rows),
+_ROWS = """lines AS (SELECT tender_id, bidder_id, uploaded_at, document_id, page_number, table_index, row_index, concat(trim(cell_1), ' ', trim(cell_2), ' ', trim(cell_3)) AS line FROM bid_table_rows),
     tt AS (SELECT DISTINCT tender_id, term FROM terms)"""
 _MATCHED = f"""{_TERMS}, {_ROWS}, {D.numeric_value_ctes('lines', 'line', 'ln')},
     hits AS (SELECT ln.*, tt.term FROM ln JOIN tt ON ln.tender_id = tt.tender_id WHERE contains(lower(line), term))"""
@@ -86,7 +86,7 @@ def search_table_rows(spark, d):
     "F4_best_table_numeric",
     "bid_table_rows criteria",
     f"""WITH {_MATCHED} SELECT bidder_id, term, amount, document_id FROM hits WHERE amount IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY bidder_id, term ORDER BY document_id, num_confidence DESC, page_number, table_index, row_index, amount, raw_value) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY bidder_id, term ORDER BY uploaded_at, document_id, num_confidence DESC, page_number, table_index, row_index, amount, raw_value) = 1""",
 )
 def best_table_numeric(spark, d):
     rows = V.best_table_numeric(V.search_table_rows(bid_tables(spark, d), V.criterion_terms(view(spark, d, "criteria"))))
@@ -140,9 +140,10 @@ def company_name(spark, d):
     return bid_documents(spark, d).select("document_id", B.company_name(F.col("text")).alias("company_name"))
 
 
-_TABLE_PROJECTS = f"""pr AS (SELECT bidder_id, document_id, row_index, trim(cell_1) AS description, trim(cell_2) AS vtext, trim(cell_3) AS dtext FROM bid_table_rows WHERE row_index > 0 AND trim(cell_1) <> ''),
+_TABLE_PROJECTS = f"""pr AS (SELECT bidder_id, uploaded_at, document_id, row_index, trim(cell_1) AS description, trim(cell_2) AS vtext, trim(cell_3) AS dtext FROM bid_table_rows b WHERE row_index > 0 AND trim(cell_1) <> ''
+        AND EXISTS (SELECT 1 FROM bid_table_rows h WHERE h.document_id = b.document_id AND h.row_index = 0 AND h.cell_1 = 'Nature of work')),
     {D.numeric_value_ctes('pr', 'vtext', 'pn')},
-    table_projects AS (SELECT bidder_id, document_id, row_index, description, amount, {D.first_date('dtext')} AS completion_date FROM pn)"""
+    table_projects AS (SELECT bidder_id, uploaded_at, document_id, row_index, description, amount, {D.first_date('dtext')} AS completion_date FROM pn)"""
 _PC = "round(0.55 + CASE WHEN amount IS NULL THEN 0.0 ELSE 0.2 END + CASE WHEN completion_date IS NULL THEN 0.0 ELSE {w} END, 2)"
 
 
@@ -201,8 +202,8 @@ def _profile(spark, d):
 # In the bid data a bidder has one file, so the profile of a bidder is that of the file.
 _PAIRS = """pairs AS (SELECT b.bidder_id, b.company_name, c.* EXCLUDE (status) FROM bidders b JOIN criteria c ON b.tender_id = c.tender_id WHERE b.status <> 'excluded' AND c.status = 'approved')"""
 _NUMERIC_EVIDENCE = f"""{_BID}, {_MATCHED}, {_CHUNKS}, {D.numeric_value_ctes('bid_text', 'text', 'nv')},
-    tbest AS (SELECT bidder_id, term, amount, raw_value, unit, fiscal_year, num_confidence, document_id, page_number, table_index, row_index FROM hits WHERE amount IS NOT NULL),
-    options AS (SELECT p.bidder_id, p.criterion_id, 0 AS stage, t.document_id AS k1, -t.num_confidence AS low, t.row_index AS n, t.amount, t.num_confidence, t.document_id, t.page_number FROM pairs p JOIN terms x ON x.criterion_id = p.criterion_id JOIN tbest t ON t.bidder_id = p.bidder_id AND t.term = x.term
+    tbest AS (SELECT bidder_id, term, amount, raw_value, unit, fiscal_year, num_confidence, uploaded_at, document_id, page_number, table_index, row_index FROM hits WHERE amount IS NOT NULL),
+    options AS (SELECT p.bidder_id, p.criterion_id, 0 AS stage, concat(t.uploaded_at, t.document_id) AS k1, -t.num_confidence AS low, t.row_index AS n, t.amount, t.num_confidence, t.document_id, t.page_number FROM pairs p JOIN terms x ON x.criterion_id = p.criterion_id JOIN tbest t ON t.bidder_id = p.bidder_id AND t.term = x.term
         UNION ALL SELECT p.bidder_id, p.criterion_id, 1, '', -s.num_confidence, 0, s.amount, s.num_confidence, NULL, NULL FROM pairs p JOIN terms x ON x.criterion_id = p.criterion_id JOIN (
             SELECT cn.bidder_id, ct.term, cn.* EXCLUDE (bidder_id) FROM cn JOIN ct ON cn.tender_id = ct.tender_id WHERE amount IS NOT NULL AND contains(lower(chunk), ct.term)) s ON s.bidder_id = p.bidder_id AND s.term = x.term
             QUALIFY row_number() OVER (PARTITION BY p.bidder_id, p.criterion_id ORDER BY s.num_confidence DESC, s.uploaded_at, s.document_id, s.chunk_no) = 1),

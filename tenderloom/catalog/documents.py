@@ -140,9 +140,10 @@ def drop_bad_words(spark, d):
     return ocr_words(spark, d)
 
 
-_BID_TEXT = """bid_text AS (SELECT document_id, tender_id, bidder_id, doc_type, string_agg(raw_text, chr(10) ORDER BY page_number, raw_text) FILTER (WHERE raw_text <> '') AS text,
+_SPACED = f"translate(string_agg(raw_text, chr(10) ORDER BY page_number, raw_text) FILTER (WHERE raw_text <> ''), '{P.UNICODE_SPACES}', '{" " * len(P.UNICODE_SPACES)}')"
+_BID_TEXT = f"""bid_text AS (SELECT document_id, tender_id, bidder_id, doc_type, {_SPACED} AS text,
     avg(ocr_confidence) AS mean_confidence, max(uploaded_at) AS uploaded_at FROM bid_pages GROUP BY ALL)"""
-_NIT_TEXT = """nit_text AS (SELECT document_id, tender_id, string_agg(raw_text, chr(10) ORDER BY page_number, raw_text) FILTER (WHERE raw_text <> '') AS text
+_NIT_TEXT = f"""nit_text AS (SELECT document_id, tender_id, {_SPACED} AS text
     FROM nit_pages GROUP BY ALL)"""
 
 
@@ -440,7 +441,7 @@ _EVERY = f"""every AS (
     SELECT document_id, ord, pos, clause_ref, body, 'numeric_threshold' AS criterion_type, concat('num:', label, ':', {D.to_rupees('value', 'unit')}) AS signature, {D.to_rupees('value', 'unit')} AS rupees, {_KINDS} AS kinds, {_period('body')} AS measurement_period FROM num
     UNION ALL SELECT document_id, ord, pos, clause_ref, body, 'temporal_recency', concat('tmp:', cnt, ':', period, ':', period_unit), NULL, 'completion_certificate,work_order', concat(period, ' ', period_unit) FROM tmp
     UNION ALL SELECT document_id, ord, pos, clause_ref, body, 'categorical_presence', concat('doc:', lower(document)), NULL, 'certificate', NULL FROM cat
-    UNION ALL SELECT document_id, ord, 0, clause_ref, body, 'qualitative_assessment', concat('qual:', substr(assessment_text, 1, 60)), NULL, '', NULL FROM qual),
+    UNION ALL SELECT document_id, ord, 0, clause_ref, body, 'qualitative_assessment', concat('qual:', assessment_text), NULL, '', NULL FROM qual),
     kept AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY document_id, criterion_type, signature, clause_ref ORDER BY ord, pos) = 1)"""
 
 
@@ -452,13 +453,13 @@ def dedupe_criteria(spark, d):
 @query(
     "C17_extract_criteria",
     "nit_pages",
-    f"""WITH {_MATCHED}, {_EVERY} SELECT document_id, ord, clause_ref, criterion_type, signature, rupees, {_TRIMMED} AS criterion_text, {_MAND} AS is_mandatory,
+    f"""WITH {_MATCHED}, {_EVERY} SELECT document_id, ord, clause_ref, criterion_type, signature, rupees, {D.collapse('body')} AS criterion_text, {_TRIMMED} AS criterion_display, {_MAND} AS is_mandatory,
         NOT {_MAND} AS gfr_override_permitted, {_RULE} AS gfr_rule_number, kinds AS evidence_types, measurement_period, 'extracted' AS status FROM kept""",
 )
 def extract_criteria(spark, d):
     rows = X.extract_criteria(nit_documents(spark, d))
     return rows.select(
-        "document_id", "ord", "clause_ref", "criterion_type", "signature", "rupees", "criterion_text", "is_mandatory", "gfr_override_permitted",
+        "document_id", "ord", "clause_ref", "criterion_type", "signature", "rupees", "criterion_text", "criterion_display", "is_mandatory", "gfr_override_permitted",
         "gfr_rule_number", F.array_join("acceptable_evidence_types", ",").alias("evidence_types"), "measurement_period", "status",
     )
 

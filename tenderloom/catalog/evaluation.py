@@ -58,7 +58,7 @@ def cases(spark, d):
 
 
 def judged(spark, d):
-    return E.with_verdicts(cases(spark, d), view(spark, d, "precedents"))
+    return E.with_verdicts(cases(spark, d), E.thresholds_from(view(spark, d, "precedents")))
 
 
 @query(

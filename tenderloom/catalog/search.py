@@ -494,7 +494,7 @@ def ingest_stream(spark, d):
     from ..sources.adapters import VIEWS
 
     uploads = spark.sql(VIEWS["uploads"], documents=stream_of(spark, d, "documents"))
-    return _drain(spark, streams.ingest_stream(uploads), "ingest").select("tender_ref", "sha256_hash")
+    return _drain(spark, streams.ingest_stream(uploads, "400 days"), "ingest").select("tender_ref", "sha256_hash")
 
 
 @query("R2_ledger_stream", "ledger_events", f"WITH RECURSIVE {rp._CHAIN} SELECT tender_id, event_id, prev_hash, entry_hash FROM chained")
@@ -517,6 +517,6 @@ def route_stream(spark, d):
 
     rows = spark.sql(VIEWS["evidence"], lineitem=stream_of(spark, d, "lineitem"))
     criteria = view(spark, d, "criteria").select(*ev._CRITERION_COLUMNS)
-    routed = streams.route_stream(rows, criteria, view(spark, d, "precedents").count())
+    routed = streams.route_stream(rows, criteria, E.thresholds_from(view(spark, d, "precedents")))
     out = _drain(spark, routed.select("evaluation_id", "verdict", "confidence", "route", "status"), "route")
     return out.withColumn("confidence", F.round("confidence", 6))

@@ -29,6 +29,11 @@ def null_if_empty(text: Column) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
+def plain_spaces(text: Column) -> Column:
+    """Unicode white space outside ASCII as blanks, so that patterns see it; the length stays."""
+    return F.translate(text, P.UNICODE_SPACES, " " * len(P.UNICODE_SPACES))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -114,7 +114,7 @@ def threshold_signature() -> Column:
         F.when(kind == "numeric_threshold", F.concat(F.lit("num:"), text("label"), F.lit(":"), text("rupees")))
         .when(kind == "categorical_presence", F.concat(F.lit("doc:"), F.lower(F.col("document"))))
         .when(kind == "temporal_recency", F.concat(F.lit("tmp:"), text("count"), F.lit(":"), text("period"), F.lit(":"), text("period_unit")))
-        .otherwise(F.concat(F.lit("qual:"), F.substring(F.col("assessment_text"), 1, 60)))
+        .otherwise(F.concat(F.lit("qual:"), F.col("assessment_text")))
     )
 
 
@@ -139,7 +139,8 @@ def extract_criteria(documents: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     return (
-        rows.withColumn("criterion_text", C.trim_sentence(body))
+        rows.withColumn("criterion_text", C.collapse(body))
+        .withColumn("criterion_display", C.trim_sentence(body))
         .withColumn("is_mandatory", mandatory)
         .withColumn("gfr_override_permitted", ~mandatory)
         .withColumn("gfr_rule_number", C.rule_number(body, kind))

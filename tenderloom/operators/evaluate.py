@@ -89,18 +89,29 @@ def evaluate_by_type() -> Column:
     )
 
 
-def precedent_thresholds(precedent_count: Column) -> tuple[Column, Column]:
-    """(auto-commit threshold, review floor), stricter while precedents are few."""
-    few = precedent_count < P.PRECEDENTS_FOR_STANDARD_THRESHOLDS
+def precedent_thresholds(precedent_count: Column, standard_from: int = P.PRECEDENTS_FOR_STANDARD_THRESHOLDS) -> tuple[Column, Column]:
+    """(auto-commit threshold, review floor): the rule that sets them stricter while precedents are few.
+
+    Routing takes the pair as an argument; this is one way for a caller to choose it.
+    """
+    few = precedent_count < standard_from
     pick = lambda i: F.when(few, P.CONSERVATIVE_THRESHOLDS[i]).otherwise(P.STANDARD_THRESHOLDS[i])
     return pick(0), pick(1)
 
 
+def thresholds_from(precedents: DataFrame) -> tuple[Column, Column]:
+    """Thresholds for a memory of precedents; its size enters as a scalar subquery, computed once."""
+    return precedent_thresholds(precedents.agg(F.count(F.lit(1))).scalar())
+
+
 def compute_route(
-    verdict: Column, confidence: Column, criterion_type: Column, flags: Column, is_mandatory: Column, precedent_count: Column
+    verdict: Column, confidence: Column, criterion_type: Column, flags: Column, is_mandatory: Column, thresholds: tuple[Column, Column]
 ) -> Column:
-    """Struct of route and reason by six ordered rules and a default."""
-    auto, floor = precedent_thresholds(precedent_count)
+    """Struct of route and reason by six ordered rules and a default.
+
+    ``thresholds`` is the pair (auto-commit threshold, review floor).
+    """
+    auto, floor = thresholds
 
     def routed(route: str, *reason: Column | str) -> Column:
         text = F.concat(*[r if isinstance(r, Column) else F.lit(r) for r in reason])
@@ -125,25 +136,22 @@ def status_from_route(route: Column) -> Column:
     return F.when(route == "auto_commit", "auto_committed").otherwise("pending_review")
 
 
-def with_verdicts(evidence: DataFrame, precedents: DataFrame) -> DataFrame:
-    """Evidence rows plus verdict, confidence, method, route, reason and status.
-
-    The precedent count enters as a scalar subquery: one number, computed once.
-    """
-    count = precedents.agg(F.count(F.lit(1))).scalar()
-    judged = evidence.withColumn("_v", evaluate_by_type()).withColumn("_n", count)
+def with_verdicts(evidence: DataFrame, thresholds: tuple[Column, Column]) -> DataFrame:
+    """Evidence rows plus verdict, confidence, method, route, reason and status."""
+    judged = evidence.withColumn("_v", evaluate_by_type()).withColumn("_auto", thresholds[0]).withColumn("_floor", thresholds[1])
     routed = judged.select(
         *[c for c in evidence.columns if c not in ("evaluation_method",)],
         *( [F.col("evaluation_method").alias("evidence_method")] if "evaluation_method" in evidence.columns else []),
         "_v.*",
-        "_n",
+        "_auto",
+        "_floor",
     ).withColumn(
         "_r",
         compute_route(
-            F.col("verdict"), F.col("confidence"), F.col("criterion_type"), case_flags(), F.col("is_mandatory"), F.col("_n")
+            F.col("verdict"), F.col("confidence"), F.col("criterion_type"), case_flags(), F.col("is_mandatory"), (F.col("_auto"), F.col("_floor"))
         ),
     )
-    return routed.select("*", "_r.*").drop("_r", "_n").withColumn("status", status_from_route(F.col("route")))
+    return routed.select("*", "_r.*").drop("_r", "_auto", "_floor").withColumn("status", status_from_route(F.col("route")))
 
 
 def error_evaluations(requested: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -250,7 +258,9 @@ def temporal_explanation(projects: Column | None = None) -> tuple[Column, Column
                 F.lit("• "), F.substring(p["description"], 1, 80), F.lit(" — completed "), F.coalesce(p["completion_date"], F.lit("date unknown"))
             ),
         )
-        more = F.when(F.size(projects) > 3, F.concat(F.lit("… and "), (F.size(projects) - 3).cast("string"), F.lit(" more")))
+        # The list holds what is printed; how many there are is counted apart.
+        rest = F.col("project_count") - F.size(listed)
+        more = F.when((rest > 0) & (F.size(listed) > 0), F.concat(F.lit("… and "), rest.cast("string"), F.lit(" more")))
         facts = F.concat(facts, listed, _facts(more))
     return headline, facts
 

@@ -99,7 +99,7 @@ def best_table_numeric(matches: DataFrame) -> DataFrame:
     """Per bidder and term: the first file with an amount, in it the surest, then the earliest row."""
     found = matches.where(F.col("numeric").isNotNull())
     rank = _rank(
-        0, k1=F.col("document_id"), low=-F.col("numeric.confidence"), n1=F.col("page_number").cast("bigint"),
+        0, k1=F.col("uploaded_at"), k2=F.col("document_id"), low=-F.col("numeric.confidence"), n1=F.col("page_number").cast("bigint"),
         n2=F.col("table_index").cast("bigint"), n3=F.col("row_index").cast("bigint"),
     )
     return found.groupBy("bidder_id", "term").agg(
@@ -127,56 +127,101 @@ def _floor(mean: Column) -> Column:
     return F.greatest(mean, F.lit(0.5))
 
 
-def numeric_evidence(pairs: DataFrame, profile: DataFrame, documents: DataFrame, tables: DataFrame | None) -> DataFrame:
-    """Amount evidence: table rows first, then scoped text, then any amount of the bidder."""
+def best_numeric(pairs: DataFrame, documents: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """Per amount case the best amount near a term of its criterion: table rows first, then scoped text."""
     mine = pairs.where(F.col("criterion_type") == "numeric_threshold")
     terms = criterion_terms(mine.select("tender_id", "criterion_id", "criterion_type", "threshold_label", "criterion_text").distinct())
     best = scoped_numeric(documents, terms)
     if tables is not None:
         best = best.unionByName(best_table_numeric(search_table_rows(tables, terms)))
         best = best.groupBy("bidder_id", "term").agg(F.min("best").alias("best"))
-    chosen = (
+    return (
         mine.select("tender_id", "bidder_id", "criterion_id")
         .join(terms, ["tender_id", "criterion_id"])
         .join(best, ["bidder_id", "term"])
         .groupBy("bidder_id", "criterion_id")
         .agg(F.min("best").alias("best"))
     )
-    rows = mine.join(chosen, ["bidder_id", "criterion_id"], "left").join(profile.drop("tender_id"), "bidder_id", "left")
+
+
+def _mean() -> Column:
+    return F.coalesce("mean_confidence", F.lit(0.0))
+
+
+# The evidence of each type as columns over a case joined with its bidder's profile.
+
+
+def _numeric_columns() -> dict[str, Column]:
     value = F.coalesce(F.col("best.numeric"), F.col("numeric"))
-    mean = F.coalesce("mean_confidence", F.lit(0.0))
-    ocr = F.when(value.isNull(), mean).otherwise(F.least(value["confidence"], _floor(mean)))
-    return rows.select(
-        *pairs.columns, "found_name",
-        value.isNotNull().alias("has_value"),
-        *[value[c].alias(c) for c in ("amount", "raw_value", "unit", "fiscal_year")],
-        F.coalesce("best.document_id", "submission_id").alias("source_document_id"),
-        F.col("best.page_number").alias("source_page_number"),
-        ocr.alias("ocr_confidence"), F.lit("deterministic").alias("evaluation_method"),
-    )
+    return {
+        "has_value": value.isNotNull(),
+        **{c: value[c] for c in ("amount", "raw_value", "unit", "fiscal_year")},
+        "source_document_id": F.coalesce("best.document_id", "submission_id"),
+        "source_page_number": F.col("best.page_number"),
+        "ocr_confidence": F.when(value.isNull(), _mean()).otherwise(F.least(value["confidence"], _floor(_mean()))),
+        "evaluation_method": F.lit("deterministic"),
+    }
+
+
+def _categorical_columns() -> dict[str, Column]:
+    kind = B.infer_cert_type(F.col("threshold_document"), F.col("criterion_text"))
+    number = None
+    for name in P.REGISTRATION_PATTERNS:
+        hit = kind == name
+        number = F.when(hit, F.col(f"reg_{name}")) if number is None else number.when(hit, F.col(f"reg_{name}"))
+    found = number.isNotNull()
+    base = F.when(F.col("validity_date").isNotNull(), 0.9).otherwise(0.6)
+    return {
+        "has_value": F.lit(True), "found": found, "registration_number": number,
+        "validity_date": F.when(found, F.col("validity_date")),
+        "is_valid": F.when(found, F.col("is_valid")).otherwise(F.lit(False)), "certificate_type": kind,
+        "source_document_id": F.col("certificate_id"),
+        "ocr_confidence": F.when(found, F.least(base, _floor(_mean()))).otherwise(_mean()),
+        "evaluation_method": F.lit("deterministic"),
+    }
+
+
+def _temporal_columns() -> dict[str, Column]:
+    in_table = F.coalesce("table_projects", F.lit(0)) > 0
+    count = F.when(in_table, F.col("table_projects")).otherwise(F.coalesce("prose_projects", F.lit(0)))
+    rich = F.when(in_table, F.col("table_rich")).otherwise(F.coalesce("prose_rich", F.lit(0)))
+    sure = F.when(rich >= F.coalesce("threshold_count", F.lit(2)), 0.9).otherwise(0.7)
+    return {
+        "has_value": F.lit(True), "project_count": count,
+        "projects": F.when(in_table, F.col("table_listed")).otherwise(F.col("prose_listed")),
+        "source_document_id": F.col("submission_id"),
+        "ocr_confidence": F.when(count > 0, F.least(sure, _floor(_mean()))).otherwise(_mean()),
+        "evaluation_method": F.lit("deterministic"),
+    }
+
+
+def _qualitative_columns() -> dict[str, Column]:
+    verdict = F.coalesce("_verdict", F.lit("REVIEW"))
+    return {
+        "has_value": F.lit(True), "model_verdict": verdict, "model_confidence": F.coalesce("_model_confidence", F.lit(0.0)),
+        "rules_verdict": F.coalesce("_rules_verdict", F.lit("REVIEW")), "branch_verdict": F.col("_branch_verdict"),
+        "agreement": F.coalesce("_agreement", F.lit("agree")), "reasoning": F.col("_reasoning"), "consensus_verdict": verdict,
+        "source_document_id": F.col("submission_id"),
+        "ocr_confidence": F.least(F.greatest(F.coalesce("_confidence", F.lit(0.0)), F.lit(0.3)), F.greatest(_mean(), F.lit(0.3))),
+        "evaluation_method": F.lit("union_rules+llm"),
+    }
+
+
+def _chosen(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    return rows.select(*keep, "found_name", *(c.alias(name) for name, c in columns.items()))
+
+
+def numeric_evidence(pairs: DataFrame, profile: DataFrame, documents: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """Amount evidence: table rows first, then scoped text, then any amount of the bidder."""
+    mine = pairs.where(F.col("criterion_type") == "numeric_threshold")
+    rows = mine.join(best_numeric(pairs, documents, tables), ["bidder_id", "criterion_id"], "left").join(profile.drop("tender_id"), "bidder_id", "left")
+    return _chosen(rows, pairs.columns, _numeric_columns())
 
 
 def categorical_evidence(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     """Certificate evidence: an identifier of the wanted kind and a validity date."""
     mine = pairs.where(F.col("criterion_type") == "categorical_presence")
-    rows = mine.join(profile.drop("tender_id"), "bidder_id", "left")
-    rows = rows.withColumn("certificate_type", B.infer_cert_type(F.col("threshold_document"), F.col("criterion_text")))
-    number = None
-    for kind in P.REGISTRATION_PATTERNS:
-        hit = F.col("certificate_type") == kind
-        number = F.when(hit, F.col(f"reg_{kind}")) if number is None else number.when(hit, F.col(f"reg_{kind}"))
-    rows = rows.withColumn("registration_number", number).withColumn("found", F.col("registration_number").isNotNull())
-    mean = F.coalesce("mean_confidence", F.lit(0.0))
-    base = F.when(F.col("validity_date").isNotNull(), 0.9).otherwise(0.6)
-    found = F.col("found")
-    return rows.select(
-        *pairs.columns, "found_name", F.lit(True).alias("has_value"), "found", "registration_number",
-        F.when(found, F.col("validity_date")).alias("validity_date"),
-        F.when(found, F.col("is_valid")).otherwise(F.lit(False)).alias("is_valid"), "certificate_type",
-        F.col("certificate_id").alias("source_document_id"),
-        F.when(found, F.least(base, _floor(mean))).otherwise(mean).alias("ocr_confidence"),
-        F.lit("deterministic").alias("evaluation_method"),
-    )
+    return _chosen(mine.join(profile.drop("tender_id"), "bidder_id", "left"), pairs.columns, _categorical_columns())
 
 
 # --- projects -------------------------------------------------------------------------
@@ -194,16 +239,19 @@ def projects_from_tables(rows: DataFrame) -> DataFrame:
     body = rows.where(F.col("row_index") > 0).join(headers.where(F.col("_d").isNotNull()), keys)
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.col(i)), F.lit("")))
     out = body.select(
-        "tender_id", "bidder_id", *keys, "row_index", cell("_d").alias("description"), B.numeric_value(cell("_v")).alias("numeric"),
+        "tender_id", "bidder_id", "uploaded_at", *keys, "row_index", cell("_d").alias("description"), B.numeric_value(cell("_v")).alias("numeric"),
         B.first_iso_date(cell("_t")).alias("completion_date"),
     ).where((F.length("description") > 0) & ~F.lower("description").isin(*P.PROJECT_DESCRIPTION_HEADERS))
     score = 0.55 + F.when(F.col("numeric").isNotNull(), 0.2).otherwise(0.0) + F.when(F.col("completion_date").isNotNull(), 0.15).otherwise(0.0)
     return out.withColumn("amount", F.col("numeric.amount")).withColumn("confidence", F.round(score, 2)).drop("numeric")
 
 
-def _first_three(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Up to three projects of each bidder, for the explanation."""
-    top = rows.withColumn("_n", F.row_number().over(W.partitionBy("bidder_id").orderBy(*order))).where(F.col("_n") <= 3)
+def _leading(rows: DataFrame, order: list[str], printed: int = 3) -> DataFrame:
+    """The projects of each bidder that an explanation prints.
+
+    All projects stay in the long form that is the input; counts are taken from it.
+    """
+    top = rows.withColumn("_n", F.row_number().over(W.partitionBy("bidder_id").orderBy(*order))).where(F.col("_n") <= printed)
     entry = F.struct("_n", "description", "amount", "completion_date", "confidence")
     listed = F.array_sort(F.collect_list(entry))
     return top.groupBy("bidder_id").agg(
@@ -217,62 +265,47 @@ def prose_project_rows(facts: DataFrame) -> DataFrame:
     )
 
 
+_LISTED = "array<struct<description:string,amount:bigint,completion_date:string,confidence:double>>"
+
+
+def project_profile(profile: DataFrame, facts: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """The profile with the projects of each bidder: counts from tables, and what is printed of both kinds."""
+    rows = profile.join(_leading(prose_project_rows(facts), [*_DOC_ORDER, "project_no"]).withColumnRenamed("listed", "prose_listed"), "bidder_id", "left")
+    if tables is None:
+        none = {"table_projects": "bigint", "table_rich": "bigint", "table_listed": _LISTED}
+        return rows.withColumns({name: F.lit(None).cast(kind) for name, kind in none.items()})
+    found = projects_from_tables(tables)
+    rich = F.col("amount").isNotNull() & F.col("completion_date").isNotNull()
+    counts = found.groupBy("bidder_id").agg(F.count(F.lit(1)).alias("table_projects"), F.count_if(rich).alias("table_rich"))
+    listed = _leading(found, [*_DOC_ORDER, "page_number", "table_index", "row_index"]).withColumnRenamed("listed", "table_listed")
+    return rows.join(counts, "bidder_id", "left").join(listed, "bidder_id", "left")
+
+
 def temporal_evidence(pairs: DataFrame, profile: DataFrame, facts: DataFrame, tables: DataFrame | None) -> DataFrame:
     """Project counts: from tables when any table lists projects, else from running text.
 
     The period of the criterion is reported, not enforced.
     """
     mine = pairs.where(F.col("criterion_type") == "temporal_recency")
-    prose = _first_three(prose_project_rows(facts), [*_DOC_ORDER, "project_no"]).withColumnRenamed("listed", "prose_listed")
-    rows = mine.join(profile.drop("tender_id"), "bidder_id", "left").join(prose, "bidder_id", "left")
-    if tables is not None:
-        found = projects_from_tables(tables)
-        rich = F.col("amount").isNotNull() & F.col("completion_date").isNotNull()
-        counts = found.groupBy("bidder_id").agg(F.count(F.lit(1)).alias("table_projects"), F.count_if(rich).alias("table_rich"))
-        listed = _first_three(found, ["document_id", "page_number", "table_index", "row_index"]).withColumnRenamed("listed", "table_listed")
-        rows = rows.join(counts, "bidder_id", "left").join(listed, "bidder_id", "left")
-    else:
-        rows = rows.withColumn("table_projects", F.lit(None).cast("bigint")).withColumn("table_rich", F.lit(None).cast("bigint"))
-        rows = rows.withColumn("table_listed", F.lit(None).cast("array<struct<description:string,amount:bigint,completion_date:string,confidence:double>>"))
-    in_table = F.coalesce("table_projects", F.lit(0)) > 0
-    count = F.when(in_table, F.col("table_projects")).otherwise(F.coalesce("prose_projects", F.lit(0)))
-    rich = F.when(in_table, F.col("table_rich")).otherwise(F.coalesce("prose_rich", F.lit(0)))
-    required = F.coalesce("threshold_count", F.lit(2))
-    mean = F.coalesce("mean_confidence", F.lit(0.0))
-    sure = F.when(rich >= required, 0.9).otherwise(0.7)
-    return rows.select(
-        *pairs.columns, "found_name", F.lit(True).alias("has_value"), count.alias("project_count"),
-        F.when(in_table, F.col("table_listed")).otherwise(F.col("prose_listed")).alias("projects"),
-        F.col("submission_id").alias("source_document_id"),
-        F.when(count > 0, F.least(sure, _floor(mean))).otherwise(mean).alias("ocr_confidence"),
-        F.lit("deterministic").alias("evaluation_method"),
-    )
+    rows = mine.join(project_profile(profile, facts, tables).drop("tender_id"), "bidder_id", "left")
+    return _chosen(rows, pairs.columns, _temporal_columns())
+
+
+_ASSESSED = {"verdict": "string", "confidence": "double", "model_confidence": "double", "rules_verdict": "string", "branch_verdict": "string", "agreement": "string", "reasoning": "string"}
+
+
+def with_assessments(rows: DataFrame, assessments: DataFrame | None) -> DataFrame:
+    """Cases with the consensus of both branches, where there is one."""
+    if assessments is None:
+        return rows.select("*", *[F.lit(None).cast(kind).alias(f"_{c}") for c, kind in _ASSESSED.items()])
+    return rows.join(assessments.select("bidder_id", "criterion_id", *[F.col(c).alias(f"_{c}") for c in _ASSESSED]), ["bidder_id", "criterion_id"], "left")
 
 
 def qualitative_evidence(pairs: DataFrame, profile: DataFrame, assessments: DataFrame | None) -> DataFrame:
     """Consensus of both branches for wording criteria; without an assessment the case is open."""
     mine = pairs.where(F.col("criterion_type") == "qualitative_assessment")
-    rows = mine.join(profile.drop("tender_id"), "bidder_id", "left")
-    columns = {"verdict": "string", "confidence": "double", "model_confidence": "double", "rules_verdict": "string", "branch_verdict": "string", "agreement": "string", "reasoning": "string"}
-    if assessments is not None:
-        named = assessments.select("bidder_id", "criterion_id", *[F.col(c).alias(f"_{c}") for c in columns])
-        rows = rows.join(named, ["bidder_id", "criterion_id"], "left")
-    else:
-        rows = rows.select("*", *[F.lit(None).cast(t).alias(f"_{c}") for c, t in columns.items()])
-    mean = F.coalesce("mean_confidence", F.lit(0.0))
-    return rows.select(
-        *pairs.columns, "found_name", F.lit(True).alias("has_value"),
-        F.coalesce("_verdict", F.lit("REVIEW")).alias("model_verdict"),
-        F.coalesce("_model_confidence", F.lit(0.0)).alias("model_confidence"),
-        F.coalesce("_rules_verdict", F.lit("REVIEW")).alias("rules_verdict"),
-        F.col("_branch_verdict").alias("branch_verdict"),
-        F.coalesce("_agreement", F.lit("agree")).alias("agreement"),
-        F.col("_reasoning").alias("reasoning"),
-        F.coalesce("_verdict", F.lit("REVIEW")).alias("consensus_verdict"),
-        F.col("submission_id").alias("source_document_id"),
-        F.least(F.greatest(F.coalesce("_confidence", F.lit(0.0)), F.lit(0.3)), F.greatest(mean, F.lit(0.3))).alias("ocr_confidence"),
-        F.lit("union_rules+llm").alias("evaluation_method"),
-    )
+    rows = with_assessments(mine.join(profile.drop("tender_id"), "bidder_id", "left"), assessments)
+    return _chosen(rows, pairs.columns, _qualitative_columns())
 
 
 def extraction_confidence(base: Column, criterion_type: Column, flag: Column) -> Column:
@@ -291,25 +324,28 @@ def extract_evidence(
     """
     from .entity import match_entity
 
-    # The text is read once: five branches start from these rows, which hold no text.
-    facts = document_facts(documents).persist()
-    profile = bidder_profile(facts, as_of)
-    known = ["numeric_threshold", "categorical_presence", "temporal_recency", "qualitative_assessment"]
-    other = pairs.where(~F.col("criterion_type").isin(*known)).join(profile.select("bidder_id", "found_name"), "bidder_id", "left")
-    other = other.select(
-        *pairs.columns, "found_name", F.lit(False).alias("has_value"), F.lit(0.0).alias("ocr_confidence"), F.lit("none").alias("evaluation_method")
-    )
-    rows = numeric_evidence(pairs, profile, documents, tables)
-    for branch in (
-        categorical_evidence(pairs, profile),
-        temporal_evidence(pairs, profile, facts, tables),
-        qualitative_evidence(pairs, profile, assessments),
-        other,
-    ):
-        rows = rows.unionByName(branch, allowMissingColumns=True)
-    name = F.when(F.length("found_name") > 0, F.col("found_name")).otherwise(F.col("company_name"))
-    rows = rows.withColumn("extracted_name", name).withColumn("registered_name", F.col("company_name")).drop("found_name")
-    rows = match_entity(rows, "registered_name", "extracted_name")
-    rows = rows.withColumn("entity_match_flag", F.col("requires_review")).withColumn("source_filename", F.lit(None).cast("string"))
+    facts = document_facts(documents)
+    profile = project_profile(bidder_profile(facts, as_of), facts, tables).drop("tender_id")
+    # Both names depend on the bidder alone, so they are compared once for each.
+    named = pairs.groupBy("bidder_id").agg(F.first("company_name").alias("registered_name")).join(profile, "bidder_id", "left")
+    named = named.withColumn("extracted_name", F.when(F.length("found_name") > 0, F.col("found_name")).otherwise(F.col("registered_name")))
+    named = match_entity(named, "registered_name", "extracted_name").withColumn("entity_match_flag", F.col("requires_review"))
+    rows = pairs.join(named, "bidder_id").join(best_numeric(pairs, documents, tables), ["bidder_id", "criterion_id"], "left")
+    rows = with_assessments(rows, assessments)
+    kinds = {
+        "numeric_threshold": _numeric_columns(), "categorical_presence": _categorical_columns(),
+        "temporal_recency": _temporal_columns(), "qualitative_assessment": _qualitative_columns(),
+    }
+    other = {"has_value": F.lit(False), "ocr_confidence": F.lit(0.0), "evaluation_method": F.lit("none")}
+    out: dict[str, Column] = {}
+    for name in dict.fromkeys(c for columns in kinds.values() for c in columns):
+        value = None
+        for kind, columns in kinds.items():
+            if name in columns:
+                hit = F.col("criterion_type") == kind
+                value = F.when(hit, columns[name]) if value is None else value.when(hit, columns[name])
+        out[name] = value.otherwise(other[name]) if name in other else value
+    entity = ["registered_name", "extracted_name", "similarity_score", "is_match", "mismatch_type", "requires_review", "entity_match_flag"]
+    rows = rows.select(*pairs.columns, *entity, *(c.alias(name) for name, c in out.items())).withColumn("source_filename", F.lit(None).cast("string"))
     conf = extraction_confidence(F.col("ocr_confidence"), F.col("criterion_type"), F.col("entity_match_flag"))
     return rows.withColumn("extraction_confidence", conf)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.common import strip
+from ..functions.common import plain_spaces, strip
 
 
 def ingest_documents(files: DataFrame, content: str = "content") -> DataFrame:
@@ -171,11 +171,12 @@ def assemble_text(pages: DataFrame, *keys: str) -> DataFrame:
 
     The key is the file: pages of one file fit one value.  Bidders and tenders may own
     any number of files, so their evidence is reduced over files, never concatenated.
+    No-break and other Unicode spaces become blanks, which the patterns read.
     """
     entry = F.when(F.length("raw_text") > 0, F.struct("page_number", "raw_text"))
     texts = F.transform(F.array_sort(F.collect_list(entry)), lambda p: p["raw_text"])
     return pages.groupBy(*keys).agg(
-        F.array_join(texts, "\n").alias("text"),
+        plain_spaces(F.array_join(texts, "\n")).alias("text"),
         F.coalesce(F.avg("ocr_confidence"), F.lit(0.0)).alias("mean_confidence"),
         F.coalesce(F.sum("ocr_confidence"), F.lit(0.0)).alias("confidence_sum"),
         F.count("ocr_confidence").alias("confidence_pages"),

@@ -203,7 +203,7 @@ VIEWS: dict[str, str] = {
                concat('officer-', cast(l_partkey % 5 AS string)) AS officer_id,
                CASE l_partkey % 6 WHEN 0 THEN 'reject' WHEN 1 THEN 'later' ELSE 'approve' END AS decision,
                concat(substr(cast(l_shipdate AS string), 1, 10), 'T15:00:00Z') AS decided_at
-        FROM {lineitem} WHERE l_quantity < 30""",
+        FROM {lineitem}""",
     # One page per criterion plus every prose document as a page of its own.
     "nit_pages": f"""
         SELECT concat('N', {_txt('cast(floor(p_partkey * 3 / 4) AS bigint)')}) AS document_id,
@@ -231,12 +231,12 @@ VIEWS: dict[str, str] = {
                concat('C', {_txt('p_partkey % 2')}, '-', {_txt('cast(floor(p_partkey * 3 / 4) AS bigint)')}) AS corrigendum_id,
                concat('2024-03-0', {_txt('p_partkey % 2 + 1')}, 'T08:00:00Z') AS uploaded_at,
                p_partkey AS ord,
-               concat('4.', {_txt('p_size % 9 + 1')}) AS clause_ref,
+               CASE WHEN p_size % 2 = 0 THEN concat('4.', {_txt('p_size % 9 + 1')}) ELSE '9.9' END AS clause_ref,
                {_TYPE} AS criterion_type,
                cast(floor(p_retailprice) AS bigint) * 60 AS amended_rupees,
                CASE WHEN p_partkey % 16 = 0 THEN 'Scope revised' ELSE NULL END AS reason,
                round(cast(p_size AS double) / 100, 6) AS confidence
-        FROM {{part}} WHERE p_size % 2 = 0
+        FROM {{part}}
         UNION ALL
         SELECT cast(floor(p_partkey * 3 / 4) AS bigint) AS tender_id,
                concat('C2-', {_txt('cast(floor(p_partkey * 3 / 4) AS bigint)')}) AS corrigendum_id,
@@ -244,7 +244,7 @@ VIEWS: dict[str, str] = {
                p_partkey AS ord, concat('4.', {_txt('p_partkey % 9 + 1')}) AS clause_ref, {_TYPE} AS criterion_type,
                cast(floor(p_retailprice) AS bigint) * 70 AS amended_rupees, 'Second notice' AS reason,
                cast(0.5 AS double) AS confidence
-        FROM {{part}} WHERE p_size % 3 = 0""",
+        FROM {{part}}""",
     # Letterhead page from the order, one project page per order line.
     "bid_pages": f"""
         SELECT concat('B', {_txt('o_orderkey')}) AS document_id, cast(floor(o_orderkey / 10) AS bigint) AS tender_id,
@@ -257,8 +257,8 @@ VIEWS: dict[str, str] = {
                  CASE WHEN o_orderkey % 9 = 4 THEN 'Registration papers follow' ELSE concat('PAN: ', {_pan(_CKEY)}, ' GSTIN: 27', {_pan(_CKEY)}, '1Z5') END, chr(10),
                  CASE o_orderkey % 6 WHEN 0 THEN 'Certified ISO 9001:2015 works. ' WHEN 1 THEN 'UDYAM-MH-12-0012345 holder. ' WHEN 2 THEN 'CIN L12345MH2001PLC123456. '
                       ELSE 'TAN MUMA12345B. ' END, chr(10),
-                 'Annual turnover for FY 2023-24: Rs. ', {_txt('cast(floor(o_totalprice / 10000) AS bigint)')}, '.', {_two('o_orderkey % 100')},
-                 CASE o_orderkey % 4 WHEN 0 THEN ' Crore.' WHEN 1 THEN ' Lakh.' WHEN 2 THEN '.' ELSE ' cr in 2022/2023.' END, chr(10),
+                 CASE WHEN o_orderkey % 7 = 3 THEN 'Annual turnover for FY 2023-24: Rs. ' ELSE 'Annual turnover for FY 2023-24: Rs. ' END, {_txt('cast(floor(o_totalprice / 10000) AS bigint)')}, '.', {_two('o_orderkey % 100')},
+                 CASE o_orderkey % 4 WHEN 0 THEN ' Crore.' WHEN 1 THEN ' Lakh.' WHEN 2 THEN '.' ELSE ' cr in 2022/2023.' END, chr(10),
                  CASE WHEN o_orderkey % 5 = 1 THEN 'Net worth stands at 45.50 lakh. ' WHEN o_orderkey % 5 = 2 THEN 'Net worth: INR 7,50,000 (FY 22-23). ' ELSE '' END, chr(10),
                  CASE o_orderkey % 8 WHEN 0 THEN 'No expiry stated.' WHEN 1 THEN concat('Valid up to ', {_two('o_orderkey % 28 + 1')}, '-', {_two('o_orderkey % 12 + 1')}, '-', {_txt('2023 + o_orderkey % 4')}, '.')
                       WHEN 2 THEN 'Validity: 31 December 2027.' WHEN 3 THEN 'Expires on 2025-02-30 or June 2026.' WHEN 4 THEN 'Dated 05/06/2024.'
@@ -274,20 +274,27 @@ VIEWS: dict[str, str] = {
                    CASE WHEN l_linenumber % 2 = 0 THEN ' - Rs. ' ELSE ': ' END, {_txt('cast(floor(l_quantity) AS bigint)')},
                    CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE '.5 Lakh' END, ' completed ', substr(cast(l_shipdate AS string), 1, 10)) END AS raw_text
         FROM {{lineitem}}""",
-    # Tables found in bid documents: a header row (0) and one row per order line.
+    # Tables found in two files of each bidder, the later one first by name: a header row (0) and one row per
+    # order line. Three bidders in four have tables that list no projects.
     "bid_table_rows": f"""
         SELECT o_orderkey AS bidder_id, cast(floor(o_orderkey / 10) AS bigint) AS tender_id,
-               concat('B', {_txt('o_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, cast(0 AS bigint) AS row_index,
-               'Nature of work' AS cell_1, 'Order Value' AS cell_2, 'Date of completion' AS cell_3
-        FROM {{orders}} WHERE o_orderkey % 4 = 0
+               concat('B', {_txt('o_orderkey')}) AS document_id, '2024-01-01T07:00:00Z' AS uploaded_at, 1 AS page_number, 0 AS table_index, cast(0 AS bigint) AS row_index,
+               CASE WHEN o_orderkey % 4 = 0 THEN 'Nature of work' ELSE 'Remarks' END AS cell_1, 'Order Value' AS cell_2, 'Date of completion' AS cell_3
+        FROM {{orders}}
+        UNION ALL
+        SELECT o_orderkey AS bidder_id, cast(floor(o_orderkey / 10) AS bigint) AS tender_id,
+               concat('A', {_txt('o_orderkey')}) AS document_id, '2024-02-01T07:00:00Z' AS uploaded_at, 1 AS page_number, 0 AS table_index, cast(0 AS bigint) AS row_index,
+               CASE WHEN o_orderkey % 4 = 0 THEN 'Nature of work' ELSE 'Remarks' END AS cell_1, 'Order Value' AS cell_2, 'Date of completion' AS cell_3
+        FROM {{orders}}
         UNION ALL
         SELECT l_orderkey AS bidder_id, cast(floor(l_orderkey / 10) AS bigint) AS tender_id,
-               concat('B', {_txt('l_orderkey')}) AS document_id, 1 AS page_number, 0 AS table_index, l_linenumber * cast(1000000000 AS bigint) + l_partkey AS row_index,
-               CASE l_linenumber WHEN 3 THEN '' WHEN 5 THEN 'Annual turnover' ELSE concat('Supply lot ', {_txt('l_partkey')}) END AS cell_1,
+               concat(CASE WHEN l_linenumber % 2 = 0 THEN 'B' ELSE 'A' END, {_txt('l_orderkey')}) AS document_id,
+               CASE WHEN l_linenumber % 2 = 0 THEN '2024-01-01T07:00:00Z' ELSE '2024-02-01T07:00:00Z' END AS uploaded_at, 1 AS page_number, 0 AS table_index, l_linenumber * cast(1000000000 AS bigint) + l_partkey AS row_index,
+               CASE WHEN l_linenumber = 3 THEN '' WHEN l_linenumber IN (4, 5) AND l_orderkey % 4 = 0 THEN 'Annual turnover' ELSE concat('Supply lot ', {_txt('l_partkey')}) END AS cell_1,
                CASE WHEN l_linenumber = 2 THEN '' WHEN l_linenumber = 6 THEN concat('Rs. ', {_txt('cast(floor(l_quantity) AS bigint)')})
                     ELSE concat('Rs. ', {_txt('cast(floor(l_quantity) AS bigint)')}, ' lakh') END AS cell_2,
                CASE WHEN l_linenumber = 3 THEN '' WHEN l_linenumber = 6 THEN 'ongoing' ELSE substr(cast(l_shipdate AS string), 1, 10) END AS cell_3
-        FROM {{lineitem}} WHERE l_orderkey % 4 = 0""",
+        FROM {{lineitem}}""",
     # Uploads: prose documents of twenty sources, with names that pass or fail the checks.
     "uploads": f"""
         SELECT concat('U', {_txt('doc_id')}) AS upload_id, doc_id AS doc_key, source AS tender_ref,
@@ -309,7 +316,7 @@ VIEWS: dict[str, str] = {
         FROM {{pages}}""",
     # OCR engine rows: one per conversation turn, confidence -1 marks layout rows.
     "ocr_rows": f"""
-        SELECT conv_id AS page_id, turn AS word_no, CASE WHEN turn % 7 = 6 THEN '  ' ELSE concat(' ', substr(text, 1, 12), ' ') END AS text,
+        SELECT conv_id AS page_id, turn AS word_no, CASE WHEN turn % 7 = 6 THEN '  ' ELSE concat(' ', text, ' ') END AS text,
                CASE WHEN turn % 5 = 4 THEN cast(-1 AS double) ELSE cast((conv_id * 7 + turn * 13) % 101 AS double) END AS conf,
                cast(turn * 50 AS double) AS left_px, cast(conv_id % 40 AS double) AS top_px,
                cast(40 AS double) AS width_px, cast(14 AS double) AS height_px
@@ -327,14 +334,14 @@ VIEWS: dict[str, str] = {
         FROM {events}""".replace('{"', '{{"').replace('"}', '"}}').replace("'}')", "'}}')"),
     "precedents": f"""
         SELECT concat('Q', {_txt('item_id')}) AS precedent_id, text AS criterion_text,
-               concat('Read as ', substr(text, 1, 60)) AS resolved_interpretation,
+               concat('Read as ', text) AS resolved_interpretation,
                {{seg}} AS department,
                CASE item_id % 3 WHEN 0 THEN 'Goods' WHEN 1 THEN 'Services' ELSE 'Works' END AS tender_category,
                'PASS' AS verdict, 'confirm' AS officer_action
         FROM {{benchmark}}
         UNION ALL
         SELECT concat('R', {_txt('c.conv_id')}, '-', {_txt('c.turn')}) AS precedent_id, c.text AS criterion_text,
-               concat('Read as ', substr(c.text, 1, 60)) AS resolved_interpretation,
+               concat('Read as ', c.text) AS resolved_interpretation,
                {{seg2}} AS department,
                CASE c.turn % 3 WHEN 0 THEN 'Goods' WHEN 1 THEN 'Services' ELSE 'Works' END AS tender_category,
                CASE WHEN c.turn % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict,
@@ -348,7 +355,7 @@ VIEWS: dict[str, str] = {
                {{seg4}} AS department,
                CASE p_partkey % 3 WHEN 0 THEN 'Goods' WHEN 1 THEN 'Services' ELSE 'Works' END AS tender_category,
                'PASS' AS verdict, 'confirm' AS officer_action
-        FROM {{part}} WHERE p_size > 40""",
+        FROM {{part}}""",
     # Query texts for precedent search: whole prose documents with a scope.
     "precedent_queries": f"""
         SELECT doc_id AS query_id, text AS query_text,

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for one run in the shared folder the cluster names.
 
-    A local folder is used only where none is set, as in tests.
+    Without one a local folder serves in local mode only; on a cluster it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder}/tenderloom-{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="tenderloom-")
+    if folder:
+        return f"{folder}/tenderloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tenderloom-")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

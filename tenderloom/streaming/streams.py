@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import evaluate, ingest, ledger
 
 
-def ingest_stream(uploads: DataFrame, horizon: str | None = None, tender: str = "tender_ref") -> DataFrame:
+def ingest_stream(uploads: DataFrame, horizon: str, tender: str = "tender_ref") -> DataFrame:
     """Hash, check and de-duplicate arriving files.
 
-    Without a horizon every (tender, content) seen stays in the state; with one, copies
-    are recognised within that time and the state is bounded.
+    Copies of a tender are recognised within ``horizon``, which bounds the state.
     """
     rows = ingest.validate_upload(ingest.ingest_documents(uploads, "text"))
     rows = rows.withColumn("doc_format", ingest.detect_format(F.col("filename"))).where(F.col("code").isNull()).drop("code")
     keys = [tender, "sha256_hash"]
-    if horizon is None:
-        return rows.dropDuplicates(keys)
     timed = rows.withColumn("event_time", F.to_timestamp("uploaded_at")).withWatermark("event_time", horizon)
     return timed.dropDuplicatesWithinWatermark(keys)
 
@@ -27,31 +24,31 @@ def ingest_stream(uploads: DataFrame, horizon: str | None = None, tender: str =
 def ledger_stream(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Chain arriving events behind the stored tails of their tenders.
 
-    Every micro-batch writes its own folder and its own version of the tails, so a
-    batch that is run again after a lost executor replaces what it wrote before.
+    Every micro-batch writes its own folder of entries and of the tails that it moved, so a
+    batch that is run again after a lost executor replaces what it wrote before. Only the tails
+    of the batch's tenders are looked up, each in the latest batch that moved it.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tails = None
         if batch_id > 0:
-            tails = spark.read.parquet(f"{folder}/tails/v={batch_id - 1}")
+            moved = spark.read.parquet(f"{folder}/tails").where(F.col("batch") < batch_id).join(batch.select("tender_id").distinct(), "tender_id", "left_semi")
+            rest = [c for c in moved.columns if c not in ("tender_id", "batch")]
+            tails = moved.groupBy("tender_id").agg(F.max_by(F.struct(*rest), "batch").alias("_t")).select("tender_id", "_t.*")
         ledger.append_events(batch, tails).write.mode("overwrite").parquet(f"{folder}/ledger/batch={batch_id}")
         written = spark.read.parquet(f"{folder}/ledger/batch={batch_id}")
-        new_tails = ledger.ledger_tails(written)
-        if tails is not None:
-            new_tails = new_tails.unionByName(tails.join(new_tails.select("tender_id"), "tender_id", "left_anti"))
-        new_tails.write.mode("overwrite").parquet(f"{folder}/tails/v={batch_id}")
+        ledger.ledger_tails(written).write.mode("overwrite").parquet(f"{folder}/tails/batch={batch_id}")
 
     return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def route_stream(evidence: DataFrame, criteria: DataFrame, precedent_count: int) -> DataFrame:
-    """Judge and route arriving evidence; row-local apart from the criteria lookup."""
+def route_stream(evidence: DataFrame, criteria: DataFrame, thresholds: tuple[Column, Column]) -> DataFrame:
+    """Judge and route arriving evidence by a pair of thresholds; row-local apart from the criteria lookup."""
     rows = evidence.join(criteria, "criterion_id").withColumn("_v", evaluate.evaluate_by_type())
     rows = rows.drop("evaluation_method").select("*", "_v.*")
     route = evaluate.compute_route(
-        F.col("verdict"), F.col("confidence"), F.col("criterion_type"), evaluate.case_flags(), F.col("is_mandatory"), F.lit(precedent_count)
+        F.col("verdict"), F.col("confidence"), F.col("criterion_type"), evaluate.case_flags(), F.col("is_mandatory"), thresholds
     )
     rows = rows.withColumn("_r", route).select("*", "_r.*").drop("_r", "_v")
     return rows.withColumn("status", evaluate.status_from_route(F.col("route")))

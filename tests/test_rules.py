@@ -25,7 +25,7 @@ def test_every_route(spark):
     cases = list(itertools.product(["PASS", "FAIL", "REVIEW"], [0.0, 0.49, 0.5, 0.59, 0.6, 0.84, 0.85, 0.89, 0.9, 1.0], P.CRITERION_TYPES, [True, False], [True, False], [0, 49, 50]))
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, v string, c double, k string, f boolean, m boolean, n int")
     flags = F.when(F.col("f"), F.array(F.lit("entity_mismatch"))).otherwise(F.array().cast("array<string>"))
-    out = rows.select("i", evaluate.compute_route(F.col("v"), F.col("c"), F.col("k"), flags, F.col("m"), F.col("n")).alias("r")).collect()
+    out = rows.select("i", evaluate.compute_route(F.col("v"), F.col("c"), F.col("k"), flags, F.col("m"), evaluate.precedent_thresholds(F.col("n"))).alias("r")).collect()
     for r in out:
         assert r["r"]["route"] == route_model(*cases[r["i"]]), cases[r["i"]]
 
