@@ -22,7 +22,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     path = shared_folder(spark, "token-files")
-    planes.write_ids(table(spark, sf_dir, "documents"), path, lambda: planes.WordEncoder(vocabulary, end_id=2))
+    planes.write_ids(table(spark, sf_dir, "documents"), path, lambda: planes.encoder_for(vocabulary, end_id=2))
     return planes.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -14,7 +14,8 @@ separates, so equal words have equal ids and each task asks the tokenizer once f
 
 A null or empty text has the end id alone. Repeated rows are documents of their own, next to each other.
 A null doc_id sorts first. Empty tables give files without rows. Extra columns are not stored. A text of
-any length is held whole by one task; only one block waits beside it.
+any length is held whole by one task; only one block waits beside it. Ranges are small, so that a batch of
+texts on its way to Python is small too.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import blobs_of, range_bounds, range_number, slices
 
 CHUNK_IDS = 65_536
-ROWS_A_RANGE = 4_000
+ROWS_A_RANGE = 2_000
 MAGIC = b"TLPL"
 #: Words that a task remembers, and words encoded at once; they bound its memory.
-REMEMBERED, AT_ONCE = 250_000, 8_000
+REMEMBERED, AT_ONCE = 200_000, 4_000
 #: Marks that end a word, after a letter.
 MARKED = re.compile(rb"(?<=[a-z])([.,;:!?*&%$#|\"'()-]+)(?![^\x20\x09-\x0D])")
 
@@ -51,11 +53,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int | None = None) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer(self.tokenizer.model)  # one model in memory for both
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.known: dict[bytes, bytes] = {}
@@ -108,6 +110,12 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, own)) + self.end for own in words]
 
 
+@cache
+def encoder_for(path: str, end_id: int | None = None) -> WordEncoder:
+    """One encoder for each process: tasks that follow each other in a worker share it and its words."""
+    return WordEncoder(path, end_id)
+
+
 def pack_planes(ids: np.ndarray, bits: int = 8, level: int = 3) -> bytes:
     """One block of unsigned 32-bit ids as compressed planes."""
     import zstandard
@@ -171,7 +179,7 @@ def write_ids(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[b
         for batch in batches:
             ranges, names = batch.column("range").to_pylist(), batch.column("doc_id")
             doc_type, names = names.type, names.to_pylist()
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), 1 << 20):
                 for at, doc_id, ids in zip(ranges[a:b], names[a:b], encode(blobs_of(batch.column("text").slice(a, b - a))), strict=True):
                     if at != current:
                         if held:

@@ -23,6 +23,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Parts that a task remembers, and parts encoded at once; they bound its memory.
-REMEMBERED, AT_ONCE = 200_000, 8_000
+REMEMBERED, AT_ONCE = 200_000, 4_000
 PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -196,6 +197,12 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+@cache
+def codec_for(model: bytes | str, threads: int = 1, verify: bool = True) -> Codec:
+    """One codec for each process: tasks that follow each other in a worker share it and its parts."""
+    return Codec(model, threads, verify)
+
+
 def encode_documents(docs: DataFrame, model: bytes | str, threads: int = 1, verify: bool = True) -> DataFrame:
     """doc_id, ids (little-endian u32), n_tokens, mismatches and round_trip of every document with doc_id and text.
 
@@ -205,9 +212,9 @@ def encode_documents(docs: DataFrame, model: bytes | str, threads: int = 1, veri
     kind = dict(docs.dtypes)["doc_id"]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, threads, verify)
+        codec = codec_for(model, threads, verify)
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), 1 << 20):
                 texts = batch.column("text").slice(a, b - a).to_pylist()
                 found = codec.encode(texts)
                 same = [codec.decode(ids) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]
@@ -222,7 +229,7 @@ def decode_documents(encoded: DataFrame, model: bytes | str) -> DataFrame:
     kind = dict(encoded.dtypes)["doc_id"]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, verify=False)
+        codec = codec_for(model, verify=False)
         for batch in batches:
             texts = pa.array([codec.decode(i or b"") for i in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
