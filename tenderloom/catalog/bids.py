@@ -13,6 +13,7 @@ from ..plans import evaluation as plans
 from ..sources.adapters import view
 from . import documents as docs
 from . import duck as D
+from . import search
 from .registry import query
 
 AS_OF = "2025-06-01"
@@ -275,7 +276,20 @@ def assessments(spark, d):
     return qualitative_union(named)
 
 
-@query("F18_qualitative_evidence")
+_OPINIONS = f"""{_BID}, opinion AS (SELECT bidder_id, max(rules_verdict) AS rules_verdict, max(model_verdict) AS model_verdict, max(extraction_confidence) AS rc, max(model_confidence) AS mc FROM evidence GROUP BY bidder_id),
+    said AS (SELECT *, {search._AGREE} AS agreement, {search._CONSENSUS} AS verdict FROM opinion),
+    weighed AS (SELECT *, CASE WHEN mc = 0 THEN rc WHEN rc = 0 THEN mc * 0.8 WHEN agreement = 'agree' THEN round(least(1.0, sqrt(rc * mc) + 0.1), 3) WHEN agreement = 'disagree' THEN round(least(rc, mc) * 0.7, 3)
+        ELSE round((rc + mc) / 2, 3) END AS confidence FROM said)"""
+
+
+@query(
+    "F18_qualitative_evidence",
+    "bid_pages bidders criteria evidence",
+    f"""WITH {_PAIRS}, {_OPINIONS} SELECT p.bidder_id, p.criterion_id, coalesce(w.verdict, 'REVIEW') AS model_verdict, coalesce(w.mc, 0.0) AS model_confidence, coalesce(w.agreement, 'agree') AS agreement,
+        CASE WHEN w.agreement IS NOT NULL THEN concat('Semantic analysis: no specific factors identified. Rules-LLM ', w.agreement, '. Routing to officer review.') END AS reasoning,
+        round(least(greatest(coalesce(w.confidence, 0.0), 0.3), greatest(coalesce(t.mean_confidence, 0.0), 0.3)), 6) AS ocr_confidence
+    FROM pairs p LEFT JOIN bid_text t ON t.bidder_id = p.bidder_id LEFT JOIN weighed w ON w.bidder_id = p.bidder_id WHERE p.criterion_type = 'qualitative_assessment'""",
+)
 def qualitative_evidence(spark, d):
     _, profile = _profile(spark, d)
     rows = V.qualitative_evidence(pairs(spark, d), profile, assessments(spark, d))

@@ -52,10 +52,10 @@ def _bm25(queries: str, key: str) -> str:
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, precedent_id) AS rank FROM sc QUALIFY rank <= 3)"""
 
 
-@query("I2_bm25_top_k", "precedents precedent_queries", f"WITH {_bm25('precedent_queries', 'query_id')} SELECT query_id, rank, round(score, 3) AS score FROM ranked")
+@query("I2_bm25_top_k", "precedents precedent_queries", f"WITH {_bm25('precedent_queries', 'query_id')} SELECT query_id, precedent_id, rank, round(score, 3) AS score FROM ranked")
 def bm25_top_k(spark, d):
     rows = I.bm25_top_k(view(spark, d, "precedent_queries"), view(spark, d, "precedents"))
-    return rows.select("query_id", "rank", F.round("score", 3).alias("score"))
+    return rows.select("query_id", "precedent_id", "rank", F.round("score", 3).alias("score"))
 
 
 _COSINE = """sims AS (SELECT q.query_id, p.precedent_id, round(list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity FROM query_vecs q JOIN precedent_vecs p ON q.scope = p.scope),
@@ -91,13 +91,19 @@ def precedent_stats(spark, d):
     return I.precedent_stats(view(spark, d, "precedents"))
 
 
-@query("I6_store_precedents")
+@query(
+    "I6_store_precedents",
+    "precedents decisions evaluations criteria tenders",
+    f"""WITH {rp._DECIDED} SELECT precedent_id, criterion_text, department, tender_category, verdict, officer_action FROM precedents
+    UNION ALL SELECT sha256(concat(a.evaluation_id, '|', decision_id)), c.criterion_text, t.department, t.category, verdict, decision
+    FROM applied a JOIN criteria c ON a.criterion_id = c.criterion_id JOIN tenders t ON a.tender_id = t.tender_id WHERE new_status = 'resolved'""",
+)
 def store_precedents(spark, d):
     """Precedents from decisions, appended to the stored ones and read back."""
     path = files.shared_folder(spark) + "/precedents"
     files.store_precedents(view(spark, d, "precedents").drop("resolved_interpretation"), path)
     files.store_precedents(rp.decisions_to_precedents(spark, d).select("precedent_id", "criterion_text", "department", "tender_category", "verdict", "officer_action"), path)
-    return spark.read.parquet(path).groupBy("tender_category", "officer_action").agg(F.count(F.lit(1)).alias("entries"))
+    return spark.read.parquet(path).select("precedent_id", "criterion_text", "department", "tender_category", "verdict", "officer_action")
 
 
 @query(
@@ -133,26 +139,26 @@ def criterion_precedents(spark, d):
     return I.criterion_precedents(view(spark, d, "criteria"), view(spark, d, "tenders"), view(spark, d, "precedents"))
 
 
-@query("I9_criterion_precedents", "criteria tenders precedents", f"WITH {_CQ}, {_bm25('cq', 'criterion_id')} SELECT criterion_id, rank, round(score, 3) AS score FROM ranked")
+@query("I9_criterion_precedents", "criteria tenders precedents", f"WITH {_CQ}, {_bm25('cq', 'criterion_id')} SELECT criterion_id, precedent_id, rank, round(score, 3) AS score FROM ranked")
 def search_precedents(spark, d):
-    return criterion_precedents(spark, d).select("criterion_id", "rank", F.round("score", 3).alias("score"))
+    return criterion_precedents(spark, d).select("criterion_id", "precedent_id", "rank", F.round("score", 3).alias("score"))
 
 
 @query(
     "J2_review_card",
     "evaluations criteria bidders tenders precedents",
-    f"""WITH {_CQ}, {_bm25('cq', 'criterion_id')}, pr AS (SELECT criterion_id, count(*) AS n FROM ranked GROUP BY 1)
+    f"""WITH {_CQ}, {_bm25('cq', 'criterion_id')}, pr AS (SELECT criterion_id, string_agg(precedent_id, ',' ORDER BY rank) AS ids FROM ranked GROUP BY 1)
     SELECT e.evaluation_id, c.criterion_text, c.criterion_type, coalesce(c.is_mandatory, false) AS is_mandatory, b.company_name, e.verdict, e.route, true AS can_confirm,
         coalesce(gfr_override_permitted, true) OR verdict <> 'FAIL' AS can_override, coalesce(gfr_override_permitted, true) AND coalesce(is_mandatory, false) AND verdict = 'FAIL' AS requires_second_officer,
-        coalesce(pr.n, 0) AS precedents
+        coalesce(pr.ids, '') AS precedents
     FROM evaluations e LEFT JOIN criteria c ON c.criterion_id = e.criterion_id LEFT JOIN bidders b ON b.bidder_id = e.bidder_id LEFT JOIN pr ON pr.criterion_id = e.criterion_id""",
 )
 def review_card(spark, d):
     rows = J.review_card(view(spark, d, "evaluations"), view(spark, d, "criteria"), view(spark, d, "bidders"), criterion_precedents(spark, d))
     return rows.select(
         "evaluation_id", "criterion_text", "criterion_type", "is_mandatory", "company_name", "verdict", "route", "can_confirm", "can_override",
-        "requires_second_officer", F.coalesce(F.size("precedents"), F.lit(0)).alias("precedents"),
-    ).withColumn("precedents", F.greatest("precedents", F.lit(0)))
+        "requires_second_officer", F.coalesce(F.array_join(F.col("precedents.precedent_id"), ","), F.lit("")).alias("precedents"),
+    )
 
 
 # --- E: two branches ------------------------------------------------------------------------
@@ -302,14 +308,22 @@ def repair_json(spark, d):
     return view(spark, d, "events").select("event_id", X.repair_json(F.expr(_WRAPPED)).alias("repaired"))
 
 
-@query("E13_E16_log_responses")
+@query(
+    "E13_E16_log_responses",
+    "conversations",
+    """SELECT conv_id AS tender_id, t.prompt_type, text AS prompt, role AS response, 'model-a' AS model_version, t.logged_at, 64 AS hash_digits
+    FROM conversations, (VALUES ('qualitative_evaluation', '2024-05-01T00:00:00Z'), ('entity_disambiguation', '2024-05-02T00:00:00Z')) AS t(prompt_type, logged_at)""",
+)
 def log_responses(spark, d):
-    """Qualitative and entity responses appended to the log and counted."""
+    """Qualitative and entity responses appended to the log and read back."""
     path = files.shared_folder(spark) + "/responses"
     rows = view(spark, d, "conversations").select(F.col("conv_id").alias("tender_id"), F.col("text").alias("prompt"), F.col("role").alias("response"))
     files.log_responses(X.response_log_rows(rows, "qualitative_evaluation", "model-a", "2024-05-01T00:00:00Z"), path)
     files.log_responses(X.response_log_rows(rows, "entity_disambiguation", "model-a", "2024-05-02T00:00:00Z"), path)
-    return spark.read.parquet(path).groupBy("prompt_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prompt_hash").alias("prompts"))
+    return spark.read.parquet(path).select(
+        "tender_id", "prompt_type", F.get_json_object("prompt_content", "$.text").alias("prompt"), "response", "model_version", "logged_at",
+        F.length("prompt_hash").alias("hash_digits"),
+    )
 
 
 @query(
@@ -384,16 +398,15 @@ def model_version_consistency(spark, d):
     return N.model_version_consistency(view(spark, d, "response_log")).withColumn("versions", F.array_join("versions", ","))
 
 
-@query(
-    "N5_stored_input_issues",
-    "tenders bidders criteria evaluations",
-    """WITH dc AS (SELECT tender_id, count_if(bidder_id % 29 = 0) AS u FROM bidders GROUP BY 1), cc AS (SELECT tender_id, count(*) AS n FROM criteria WHERE status <> 'extracted' GROUP BY 1),
-    ec AS (SELECT tender_id, count(*) AS n, count_if(status = 'resolved' AND officer_decision IS NULL) AS x FROM evaluations GROUP BY 1)
-    SELECT t.tender_id, coalesce(cc.n, 0) AS criteria_count, coalesce(ec.n, 0) AS evaluation_count, concat_ws('; ', CASE WHEN coalesce(u, 0) > 0 THEN concat(u, ' document(s) missing SHA-256 hash') END,
+_INPUTS = """dc AS (SELECT tender_id, count_if(bidder_id % 29 = 0) AS u FROM bidders GROUP BY 1), cc AS (SELECT tender_id, count(*) AS n FROM criteria WHERE status <> 'extracted' GROUP BY 1),
+    ec AS (SELECT tender_id, count(*) AS n, count_if(status = 'resolved' AND officer_decision IS NULL) AS x FROM evaluations GROUP BY 1),
+    inputs AS (SELECT t.tender_id, coalesce(cc.n, 0) AS criteria_count, coalesce(ec.n, 0) AS evaluation_count, concat_ws('; ', CASE WHEN coalesce(u, 0) > 0 THEN concat(u, ' document(s) missing SHA-256 hash') END,
         CASE WHEN coalesce(cc.n, 0) = 0 THEN 'No criteria (ETS) stored for this tender' END, CASE WHEN coalesce(ec.n, 0) = 0 THEN 'No evaluations stored for this tender' END,
         CASE WHEN coalesce(x, 0) > 0 THEN concat(x, ' resolved evaluation(s) missing officer decision record') END) AS issues
-    FROM tenders t LEFT JOIN dc ON dc.tender_id = t.tender_id LEFT JOIN cc ON cc.tender_id = t.tender_id LEFT JOIN ec ON ec.tender_id = t.tender_id""",
-)
+    FROM tenders t LEFT JOIN dc ON dc.tender_id = t.tender_id LEFT JOIN cc ON cc.tender_id = t.tender_id LEFT JOIN ec ON ec.tender_id = t.tender_id)"""
+
+
+@query("N5_stored_input_issues", "tenders bidders criteria evaluations", f"WITH {_INPUTS} SELECT * FROM inputs")
 def stored_input_issues(spark, d):
     rows = input_issues(spark, d)
     return rows.select("tender_id", "criteria_count", "evaluation_count", F.array_join("issues", "; ").alias("issues"))
@@ -413,17 +426,26 @@ def reproduced(spark, d):
     return plans.reproduce(view(spark, d, "evaluations"), rerun_of(spark, d))
 
 
-@query(
-    "N6_reproduce",
-    "evaluations rerun",
-    """WITH j AS (SELECT a.tender_id, a.evaluation_id, (a.verdict <> b.verdict)::INT + (abs(a.confidence - b.confidence) > 1e-6)::INT + (a.route <> b.route)::INT + (b.source_bbox IS NULL)::INT AS n FROM evaluations a JOIN rerun b ON a.evaluation_id = b.evaluation_id)
-    SELECT tender_id, count(*) AS total, count_if(n = 0) AS matches, sum(n)::BIGINT AS differences, sum(n) = 0 AS match, sum(n) = 0 AS identical FROM j GROUP BY tender_id""",
-)
+_RERUN = """j AS (SELECT a.tender_id, a.evaluation_id, (a.verdict <> b.verdict)::INT + (abs(a.confidence - b.confidence) > 1e-6)::INT + (a.route <> b.route)::INT + (b.source_bbox IS NULL)::INT AS n FROM evaluations a JOIN rerun b ON a.evaluation_id = b.evaluation_id),
+    again AS (SELECT tender_id, count(*) AS total, count_if(n = 0) AS matches, sum(n)::BIGINT AS differences, sum(n) = 0 AS match, sum(n) = 0 AS identical FROM j GROUP BY tender_id)"""
+
+
+@query("N6_reproduce", "evaluations rerun", f"WITH {_RERUN} SELECT * FROM again")
 def reproduce(spark, d):
     return reproduced(spark, d).select("tender_id", "total", "matches", "differences", "match", "identical")
 
 
-@query("N6_verify_reproducibility")
+@query(
+    "N6_verify_reproducibility",
+    "tenders bidders criteria evaluations rerun uploads response_log ledger_events",
+    f"""WITH RECURSIVE {rp._CHAIN}, {_INPUTS}, {_RERUN}, {_STORED},
+    led AS (SELECT tender_id, count_if(NOT json_valid(event_data)) = 0 AS ok FROM chained GROUP BY 1),
+    docs_ok AS (SELECT try_cast(regexp_extract(tender_id, '(\\d+)', 1) AS BIGINT) AS tender_id, count(issue) = 0 AS ok FROM v GROUP BY tender_id),
+    ver AS (SELECT tender_id, count(DISTINCT model_version) <= 1 AS ok FROM response_log GROUP BY 1),
+    parts AS (SELECT i.tender_id, i.issues = '' AS inputs_ok, i.issues, coalesce(a.identical, true) AS rerun_ok, coalesce(led.ok, true) AS ledger_ok, coalesce(docs_ok.ok, true) AS documents_ok, coalesce(ver.ok, true) AS versions_ok
+        FROM inputs i LEFT JOIN again a ON a.tender_id = i.tender_id LEFT JOIN led ON led.tender_id = i.tender_id LEFT JOIN docs_ok ON docs_ok.tender_id = i.tender_id LEFT JOIN ver ON ver.tender_id = i.tender_id)
+    SELECT *, inputs_ok AND rerun_ok AND ledger_ok AND documents_ok AND versions_ok AS match FROM parts""",
+)
 def verify_reproducibility(spark, d):
     as_long = lambda rows: rows.withColumn("tender_id", F.regexp_extract(F.col("tender_id"), r"(\d+)", 1).try_cast("bigint"))
     integrity = as_long(N.document_integrity(document_hash_checks(spark, d))).where(F.col("tender_id").isNotNull())
@@ -448,7 +470,12 @@ def ledger_check(spark, d):
 # --- A15, L9: files ---------------------------------------------------------------------------
 
 
-@query("A15_L9_write_and_load_reports")
+@query(
+    "A15_L9_write_and_load_reports",
+    "evaluations",
+    f"""SELECT tender_id, count(*) AS total, count_if(status = 'auto_committed') AS auto_committed, count_if(status IN {rp._PEND}) AS pending,
+        count_if(status = 'resolved') AS completed, sha256(concat('report|', tender_id)) AS report_id FROM evaluations GROUP BY tender_id""",
+)
 def write_and_load_reports(spark, d):
     folder = files.shared_folder(spark)
     files.write_table(view(spark, d, "evaluations"), f"{folder}/evaluations", buckets=4)
