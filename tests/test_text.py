@@ -116,3 +116,11 @@ def test_layout_equals_a_running_cursor(spark):
             want[n] = (x, y, x + w, y + 14.0)
             x += w + 10.0
         assert got.get(str(i), {}) == want
+
+
+def test_unicode_spaces_are_read_as_blanks(spark):
+    pages = spark.createDataFrame([("d", 1, "Turnover: Rs.\u00a05\u00a0Crore\u2003only", 0.9), ("d", 2, "FY\u202f2023-24", 0.9)], "document_id string, page_number int, raw_text string, ocr_confidence double")
+    text = A.assemble_text(pages, "document_id").first()["text"]
+    assert text == "Turnover: Rs. 5 Crore only\nFY 2023-24"
+    amount = spark.createDataFrame([(text,)], "t string").select(B.numeric_value(F.col("t")).alias("n")).first()["n"]
+    assert amount["amount"] == 50_000_000
