@@ -361,7 +361,9 @@ _LINE = """concat('{{"bidder_id":', bidder_id, ',"confidence":', cast(confidence
     ',"source_document_id":"', source_document_id, '","source_page_number":', source_page_number, ',"verdict":"', verdict, '"}}')""".replace("{{", "{").replace("}}", "}")
 
 
-@query("N2_run_hash", "evaluations", f"SELECT tender_id, count(*) AS n, sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS run_hash FROM evaluations GROUP BY tender_id")
+@query("N2_run_hash", "evaluations", f"""WITH h AS (SELECT tender_id, sha256({_LINE}) AS h FROM evaluations),
+    p AS (SELECT tender_id, substr(h, 1, 3) AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1, 2)
+    SELECT tender_id, sum(n)::BIGINT AS n, sha256(string_agg(digest, '' ORDER BY part)) AS run_hash FROM p GROUP BY tender_id""")
 def run_hash(spark, d):
     return N.run_hash(view(spark, d, "evaluations"))
 
