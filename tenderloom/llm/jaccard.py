@@ -2,8 +2,10 @@
 
 Equal texts are one class from the start. MinHash signatures are cut into bands; the numbers of bands and
 rows follow from the target recall at the threshold (``bands_for``), and texts that agree in a band meet in a
-bucket. Every pair of texts that meets in a bucket is verified on its full sets of runs, so there are no
-false links, and a link is missed only if no band agrees, with probability below 1 - recall.
+bucket. Every pair of texts that meets in a bucket, and whose numbers of runs allow the similarity, is verified
+on its full sets of runs, so there are no false links, and a link is missed only if no band agrees, with
+probability below 1 - recall. Buckets are looked through in order of bucket and size, cut into even ranges
+wherever they are large.
 
 No pair is written. Candidate texts lie in blocks of about ``block_runs`` runs; texts of a bucket tend to share
 a block. A pair of blocks that share a bucket is one task, which finds its candidate pairs by their
@@ -33,6 +35,7 @@ from .common import WordHashes, blobs_of, mixed, slices, window_hashes, written
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 BLOCK_RUNS = 250_000
 HOPS = 2
+RUN_BYTES = 5
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -95,26 +98,45 @@ def text_key():
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
+def bucket_members(entries: DataFrame, threshold: float) -> DataFrame:
+    """bucket and id for entries (bucket, n_runs, id) with a neighbour in the bucket of a size that allows the similarity.
+
+    Sorted by bucket and size, an entry that has such a companion has one next to it. Entries at the ends of
+    a batch, whose neighbours are out of sight, stay.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, size = (batch.column(k).to_numpy() for k in ("bucket", "n_runs"))
+            pair = (bucket[1:] == bucket[:-1]) & (size[:-1] >= threshold * size[1:] - 1e-9)
+            keep = np.ones(len(bucket), bool)
+            keep[1:-1] = pair[:-1] | pair[1:]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("id")], ["bucket", "id"]).filter(pa.array(keep))
+
+    order = ["bucket", "n_runs", "id"]
+    return entries.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(close, "bucket bigint, id bigint")
+
+
 def near_labels(members: DataFrame) -> DataFrame:
-    """key and a label that texts of one bucket tend to share; it only decides which block a text lies in."""
-    labels = members.select("key", F.col("key").alias("label")).distinct()
+    """id and a label that texts of one bucket tend to share; it only decides which block a text lies in."""
+    labels = members.select("id", F.col("id").alias("label")).distinct()
     for _ in range(HOPS):
-        tops = members.join(labels, "key").groupBy("bucket").agg(F.min("label").alias("label"))
-        labels = members.join(tops, "bucket").groupBy("key").agg(F.min("label").alias("label"))
+        tops = members.join(labels, "id").groupBy("bucket").agg(F.min("label").alias("label"))
+        labels = members.join(tops, "bucket").groupBy("id").agg(F.min("label").alias("label"))
     return labels
 
 
 def blocks(members: DataFrame, texts: DataFrame, block_runs: int) -> DataFrame:
-    """key and block for candidate texts (key, n_runs).
+    """id and block for candidate texts (id, n_runs).
 
     Labels are dealt to bins of about ``block_runs`` runs; one with more runs is cut by a hash of the text.
     """
-    sized = written(texts.join(near_labels(members), "key"), "labelled")
+    sized = written(texts.join(near_labels(members), "id"), "labelled")
     runs = sized.agg(F.sum("n_runs")).first()[0] or 0
     bins = max(1, -(-runs // block_runs))
     labels = sized.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_runs") / block_runs), F.lit(1)).alias("chunks"))
-    bin_, chunk = F.pmod(F.xxhash64("label"), F.lit(bins)), F.pmod(F.xxhash64("key"), F.col("chunks"))
-    return sized.join(labels, "label").select("key", (bin_ * (1 << 31) + chunk).alias("block"))
+    bin_, chunk = F.pmod(F.xxhash64("label"), F.lit(bins)), F.pmod(F.xxhash64("id"), F.col("chunks"))
+    return sized.join(labels, "label").select("id", (bin_ * (1 << 31) + chunk).alias("block"))
 
 
 def verified(same: bool, bands: np.ndarray, sets: list[np.ndarray], sides: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +185,23 @@ def verified(same: bool, bands: np.ndarray, sets: list[np.ndarray], sides: tuple
     return i[linked], j[linked]
 
 
+def packed(runs: np.ndarray) -> bytes:
+    """A set of run hashes in five bytes each: 40 bits tell the runs of two texts apart."""
+    return np.unique(runs >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // RUN_BYTES, 8), np.uint8)
+    out[:, :RUN_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, RUN_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 def local_links(table: pa.Table, threshold: float) -> pa.Table:
     """For one pair of blocks: key, links and root (the least key of the local group) of every linked text."""
     p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
     block, keys = table.column("block").to_numpy(), table.column("key").to_pylist()
     bands = np.array(table.column("bands").to_pylist(), np.int64)
-    sets = [np.frombuffer(b, np.uint64) for b in table.column("runs").to_pylist()]
+    sets = [unpacked(b) for b in table.column("runs").to_pylist()]
     i, j = verified(p == q, bands, sets, (block == p, block == q), threshold)
     links = np.bincount(np.concatenate([i, j]), minlength=len(keys))
     root = list(range(len(keys)))
@@ -217,31 +250,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     bands, rows = bands_for(threshold, recall, most_hashes)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, width, bands, rows), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("text_doc"), F.count("*").alias("n_docs"), F.first("n_runs").alias("n_runs"), F.first("bands").alias("bands"))
-    texts = written(texts, "texts")
-    entries = texts.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(entries.join(shared, "bucket"), "members")
-    candidates = texts.join(members.select("key").distinct(), "key")
-    placed = written(blocks(members, candidates.select("key", "n_runs"), block_runs), "blocks")
-    met = members.join(placed, "key").select("bucket", "block").distinct()
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("text_doc"), F.count("*").alias("n_docs"), F.first("n_runs").alias("n_runs"))
+    # 64 bits of the key stand for a text until its set is fetched; texts that share them only meet needlessly.
+    texts = written(texts.withColumn("id", F.xxhash64("key")), "texts")
+    one = signed.join(texts.select("key", "text_doc", "id"), "key").where(F.col("doc_id").eqNullSafe(F.col("text_doc")))
+    entries = one.select("id", "n_runs", F.explode("bands").alias("bucket"))
+    members = written(bucket_members(entries, threshold), "members")
+    candidates = texts.join(members.select("id").distinct(), "id")
+    placed = written(blocks(members, candidates.select("id", "n_runs"), block_runs), "blocks")
+    met = members.join(placed, "id").select("bucket", "block").distinct()
     pairs = met.select("bucket", F.col("block").alias("p")).join(met.select("bucket", F.col("block").alias("q")), "bucket").where("p <= q").select("p", "q").distinct()
     pairs = written(pairs, "block-pairs")
     tasks = pairs.select(F.col("p").alias("block"), "p", "q").unionByName(pairs.where("p < q").select(F.col("q").alias("block"), "p", "q"))
     tasks = tasks.groupBy("block").agg(F.collect_list(F.struct("p", "q")).alias("tasks"))
-    wanted = candidates.select("key", "text_doc", "bands").join(placed, "key").join(tasks, "block")
+    wanted = candidates.select("id", "key", "text_doc").join(placed, "id").join(tasks, "block").drop("id")
     # Copies have other doc_ids, so the join moves each text once and no text's copies to one task.
     texts_of = docs.withColumn("key", text_key()).alias("d")
     sent = texts_of.join(wanted.hint("shuffle_hash").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.text_doc")) & (F.col("d.key") == F.col("w.key")))
-    sent = sent.select("w.key", "w.bands", "w.block", "w.tasks", "d.text")
+    sent = sent.select("w.key", "w.block", "w.tasks", "d.text")
 
     def with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            runs = [np.unique(runs_of(hashes((b or b"").split()), width)).tobytes() for b in blobs_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "bands", "block", "tasks")), pa.array(runs, pa.binary())], ["key", "bands", "block", "tasks", "runs"])
+            for a, b in slices(batch.column("text")):
+                runs = [runs_of(hashes((x or b"").split()), width) for x in blobs_of(batch.column("text").slice(a, b - a))]
+                keys = pa.array(band_keys(runs, bands, rows).view(np.int64).tolist(), pa.list_(pa.int64()))
+                own = [batch.column(k).slice(a, b - a) for k in ("key", "block", "tasks")]
+                yield pa.RecordBatch.from_arrays([*own, keys, pa.array([packed(r) for r in runs], pa.binary())], ["key", "block", "tasks", "bands", "runs"])
 
-    sets = sent.mapInArrow(with_runs, "key binary, bands array<bigint>, block bigint, tasks array<struct<p:bigint,q:bigint>>, runs binary")
+    sets = sent.mapInArrow(with_runs, "key binary, block bigint, tasks array<struct<p:bigint,q:bigint>>, bands array<bigint>, runs binary")
     dealt = sets.select("key", "bands", "block", F.explode("tasks").alias("t"), "runs").select("key", "bands", "block", "t.p", "t.q", "runs")
     # A document repeated row by row would be sent twice.
     local = dealt.groupBy("p", "q").applyInArrow(lambda t: local_links(_once(t), threshold), "key binary, links bigint, root binary")
