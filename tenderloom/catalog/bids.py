@@ -10,6 +10,7 @@ from ..operators import entity as G
 from ..operators import evaluate as E
 from ..operators import evidence as V
 from ..plans import evaluation as plans
+from ..sources import files
 from ..sources.adapters import view
 from . import documents as docs
 from . import duck as D
@@ -312,7 +313,7 @@ def extraction_confidence(spark, d):
 
 
 def all_evidence(spark, d):
-    return V.extract_evidence(pairs(spark, d), bid_documents(spark, d), bid_tables(spark, d), assessments(spark, d), as_of=AS_OF)
+    return V.extract_evidence(pairs(spark, d), bid_documents(spark, d), bid_tables(spark, d), assessments(spark, d), as_of=AS_OF, keep=files.kept)
 
 
 @query("F20_extract_evidence")
@@ -458,7 +459,7 @@ def entity_consensus(spark, d):
 def full_run(spark, d, text=None):
     return plans.evaluate_all(
         view(spark, d, "bidders"), view(spark, d, "criteria"), bid_documents(spark, d), view(spark, d, "debarment_list"), view(spark, d, "precedents"),
-        bid_tables(spark, d), assessments(spark, d), as_of=AS_OF,
+        bid_tables(spark, d), assessments(spark, d), as_of=AS_OF, keep=files.kept,
     )
 
 

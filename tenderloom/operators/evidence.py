@@ -8,6 +8,8 @@ every criterion.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -315,16 +317,18 @@ def extraction_confidence(base: Column, criterion_type: Column, flag: Column) ->
 
 
 def extract_evidence(
-    pairs: DataFrame, documents: DataFrame, tables: DataFrame | None = None, assessments: DataFrame | None = None, *, as_of: str
+    pairs: DataFrame, documents: DataFrame, tables: DataFrame | None = None, assessments: DataFrame | None = None, *, as_of: str,
+    keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Evidence for every pair, whatever its type; unknown types carry no value.
 
     ``pairs`` are bidders with the criteria of their tender; ``documents`` are the
     assembled files.  The extracted company name is compared with the registered one.
+    What a file offers is used twice; ``keep`` may write it somewhere and return it read back.
     """
     from .entity import match_entity
 
-    facts = document_facts(documents)
+    facts = keep(document_facts(documents))
     profile = project_profile(bidder_profile(facts, as_of), facts, tables).drop("tender_id")
     # Both names depend on the bidder alone, so they are compared once for each.
     named = pairs.groupBy("bidder_id").agg(F.first("company_name").alias("registered_name")).join(profile, "bidder_id", "left")

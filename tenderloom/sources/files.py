@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tenderloom-")
 
 
+def kept(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows written to the shared folder and read from there, for plans that use them several times."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Document files as (filename, content, uploaded_at) rows."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
