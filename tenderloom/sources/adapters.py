@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import patterns as P
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -59,15 +61,9 @@ def _two(expr: str) -> str:
 
 
 _CKEY = "(o_orderkey - o_orderkey % 4)"
-_STATES = (
-    "DOCUMENTS_UPLOADED PROCESSING_OCR OCR_COMPLETE EXTRACTING_CRITERIA SCHEMA_PENDING_REVIEW "
-    "SCHEMA_APPROVED DEBARMENT_CHECK DEBARMENT_FLAGGED BIDDER_EXCLUDED EVALUATING VERDICTS_COMPUTED "
-    "HITL_PENDING EVALUATION_COMPLETE REPORT_GENERATED"
-).split()
-
 
 def _state(expr: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STATES))
+    whens = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(P.STATES))
     return f"CASE {expr} {whens} ELSE 'UNKNOWN' END"
 
 
