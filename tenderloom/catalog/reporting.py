@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import evaluate as E
+from ..operators import ingest as A
 from ..operators import ledger as L
 from ..operators import report as R
 from ..operators import review as J
@@ -445,12 +446,24 @@ def decisions_to_precedents(spark, d):
 
 @query(
     "M4_emit_events",
-    "evaluations decisions criteria bid_pages",
+    "evaluations decisions criteria bid_pages amendments approvals bidders evidence tenders",
     f"""WITH {_DECIDED} SELECT tender_id, 'document_received' AS event_type, concat('{{"doc_type":"', doc_type, '","document_id":"', document_id, '"}}') AS event_data, 'system' AS actor, uploaded_at AS ts_text FROM bid_pages WHERE page_number = 0
     UNION ALL SELECT tender_id, 'verdict_computed', concat('{{"bidder_id":', bidder_id, ',"confidence":', {D.two('confidence')}, ',"criterion_id":', criterion_id, ',"evaluation_id":"', evaluation_id, '","verdict":"', verdict, '"}}'), 'system', created_at FROM evaluations
     UNION ALL SELECT tender_id, 'case_routed', concat('{{"evaluation_id":"', evaluation_id, '","flags":', CASE WHEN entity_match_flag THEN '["entity_mismatch"]' ELSE '[]' END, ',"route":"', route, '"}}'), 'system', created_at FROM evaluations
     UNION ALL SELECT tender_id, 'officer_decision', concat('{{"decision":"', decision, '","evaluation_id":"', evaluation_id, '","officer_id":"', officer_id, '","reason":', CASE WHEN reason IS NULL THEN 'null' ELSE concat('"', reason, '"') END,
-        ',"requires_second_officer":', CASE WHEN new_status = 'resolved' THEN 'false' ELSE 'true' END, '}}'), officer_id, decided_at FROM applied WHERE code IS NULL""",
+        ',"requires_second_officer":', CASE WHEN new_status = 'resolved' THEN 'false' ELSE 'true' END, '}}'), officer_id, decided_at FROM applied WHERE code IS NULL
+    UNION ALL SELECT tender_id, 'ocr_completed', concat('{{"avg_ocr_confidence":', {D.two('avg(ocr_confidence)')}, ',"degraded_pages":[', coalesce(string_agg(page_number, ',' ORDER BY page_number) FILTER (WHERE ocr_confidence < 0.5), ''),
+        '],"document_id":"', document_id, '","page_count":', count(*), '}}'), 'system', max(uploaded_at) FROM bid_pages GROUP BY tender_id, document_id
+    UNION ALL SELECT tender_id, 'corrigendum_linked', concat('{{"corrigendum_document_id":"', corrigendum_id, '","criteria_amended":', count(*), '}}'), 'system', min(uploaded_at) FROM amendments GROUP BY tender_id, corrigendum_id
+    UNION ALL SELECT a.tender_id, 'schema_approved', concat('{{"criteria_count":', coalesce(n, 0), ',"officer_id":"', officer_id, '"}}'), officer_id, approved_at
+        FROM approvals a LEFT JOIN (SELECT tender_id, count(*) AS n FROM criteria GROUP BY 1) c ON c.tender_id = a.tender_id
+    UNION ALL SELECT tender_id, 'debarment_checked', concat('{{"bidder_id":', bidder_id, ',"check_method":', CASE WHEN debarment_status = 'flagged' THEN '"recorded"' ELSE 'null' END, ',"company_name":"', company_name, '","is_debarred":',
+        CASE WHEN debarment_status = 'flagged' THEN 'true' ELSE 'false' END, '}}'), 'system', '2024-01-15T00:00:00Z' FROM bidders
+    UNION ALL SELECT e.tender_id, 'evidence_extracted', concat('{{"bidder_id":', bidder_id, ',"criterion_id":', e.criterion_id, ',"criterion_type":"', criterion_type, '","entity_match_flag":', CASE WHEN entity_match_flag THEN 'true' ELSE 'false' END,
+        ',"extraction_confidence":', {D.two('extraction_confidence')}, ',"source_document_id":', CASE WHEN source_filename IS NULL THEN 'null' ELSE concat('"', source_filename, '"') END, '}}'), 'system', '2024-02-01T00:00:00Z'
+        FROM evidence e JOIN criteria c ON c.criterion_id = e.criterion_id
+    UNION ALL SELECT t.tender_id, 'report_generated', concat('{{"audit_trail_entries":', coalesce(n, 0), ',"officer_id":"officer-0","report_id":"', sha256(concat('report|', t.tender_id)), '"}}'), 'officer-0', '2024-07-01T00:00:00Z'
+        FROM tenders t LEFT JOIN (SELECT tender_id, count(*) AS n FROM evaluations GROUP BY 1) v ON v.tender_id = t.tender_id""",
 )
 def emit_events(spark, d):
     e, x, c, p = _views(spark, d, "evaluations decisions criteria bid_pages")
@@ -475,4 +488,38 @@ def emit_events(spark, d):
          "requires_second_officer": json_bool(F.col("new_status") == "pending_second_officer")},
         F.col("officer_id"), F.col("decided_at"),
     )
-    return L.emit_events(received, verdicts, routed, decided)
+    number = lambda n: json_number(F.col(n))
+    degraded = F.array_sort(F.collect_list(F.when(A.is_degraded(F.col("ocr_confidence")), F.col("page_number"))))  # pages of one file
+    read = p.groupBy("tender_id", "document_id").agg(
+        F.avg("ocr_confidence").alias("mean"), F.count(F.lit(1)).alias("pages"), degraded.alias("degraded"), F.max("uploaded_at").alias("at")
+    )
+    read = L.event_rows(
+        read, "ocr_completed",
+        {"document_id": s("document_id"), "page_count": number("pages"), "avg_ocr_confidence": two(F.col("mean")),
+         "degraded_pages": F.concat(F.lit("["), F.array_join(F.col("degraded").cast("array<string>"), ","), F.lit("]"))},
+        "system", F.col("at"),
+    )
+    amendments, approvals, bidders, evidence, tenders = _views(spark, d, "amendments approvals bidders evidence tenders")
+    linked = amendments.groupBy("tender_id", "corrigendum_id").agg(F.count(F.lit(1)).alias("n"), F.min("uploaded_at").alias("at"))
+    linked = L.event_rows(linked, "corrigendum_linked", {"corrigendum_document_id": s("corrigendum_id"), "criteria_amended": number("n")}, "system", F.col("at"))
+    counted = approvals.join(c.groupBy("tender_id").agg(F.count(F.lit(1)).alias("n")), "tender_id", "left").na.fill(0, ["n"])
+    approved = L.event_rows(counted, "schema_approved", {"officer_id": s("officer_id"), "criteria_count": number("n")}, F.col("officer_id"), F.col("approved_at"))
+    barred = F.col("debarment_status") == "flagged"
+    screened = L.event_rows(
+        bidders, "debarment_checked",
+        {"bidder_id": number("bidder_id"), "company_name": s("company_name"), "is_debarred": json_bool(barred), "check_method": json_string(F.when(barred, "recorded"))},
+        "system", F.lit("2024-01-15T00:00:00Z"),
+    )
+    found = L.event_rows(
+        evidence.join(c.select("criterion_id", "criterion_type"), "criterion_id"), "evidence_extracted",
+        {"bidder_id": number("bidder_id"), "criterion_id": number("criterion_id"), "criterion_type": s("criterion_type"), "source_document_id": s("source_filename"),
+         "extraction_confidence": two(F.col("extraction_confidence")), "entity_match_flag": json_bool(F.col("entity_match_flag"))},
+        "system", F.lit("2024-02-01T00:00:00Z"),
+    )
+    trails = tenders.join(e.groupBy("tender_id").agg(F.count(F.lit(1)).alias("n")), "tender_id", "left").na.fill(0, ["n"])
+    report = F.sha2(F.concat(F.lit("report|"), F.col("tender_id").cast("string")), 256)
+    reported = L.event_rows(
+        trails, "report_generated", {"report_id": json_string(report), "officer_id": json_string(F.lit("officer-0")), "audit_trail_entries": number("n")},
+        "officer-0", F.lit("2024-07-01T00:00:00Z"),
+    )
+    return L.emit_events(received, read, linked, approved, screened, found, verdicts, routed, decided, reported)
