@@ -70,7 +70,7 @@ def band_keys(runs: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (a hash of the text), n_runs and band keys of every document."""
+    """doc_id, key (a hash of the text), n_runs (its distinct runs) and band keys of every document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 keys: list[list[int]] = [[] for _ in runs]
                 for i, own in zip(full, found, strict=True):
                     keys[i] = own
-                out = [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array([len(r) for r in runs], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                out = [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array([len(distinct(r)) for r in runs], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "key", "n_runs", "bands"])
 
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
@@ -185,9 +185,14 @@ def verified(same: bool, bands: np.ndarray, sets: list[np.ndarray], sides: tuple
     return i[linked], j[linked]
 
 
+def distinct(runs: np.ndarray) -> np.ndarray:
+    """The set of a text's run hashes: 40 bits tell the runs of two texts apart."""
+    return np.unique(runs >> np.uint64(24))
+
+
 def packed(runs: np.ndarray) -> bytes:
-    """A set of run hashes in five bytes each: 40 bits tell the runs of two texts apart."""
-    return np.unique(runs >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES].tobytes()
+    """A set of run hashes in five bytes each."""
+    return distinct(runs).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES].tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:

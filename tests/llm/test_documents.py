@@ -326,6 +326,24 @@ def test_near_duplicates(spark, block_runs):
     assert sum(r.n_links for r in got) > 1000
 
 
+def repeated_rows():
+    """Texts with nearly the same set of runs, which repeat them more or less often."""
+    once = " ".join(f"once{k}" for k in range(200))
+    line = " ".join(f"line{k}" for k in range(12))
+    rows = [(30_000 + n, " ".join([once] * n), "en", "s", 1) for n in (1, 2, 3)]
+    return rows + [(31_000 + n, "\n".join([line] * n), "en", "s", 1) for n in (10, 30, 90)]
+
+
+def test_near_duplicates_of_repeated_text(spark):
+    rows = repeated_rows()
+    want = brute_classes(rows)
+    assert sorted(want) == [(30_000 + n, 30_001, 2, 0) for n in (1, 2, 3)] + [(31_000 + n, 31_010, 2, 0) for n in (10, 30, 90)]
+    # Among other texts, so that the neighbours in a bucket are seen.
+    rows += near_rows()
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == brute_classes(rows)
+
+
 def test_representatives(spark):
     rows = near_rows()
     kept = jaccard.representatives(frame(spark, rows, clash=True)).select("row.*")
