@@ -9,8 +9,9 @@ wherever they are large.
 
 No pair is written. Candidate texts lie in blocks of about ``block_runs`` runs; texts of a bucket tend to share
 a block. A pair of blocks that share a bucket is one task, which finds its candidate pairs by their
-bands, verifies them with bit sets, and returns, per text, the number of links and the smallest text of its
-local group. Every pair of texts belongs to one pair of blocks, so links add up exactly; a large
+bands, verifies them in bounded slices with bit sets, and returns, per text, the number of links and the
+smallest text of its local group. Links inside a large group that follow from the runs most of its texts have
+are counted without their pairs (``Families``). Every pair of texts belongs to one pair of blocks, so links add up exactly; a large
 group of near copies spreads over many pairs of blocks. Groups are joined by label propagation with the
 labels written to the shared folder after each round.
 
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, blobs_of, mixed, slices, window_hashes, written
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-BLOCK_RUNS = 250_000
+BLOCK_RUNS, BLOCK_TEXTS = 250_000, 10_000
+#: Bounds of what a task holds at once: pairs by bands, cells of texts by texts, bytes of bit sets.
+SLICE_PAIRS, SLICE_CELLS, BIT_SET_BYTES = 2_000_000, 16_000_000, 32 << 20
+LEAST_FAMILY = 64
 HOPS = 2
 RUN_BYTES = 5
 
@@ -130,59 +134,134 @@ def blocks(members: DataFrame, texts: DataFrame, block_runs: int) -> DataFrame:
     """id and block for candidate texts (id, n_runs).
 
     Labels are dealt to bins of about ``block_runs`` runs; one with more runs is cut by a hash of the text.
+    A text counts as so many runs at least that a block has about ``BLOCK_TEXTS`` texts at most.
     """
     sized = written(texts.join(near_labels(members), "id"), "labelled")
-    runs = sized.agg(F.sum("n_runs")).first()[0] or 0
-    bins = max(1, -(-runs // block_runs))
-    labels = sized.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_runs") / block_runs), F.lit(1)).alias("chunks"))
+    weight = F.sum(F.greatest("n_runs", F.ceil(F.lit(block_runs) / BLOCK_TEXTS)))
+    bins = max(1, -(-(sized.agg(weight).first()[0] or 0) // block_runs))
+    labels = sized.groupBy("label").agg(F.greatest(F.ceil(weight / block_runs), F.lit(1)).alias("chunks"))
     bin_, chunk = F.pmod(F.xxhash64("label"), F.lit(bins)), F.pmod(F.xxhash64("id"), F.col("chunks"))
     return sized.join(labels, "label").select("id", (bin_ * (1 << 31) + chunk).alias("block"))
 
 
-def verified(same: bool, bands: np.ndarray, sets: list[np.ndarray], sides: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) among texts that agree in a band; ``sides`` says which texts lie in either block."""
-    n, codes = len(sets), np.zeros(0, np.int64)
-    left, right = sides
+class Families:
+    """Large groups of texts around a core of runs, and the links inside them that the core proves.
+
+    Two texts with c and d of the core's k runs share at least c + d - k runs. Written as one integer weight a
+    text, the bound proves a link wherever two weights of a family add up to 0 or more, so such links are
+    counted on sorted weights and no pair of them is made. Pairs that the bound leaves open are verified.
+    """
+
+    def __init__(self, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> None:
+        n = len(sets)
+        self.family, self.weight, self.number = np.full(n, -1), np.zeros(n, np.int64), 0
+        sizes = np.array([len(s) for s in sets])
+        flat, starts = None, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        seeds = np.ones(n, bool)
+        for column in bands.T:
+            order = np.argsort(column, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(column[order]) != 0, [True]]))
+            for at in np.flatnonzero(np.diff(cuts) >= LEAST_FAMILY):
+                group = order[cuts[at] : cuts[at + 1]]
+                group = group[seeds[group]]
+                if len(group) < LEAST_FAMILY:
+                    continue
+                seeds[group] = False
+                flat = np.concatenate(sets) if flat is None else flat
+                values, counts = np.unique(np.concatenate([sets[k] for k in group]), return_counts=True)
+                core = values[2 * counts > len(group)]
+                inside = np.add.reduceat(np.isin(flat, core).astype(np.int64), starts)
+                weight = np.floor(1000 * ((1 + threshold) * (inside - len(core) / 2) - threshold * sizes)).astype(np.int64)
+                free = self.family < 0
+                own = free & (weight + weight[free].max(initial=-(1 << 40)) >= 0)
+                if own.sum() >= LEAST_FAMILY:
+                    self.family[own], self.weight[own] = self.number, weight[own]
+                    self.number += 1
+                    seeds[own] = False
+
+    def links(self, same: bool, sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of proven links of each text, and pairs (i, j) that join what they join."""
+        links, stars = np.zeros(len(self.family), np.int64), [np.zeros((2, 0), np.int64)]
+        for number in range(self.number):
+            for side, other in [(sides[0], sides[0])] if same else [sides, sides[::-1]]:
+                own, others = (np.flatnonzero((self.family == number) & x) for x in (side, other))
+                if not len(own) or not len(others):
+                    continue
+                weight, ordered = self.weight[own], np.sort(self.weight[others])
+                links[own] += len(ordered) - np.searchsorted(ordered, -weight) - (same & (weight >= 0))
+                # Whatever has a proven link has one with the greatest weight of the other side.
+                top = others[np.argmax(self.weight[others])]
+                joined = own[(weight + self.weight[top] >= 0) & (own != top)]
+                stars.append(np.stack([joined, np.full(len(joined), top)]))
+        return links, *np.concatenate(stars, axis=1)
+
+
+def open_pairs(same: bool, bands: np.ndarray, families: Families, sides: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of pairs (i, j) that agree in a band and are not proven, each pair once; ``sides`` says which texts lie in either block."""
+    n, family, weight = len(bands), families.family, families.weight
+    left, right = (np.flatnonzero(side) for side in sides)
+    reach, offset, ranges = 1 << 41, 1 << 40, []
     for column in bands.T:
-        order = np.argsort(column, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(column[order]) != 0]))
-        sizes = np.diff(np.append(starts, n))
-        found = []
-        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            group = order[at : at + size]
-            if same:
-                i, j = np.triu_indices(len(group), 1)
-                i, j = group[i], group[j]
-            else:
-                a, b = group[left[group]], group[right[group]]
-                i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-            found.append(np.minimum(i, j) * n + np.maximum(i, j))
-        if found:
-            codes = np.union1d(codes, np.concatenate(found))
-    i, j = codes // n, codes % n
-    sizes = np.array([len(s) for s in sets])
-    alike = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
-    i, j = i[alike], j[alike]
-    if not len(i):
-        return i, j
+        bucket = np.unique(column, return_inverse=True)[1]
+        part = bucket * (families.number + 1) + family + 1
+        # By bucket, family and weight: what a text's own weight proves is the end of its family's stretch.
+        order = right[np.lexsort((weight[right], part[right]))]
+        first, last = (np.searchsorted(bucket[order], bucket[left], side) for side in ("left", "right"))
+        start, end = (np.searchsorted(part[order], part[left], side) for side in ("left", "right"))
+        known, place = np.unique(part[order], return_inverse=True)
+        asked = np.searchsorted(known, part[left]) * reach + offset - weight[left]
+        proven = np.clip(np.searchsorted(place * reach + offset + weight[order], asked), start, end)
+        ranges.append((order, first, np.where(family[left] < 0, end, proven) - first, end, last - end))
+    ahead = np.cumsum(np.sum([r[2] + r[4] for r in ranges], axis=0))
+    at = 0
+    while at < len(left):
+        done = ahead[at - 1] if at else 0
+        to = max(at + 1, min(int(np.searchsorted(ahead, done + SLICE_PAIRS, "right")), at + SLICE_CELLS // n))
+        met = np.zeros((min(to, len(left)) - at, n), bool)
+        for order, first, some, end, rest in ranges:
+            for starts, lengths in ((first[at:to], some[at:to]), (end[at:to], rest[at:to])):
+                ends = np.cumsum(lengths)
+                places = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])
+                met[np.repeat(np.arange(len(lengths)), lengths), order[places]] = True
+        i, j = np.nonzero(met)
+        i = left[i + at]
+        yield (i[i < j], j[i < j]) if same else (i, j)
+        at = to
+
+
+def shared_runs(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The numbers of runs that pairs of texts share, with bit sets over bounded ranges of runs."""
     used = np.unique(np.concatenate([i, j]))
-    values, counts = np.unique(np.concatenate([sets[k] for k in used]), return_counts=True)
-    shared = values[counts > 1]
-    place, packed = np.full(n, -1), np.zeros((len(used), -(-max(len(shared), 1) // 64) * 8), np.uint8)
-    for row, k in enumerate(used):
-        at = np.searchsorted(shared, sets[k])
-        at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == sets[k])] if len(shared) else at[:0]
-        bits = np.zeros(packed.shape[1] * 8, bool)
-        bits[at] = True
-        packed[row], place[k] = np.packbits(bits), row
-    lanes = packed.view(np.uint64)
-    both = np.zeros(len(i), np.int64)
-    step = max(1, (8 << 20) // max(1, packed.shape[1]))
-    for at in range(0, len(i), step):
-        own = slice(at, at + step)
-        both[own] = np.bitwise_count(lanes[place[i[own]]] & lanes[place[j[own]]]).sum(1, dtype=np.int64)
-    linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
-    return i[linked], j[linked]
+    place = np.full(len(sets), -1)
+    place[used] = np.arange(len(used))
+    _, column, counts = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    row, column = row[counts[column] > 1], (np.cumsum(counts > 1) - 1)[column[counts[column] > 1]]
+    n_columns, both = int((counts > 1).sum()), np.zeros(len(i), np.int64)
+    width = max(64, BIT_SET_BYTES * 8 // len(used) // 64 * 64)
+    for low in range(0, n_columns, width):
+        inside = (column >= low) & (column < low + width)
+        bits = np.zeros((len(used), -(-min(width, n_columns - low) // 64) * 8), np.uint8)
+        # Each run is in a set once, so adding sets its bit.
+        np.add.at(bits, (row[inside], (column[inside] - low) // 8), np.uint8(1) << ((column[inside] - low) % 8).astype(np.uint8))
+        lanes = bits.view(np.uint64)
+        step = max(1, (8 << 20) // bits.shape[1])
+        for at in range(0, len(i), step):
+            own = slice(at, at + step)
+            both[own] += np.bitwise_count(lanes[place[i[own]]] & lanes[place[j[own]]]).sum(1, dtype=np.int64)
+    return both
+
+
+def verified(pairs: Iterator[tuple[np.ndarray, np.ndarray]], sets: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs that are linked."""
+    sizes = np.array([len(s) for s in sets])
+    for i, j in pairs:
+        alike = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+        i, j = i[alike], j[alike]
+        if len(i):
+            both = shared_runs(i, j, sets)
+            linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+            yield i[linked], j[linked]
 
 
 def distinct(runs: np.ndarray) -> np.ndarray:
@@ -205,24 +284,34 @@ def local_links(table: pa.Table, threshold: float) -> pa.Table:
     """For one pair of blocks: key, links and root (the least key of the local group) of every linked text."""
     p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
     block, keys = table.column("block").to_numpy(), table.column("key").to_pylist()
-    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(keys), -1)
     sets = [unpacked(b) for b in table.column("runs").to_pylist()]
-    i, j = verified(p == q, bands, sets, (block == p, block == q), threshold)
-    links = np.bincount(np.concatenate([i, j]), minlength=len(keys))
-    root = list(range(len(keys)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            low, high = (a, b) if keys[a] <= keys[b] else (b, a)
-            root[high] = low
+    sides = (block == p, block == q)
+    families = Families(bands, sets, threshold)
+    links, *stars = families.links(p == q, sides)
+    # Texts are joined by the ranks of their keys, so a root is the least of its group.
+    ranked = sorted(range(len(keys)), key=keys.__getitem__)
+    rank = np.empty(len(keys), np.int64)
+    rank[ranked] = np.arange(len(keys))
+    root = np.arange(len(keys))
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        ends = np.unique(np.stack([root[rank[i]], root[rank[j]]]), axis=1)
+        for a, b in ends[:, ends[0] != ends[1]].T.tolist():
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+    join(*stars)
+    for i, j in verified(open_pairs(p == q, bands, families, sides), sets, threshold):
+        links += np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
+        join(i, j)
     out = np.flatnonzero(links)
-    columns = [[keys[k] for k in out], links[out].tolist(), [keys[find(k)] for k in out.tolist()]]
+    columns = [[keys[k] for k in out], links[out].tolist(), [keys[ranked[k]] for k in root[rank[out]].tolist()]]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "links", "root"])
 
 

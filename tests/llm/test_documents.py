@@ -344,6 +344,72 @@ def test_near_duplicates_of_repeated_text(spark):
     assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == brute_classes(rows)
 
 
+def templated(k):
+    """Texts of three templates that differ in the last word."""
+    return [b"%d-%d" % (k // 2 % 3, i) for i in range(30)] + [b"id%d" % k]
+
+
+def edited(k):
+    """Texts of one template with up to three changed words."""
+    import random
+
+    rng, own = random.Random(k), [b"e%d" % i for i in range(60)]
+    for _ in range(k % 4):
+        own[rng.randrange(60)] = b"new%d" % rng.randrange(9)
+    return own[: rng.randrange(52, 61)]
+
+
+def block_table(texts, same):
+    runs = [jaccard.runs_of(WordHashes()(t), 5) for t in texts]
+    bands = jaccard.band_keys(runs, *jaccard.bands_for(0.8, 0.9999, 128)).view(np.int64)
+    names = [0 if same else k % 2 for k in range(len(texts))]
+    import pyarrow as pa
+
+    kinds = {"p": pa.int64(), "q": pa.int64(), "block": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64()), "runs": pa.binary()}
+    columns = [[0] * len(texts), [max(names)] * len(texts), names, [k.to_bytes(4, "big") for k in range(len(texts))], bands.tolist(), [jaccard.packed(r) for r in runs]]
+    return pa.table({k: pa.array(c, kinds[k]) for k, c in zip(kinds, columns, strict=True)})
+
+
+@pytest.mark.parametrize("bounds", [None, (3000, 20_000, 4000)])
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("text", [templated, edited])
+def test_links_of_dense_blocks(monkeypatch, text, same, bounds):
+    for name, bound in zip(("SLICE_PAIRS", "SLICE_CELLS", "BIT_SET_BYTES"), bounds or (), strict=False):
+        monkeypatch.setattr(jaccard, name, bound)
+    texts = [text(k) for k in range(400)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links, root = Counter(), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (same or i % 2 != j % 2) and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = jaccard.local_links(block_table(texts, same), 0.8).to_pylist()
+    assert {int.from_bytes(r["key"], "big"): (r["links"], int.from_bytes(r["root"], "big")) for r in got} == {k: (n, find(k)) for k, n in links.items()}
+    assert len(got) > 200
+
+
+def test_a_hot_group_makes_no_pairs(monkeypatch):
+    import tracemalloc
+
+    n = 6000
+    table_ = block_table([templated(k) for k in range(n)], True)
+    tracemalloc.start()
+    got = jaccard.local_links(table_, 0.8).column("links").to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [n // 3 - 1] * n and most < 200e6
+
+
 def test_representatives(spark):
     rows = near_rows()
     kept = jaccard.representatives(frame(spark, rows, clash=True)).select("row.*")
