@@ -13,7 +13,7 @@ wrappers are written, and joined to the pages by host: Spark broadcasts them onl
 and splits a hot host otherwise.
 
 The article is what lies in ``article``, else in ``main`` or a content block, else in the body, without
-navigation, headers outside articles, footers, asides, forms, scripts, styles, and elements whose class, id
+navigation, headers outside articles, footers, asides, forms, scripts, styles, controls, drawings, and elements whose class, id
 or role says menu, advert, notice, sidebar, comments and the like. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line feed. Broken markup is read
 leniently: a paragraph ends the one before, an end tag closes what is open above its start, a missing end
@@ -42,7 +42,9 @@ from .urlrules import host_of
 
 # HTML elements, and words in class, id or role that mark what is no article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg select button object".split())
+RAW = set("script style textarea title iframe".split())
+#: Elements without article text; like others they end with their parent.
+SILENT = set("noscript template svg select button object".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -65,13 +67,17 @@ FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
+#: Letters outside ASCII do not match, so that no other letter ends an element.
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
+#: A slash at the end that is not part of a value without quotes.
+SELF_CLOSED = re.compile(r"(?<![^\s\"'])/\Z|^[^=]*/\Z")
 SLOT = "#"
 LONGEST_REPEAT = 16
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """("text", raw), ("open", name or name.mark) and ("close", name); contents of raw elements are skipped."""
-    at, lower = 0, None
+    at = 0
     while at < len(page):
         found = TOKEN.search(page, at)
         if found is None:
@@ -85,10 +91,10 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         elif found[2]:
             name = found[2].lower()
             if name in RAW:
-                lower = lower or page.lower()
-                end = lower.find(f"</{name}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(page)
+                end = RAW_ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if name in SILENT and SELF_CLOSED.search(found[3]):
                 continue
             yield "open", name + (marks_of(found[3]) if name in REGIONS and found[3] else "")
 
@@ -108,7 +114,7 @@ class Walk:
 
     def _cut(self, at: int) -> None:
         del self.open[at:]
-        self.region = ">".join(x for x in self.open if x.partition(".")[0] in REGIONS)
+        self.region = ">".join(x for x in self.open if x.partition(".")[0] in REGIONS | SILENT)
 
     def _last(self, names: set[str], fences: set[str]) -> int | None:
         for at in range(len(self.open) - 1, -1, -1):
@@ -127,19 +133,23 @@ class Walk:
         if name in ENDS:
             at = self._last(ENDS[name], FENCES[name])
         elif name in BLOCKS:
-            at = self._last({"p"}, REGIONS | {"li", "td", "th", "blockquote", "dd"})
+            at = self._last({"p"}, REGIONS | {"noscript", "template", "object", "li", "td", "th", "blockquote", "dd"})
+        if name in BLOCKS and name != "option":
+            # Blocks in a drawing end it, as in browsers.
+            drawn = self._last({"svg"}, {"foreignobject"})
+            at = drawn if drawn is not None and (at is None or drawn < at) else at
         if name in ("article", "main"):
-            # An article is not part of a menu, header or footer: that one was not closed.
-            above = self._last(OUTSIDE | {"header"}, {"article", "main", "body"})
+            # An article is not part of a menu, header, footer or control: that one was not closed.
+            above = self._last(OUTSIDE | {"header", "button", "select"}, {"article", "main", "body"})
             at = above if above is not None and (at is None or above < at) else at
         if at is not None:
             self._cut(at)
         self.open.append(tag)
-        if name in REGIONS:
+        if name in REGIONS or name in SILENT:
             self._cut(len(self.open))
 
     def end(self, name: str) -> None:
-        inline = name not in BLOCKS
+        inline = name not in BLOCKS and name not in SILENT
         at = self._last({name}, BLOCKS if inline else set())
         if at is not None:
             self._cut(at)
@@ -275,7 +285,7 @@ def container(expression: list) -> str:
 def outside(part: str, above: list[str]) -> bool:
     """Whether an element with what it holds is no article."""
     name, _, mark = part.partition(".")
-    if name in OUTSIDE or mark == "boilerplate" and name != "body":
+    if name in OUTSIDE or name in SILENT or mark == "boilerplate" and name != "body":
         return True
     return name == "header" and not any(x.partition(".")[0] in ("article", "main") for x in above)
 

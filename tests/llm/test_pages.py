@@ -100,6 +100,24 @@ def test_broken_markup(page, text):
     assert wrappers.extracted(page, "article") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div><button>menu</div><article>text</article>", "text"),
+        ("<body><div><select><option>a<option>b</div><article>text</article>", "text"),
+        ("<body><button>menu<article>text</article>", "text"),
+        ("<article>a<svg class='i'/>b<svg/><p>c</article>", "ab\nc"),
+        ("<article>a<svg class=i/><title>t</title>no<p>b</article>", "a\nb"),
+        ("<article><p>a<noscript><p>no</p></noscript></p>b<p><object data='x'>no</p>c</article>", "a\nb\nc"),
+        ("<article>a<button><p>no</button>b <template><article>no</article></template></article>", "a\nb"),
+        ("<article>" + "İ" * 12 + "<script>if (a</b)</SCRIPT >x<p>yy</p></article>", "İ" * 12 + "x\nyy"),
+        ("<article>a<script>'</scripts>'</script>b</article>", "ab"),
+    ],
+)
+def test_rest_of_a_page_stays(page, text):
+    assert wrappers.extracted(page, "article") == text
+
+
 # --- url rules
 
 
