@@ -14,7 +14,8 @@ and splits a hot host otherwise.
 
 The article is what lies in ``article``, else in ``main`` or a content block, else in the body, without
 navigation, headers outside articles, footers, asides, forms, scripts, styles, controls, drawings, and elements whose class, id
-or role says menu, advert, notice, sidebar, comments and the like. Character references are decoded, white
+or role says menu, advert, notice, sidebar, comments and the like. Where that leaves a page empty, the marks
+of elements that frame most of the page do not count. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line feed. Broken markup is read
 leniently: a paragraph ends the one before, an end tag closes what is open above its start, a missing end
 tag ends with its parent.
@@ -51,6 +52,8 @@ BLOCKS = set(
 )
 REGIONS = set("article aside body details dialog div fieldset footer form header main menu nav section table".split())
 OUTSIDE = set("aside dialog fieldset footer form menu nav".split())
+#: Parts of a page: what holds one and most of the text is the frame of the page.
+PARTS = set("article aside footer header main nav".split())
 MARKS = set(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header "
     "login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond search share sharing sidebar "
@@ -290,9 +293,27 @@ def outside(part: str, above: list[str]) -> bool:
     return name == "header" and not any(x.partition(".")[0] in ("article", "main") for x in above)
 
 
-def is_content(region: str, where: str) -> bool:
+def page_frames(page: str) -> set[str]:
+    """Regions that hold most of a page's text and a part of a page each, such as its menu or article: a mark says nothing there."""
+    walk, sizes, framing = Walk(), {}, set()
+    for kind, value in tokens(page):
+        if kind == "text":
+            sizes[walk.region] = sizes.get(walk.region, 0) + len(value.strip())
+        elif kind == "open":
+            walk.start(value)
+            parts = walk.region.split(">")
+            if parts[-1].partition(".")[0] in PARTS:
+                framing |= {">".join(parts[:k]) for k in range(1, len(parts))}
+        else:
+            walk.end(value)
+    named = {r: n for r, n in sizes.items() if not any(outside(p.partition(".")[0], r.split(">")[:i]) for i, p in enumerate(r.split(">")))}
+    inside = lambda frame: sum(n for r, n in named.items() if f"{r}>".startswith(f"{frame}>"))
+    return {frame for frame in framing if frame.endswith(".boilerplate") and 2 * inside(frame) > sum(named.values())}
+
+
+def is_content(region: str, where: str, frames: set[str] | frozenset[str] = frozenset()) -> bool:
     parts = region.split(">")
-    if any(outside(p, parts[:i]) for i, p in enumerate(parts)):
+    if any(outside(p.partition(".")[0] if ">".join(parts[: i + 1]) in frames else p, parts[:i]) for i, p in enumerate(parts)):
         return False
     if where == "body":
         return True
@@ -300,14 +321,17 @@ def is_content(region: str, where: str) -> bool:
 
 
 def article(page: str, where: str) -> str:
-    """The text of a page by its host's container, or by its own if it has nothing there."""
+    """The text of a page by its host's container, by its own if it has nothing there, or else without the marks of its frames."""
     text = extracted(page, where)
     own = where if text else container(skeleton(page))
-    return text if own == where else extracted(page, own)
+    text = text if own == where else extracted(page, own)
+    if not text and (frames := page_frames(page)):
+        text = next((t for c in ("article", "main", "content", "body") if (t := extracted(page, c, frames))), "")
+    return text
 
 
-def extracted(page: str, where: str) -> str:
-    """The article of a page whose articles lie in ``where``."""
+def extracted(page: str, where: str, frames: set[str] | frozenset[str] = frozenset()) -> str:
+    """The article of a page whose articles lie in ``where``; marks of ``frames`` do not count."""
     walk, blocks, own = Walk(), [], []
     known: dict[str, bool] = {}
 
@@ -321,7 +345,7 @@ def extracted(page: str, where: str) -> str:
         if kind == "text":
             region = walk.region
             if region not in known:
-                known[region] = is_content(region, where)
+                known[region] = is_content(region, where, frames)
             if known[region]:
                 own.append(value)
             continue

@@ -118,6 +118,16 @@ def test_rest_of_a_page_stays(page, text):
     assert wrappers.extracted(page, "article") == text
 
 
+@pytest.mark.parametrize("mark", ["class='site has-sidebar'", "class=header-fixed", "id='search-page'"])
+@pytest.mark.parametrize("body", ["<nav>m</nav><article><p>One</p><p>two words</p></article>", "<header>Site</header><p>One<p>two words<div class=sidebar>s</div><footer>f</footer>"])
+def test_a_mark_on_the_frame_of_a_page(mark, body):
+    assert wrappers.article(f"<html><body><div {mark}>{body}</div></body></html>", "body") == "One\ntwo words"
+
+
+def test_a_page_of_boilerplate_is_empty():
+    assert wrappers.article("<body><nav>menu</nav><div class=cookie-notice>We use cookies</div><div class=sidebar><p>side</p></div></body>", "article") == ""
+
+
 # --- url rules
 
 
