@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the provided tables, and SQL where it can express them."""
+"""Queries op1 to op13 over the provided tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, isolation, jaccard, linededup, mixing, planes, sentencepieces, simhash, urlrules, wrappers
+from . import alignment, boosting, isolation, jaccard, laesa, linededup, mixing, planes, secrets, sentencepieces, simhash, urlrules, wrappers
 from .common import shared_folder, table, word_count, written
 
 
@@ -69,6 +69,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = F.col("spans")
+    base = secrets.of_kind(spans, "assign", "access", "hex")
+    return secrets.find_secrets(docs, secrets.identifier_dictionary(docs)).select(
+        "doc_id", *(F.size(secrets.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"), secrets.spelled(spans).alias("spans"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = laesa.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None if books is None else books.digest()).cast("string")
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -80,9 +100,13 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op5_url_filters": urlrules.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
+    "op12_vector_codes": laesa.oracle(),
 }

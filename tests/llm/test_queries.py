@@ -16,14 +16,14 @@ from .test_documents import brute_classes, near_rows, words
 
 def test_registry():
     queries = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in (*catalog.QUERIES, *corpus_pipeline.QUERIES)}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in (*catalog.QUERIES, *corpus_pipeline.QUERIES)}
     assert set(catalog.QUERIES) | {"pipeline"} <= set(queries) and set(catalog.ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = catalog.QUERIES[name](spark, sf)
     cur = con.execute(catalog.ORACLE[name])
