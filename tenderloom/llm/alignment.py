@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .sentencepieces import BYTE, read_model
 #: Runs of a block, and runs that one merge reads.
 RADIXES, FAN_IN = 64, 48
 #: Records and documents of a block, and parts that a task remembers and aligns at once; they bound its memory.
-BLOCK_RECORDS, BLOCK_DOCS, REMEMBERED, AT_ONCE, LONG_PART = 1_000_000, 20_000, 100_000, 8_000, 64
+BLOCK_RECORDS, BLOCK_DOCS, REMEMBERED, AT_ONCE, LONG_PART = 1_000_000, 20_000, 200_000, 8_000, 64
 #: Groups with more links than this are counted by distinct ids.
 WIDE = 256
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -80,10 +81,9 @@ def token_table(tokens: dict[int, bytes]) -> tuple[list[bytes], np.ndarray]:
     return table, np.array([len(t) for t in table], np.int64)
 
 
-class Part(tuple):
-    """Of one part: numbers of first and second tokens, groups, links, its groups as text, and pairs and their links as longs."""
-
-    __slots__ = ()
+#: Of one part: numbers of first and second tokens, groups, links, its groups as text, and pairs and their links as longs.
+Part = tuple[int, int, int, int, bytes, bytes, bytes]
+NONE: Part = (0, 0, 0, 0, b"", b"", b"")
 
 
 class Aligner:
@@ -128,22 +128,31 @@ class Aligner:
 
     def learn(self, parts: list[str]) -> dict[str, Part | None]:
         firsts, seconds = self._first_ids(parts), self.second.encode(parts, num_threads=1)
-        a, b = self.first_bytes, self.second_bytes
-        out: dict[str, Part | None] = {}
-        good = []
-        for i, part in enumerate(parts):
-            raw = part.encode()
-            out[part] = None
-            if b"".join([a[t] for t in firsts[i]]) == raw and b"".join([b[t] for t in seconds[i]]) == raw:
-                good.append(i)
+        raw = [p.encode() for p in parts]
+        if self._same(raw, firsts, seconds):
+            return dict(zip(parts, self.align(firsts, seconds), strict=True))
+        out: dict[str, Part | None] = dict.fromkeys(parts)
+        good = [i for i, r in enumerate(raw) if self._same([r], firsts[i : i + 1], seconds[i : i + 1])]
         if good:
             out.update(zip([parts[i] for i in good], self.align([firsts[i] for i in good], [seconds[i] for i in good]), strict=True))
         return out
 
+    def _same(self, raw: list[bytes], firsts: list[list[int]], seconds: list[list[int]]) -> bool:
+        """Whether the tokens of both sides have the bytes of each part; sizes are compared where parts are joined."""
+        whole = b"".join(raw)
+        for lists, table, sizes in ((firsts, self.first_bytes, self.first_sizes), (seconds, self.second_bytes, self.second_sizes)):
+            ids = list(chain.from_iterable(lists))
+            if b"".join(map(table.__getitem__, ids)) != whole:
+                return False
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum([len(x) for x in lists])]
+            if (ends != np.cumsum([len(r) for r in raw])).any():
+                return False
+        return True
+
     def align(self, firsts: list[list[int]], seconds: list[list[int]]) -> Iterator[Part]:
         """Groups and links of parts whose tokens cover the same bytes."""
         sizes_a, sizes_b = np.array([len(x) for x in firsts]), np.array([len(x) for x in seconds])
-        a, b = (np.fromiter((t for x in lists for t in x), np.int64) for lists in (firsts, seconds))
+        a, b = (np.fromiter(chain.from_iterable(lists), np.int64) for lists in (firsts, seconds))
         ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -169,8 +178,9 @@ class Aligner:
         code, times, owner = code[new].astype("<i8").tobytes(), np.add.reduceat(times, new).astype("<i8").tobytes(), owner[new]
         cuts = (8 * np.searchsorted(owner, np.arange(len(firsts) + 1))).tolist()
         groups, total = np.bincount(part_of, minlength=len(firsts)).tolist(), np.bincount(part_of, links, len(firsts)).astype(np.int64).tolist()
-        for i, text in enumerate(self._texts(a, b, group_a, group_b, part_of)):
-            yield Part((int(sizes_a[i]), int(sizes_b[i]), groups[i], total[i], text, code[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]))
+        texts = self._texts(a, b, group_a, group_b, part_of)
+        pairs, links_of = ([x[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (code, times))
+        return zip(sizes_a.tolist(), sizes_b.tolist(), groups, total, texts, pairs, links_of, strict=True)
 
     def _texts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, part_of: np.ndarray) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each part."""
@@ -183,7 +193,7 @@ class Aligner:
         mark = np.where(part[1:] != part[:-1], 3, mark)
         marks = [*(",|;\n"[m] for m in mark.tolist()), ""]
         names = self.names
-        return "".join([x for i, m in zip(ids, marks, strict=True) for x in (names[i], m)]).encode().split(b"\n")
+        return "".join(chain.from_iterable(zip(map(names.__getitem__, ids), marks, strict=True))).encode().split(b"\n")
 
     def parts(self, text: str | None) -> list[str]:
         """``space + text`` cut where groups always end."""
@@ -197,15 +207,16 @@ class Aligner:
         if len(known) + len(new) > REMEMBERED:
             # Parts of this slice stay, and with them the common ones.
             self.known = known = {p: known[p] for p in wanted if p in known}
-        own: dict[str, Part | None] = {}
         at = held = 0
         for i, p in enumerate(new):
             held += 1 + len(p) // LONG_PART
             if held >= AT_ONCE or i == len(new) - 1:
-                own.update(self.learn(new[at : i + 1]))
+                known.update(self.learn(new[at : i + 1]))
                 at, held = i + 1, 0
-        found = [own[p] if p in own else known[p] for p in wanted]
-        known.update((p, x) for p, x in own.items() if len(p) <= LONG_PART)
+        found = list(map(known.__getitem__, wanted))
+        for p in new:
+            if len(p) > LONG_PART:
+                del known[p]
         return found
 
 
@@ -234,24 +245,23 @@ class Block:
         if bad:
             parts = [[] if not bad.isdisjoint(own) else own for own in parts]
         place = {p: i for i, p in enumerate(wanted)}
-        own = [list(map(place.__getitem__, p)) for p in parts]
-        doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        part = np.fromiter((i for x in own for i in x), np.int64, len(doc))
-        none = Part((0, 0, 0, 0, b"", b"", b""))
-        found = [none if x is None else x for x in found]
-        numbers = np.array([x[:4] for x in found], np.int64).reshape(-1, 4)
-        counted = np.zeros((len(own), 4), np.int64)
+        doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        part = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, len(doc))
+        found = [NONE if x is None else x for x in found]
+        columns = list(zip(*found, strict=True)) or [()] * 7
+        numbers = np.array(columns[:4], np.int64).reshape(4, -1).T
+        counted = np.zeros((len(parts), 4), np.int64)
         for k in range(4):
-            counted[:, k] = np.bincount(doc, numbers[part, k], len(own))
-        strings = [x[4] for x in found]
+            counted[:, k] = np.bincount(doc, numbers[part, k], len(parts))
+        strings = dict(zip(wanted, columns[4], strict=True))
         base = len(self.docs)
-        for i, doc_id in enumerate(doc_ids):
-            digest = hashlib.sha256(b";".join([strings[p] for p in own[i]])).hexdigest() if own[i] else ""
+        for i, (doc_id, own) in enumerate(zip(doc_ids, parts, strict=True)):
+            digest = hashlib.sha256(b";".join(map(strings.__getitem__, own))).hexdigest() if own else ""
             self.docs.append((doc_id, base + i, *counted[i].tolist(), digest))
         if not len(doc):
             return
-        pairs, times = (np.frombuffer(b"".join([x[k] for x in found]), "<i8") for k in (5, 6))
-        sizes = np.array([len(x[5]) // 8 for x in found])
+        pairs, times = (np.frombuffer(b"".join(columns[k]), "<i8") for k in (5, 6))
+        sizes = np.fromiter(map(len, columns[5]), np.int64, len(found)) // 8
         starts = np.cumsum(sizes) - sizes
         # Parts of a document once each, then their pairs, then equal pairs of a document added up.
         both, n = np.unique(doc * len(wanted) + part, return_counts=True)
