@@ -215,8 +215,9 @@ def brute_links(rows):
             a = b = []
         ends = [np.cumsum([len(table[i]) for i in ids]).tolist() for table, ids in ((a_bytes, a), (b_bytes, b))]
         groups, at = [], [0, 0]
-        for end in sorted(set(ends[0]) & set(ends[1])):
-            cut = [e.index(end) + 1 for e in ends]
+        places = [{e: i + 1 for i, e in enumerate(own)} for own in ends]
+        for end in sorted(places[0].keys() & places[1].keys()):
+            cut = [p[end] for p in places]
             groups.append((a[at[0] : cut[0]], b[at[1] : cut[1]]))
             at = cut
         links = Counter((x, y) for own_a, own_b in groups for x in own_a for y in own_b)
