@@ -1,5 +1,10 @@
 """The driver contract on the smallest scale."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -14,6 +19,25 @@ def test_registry():
     assert set(oracle) <= set(queries) and len(queries) > 120
 
 
+@pytest.mark.parametrize("traces", [False, True])
+def test_without_optional_folders(tmp_path, traces):
+    """With the optional operators deleted, or only caches left of them, the other queries are there."""
+    root = Path(entry.__file__).parent
+    names = [*(p.name for p in root.glob("*.py")), "tenderloom"]
+    for name in names:
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        else:
+            shutil.copy(source, tmp_path / name)
+    if traces:
+        (tmp_path / "tenderloom" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), [k for k in q if k.startswith('op') or k == 'pipeline'])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=False)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[0]) > 120 and out.stdout.split(maxsplit=1)[1].strip() == "True []"
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
