@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import give_back, slices, written
 from .sentencepieces import BYTE, read_model
 
 #: Runs of a block, and runs that one merge reads.
@@ -324,7 +324,7 @@ def spill(docs: DataFrame, first: str, second: str) -> DataFrame:
             if doc_type is not None:
                 yield from block.spilled(doc_type)
         finally:
-            aligner.known = {}
+            give_back(aligner.known)
 
     schema = f"block bigint, doc_id {kind}, place bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, radix int, heads binary, records binary"
     return written(docs.select("doc_id", "text").mapInArrow(blocks, schema), "alignment-blocks")

@@ -48,7 +48,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "mismatches", "round_trip")
+    return encoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "part_mismatches", "round_trip")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,13 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)).cast("double") / float(1 << 53)
 
 
+def give_back(*caches: dict) -> None:
+    """At the end of a task: forget what was remembered and return free memory to the system, since workers live on."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def blobs_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -80,7 +87,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 class WordHashes:
     """64-bit hashes of words, remembered from row to row up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.known: dict[bytes, int] = {}
         self.most = most
 

@@ -114,7 +114,9 @@ def mix(docs: DataFrame, size: Column, block: int = BLOCK, shard_docs: int = SHA
         _number(F.concat_ws(":", F.lit(seed), F.col("source_rank").cast("string"), F.col("shard").cast("string"))).alias("shift"),
     )
     shards = written(shards, "mix-shards")
-    ahead = W.partitionBy("source_rank", "shard").orderBy("order", "row.doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Rows of one doc_id and size are told apart by what they hold.
+    hashed = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    ahead = W.partitionBy("source_rank", "shard").orderBy("order", "row.doc_id", "size", F.xxhash64(*hashed)).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = sharded(rows).withColumn("end", F.sum("size").over(ahead)).join(shards, ["source_rank", "shard"])
     start, end, blocks = F.col("end") - F.col("size"), F.col("end"), F.col("n_blocks")
     chosen = lambda b: (b * STRIDE + F.col("shift")) % blocks < F.col("quota") % blocks

@@ -10,7 +10,8 @@ Payload, little-endian: ``TLPL``, version u8, bits in a plane's element u8 (8 or
 number of ids u32, length of each compressed plane u32, then the planes, least significant first.
 
 Encoding goes word by word: the tokenizer's normaliser and splitter never join what ASCII white space
-separates, so equal words have equal ids and each task asks the tokenizer once for each word it remembers.
+separates, so equal words have equal ids and each task asks the tokenizer once for each word it remembers. Only
+added tokens, like ``<|endoftext|>``, are found first; a text that spells one is encoded whole.
 
 A null or empty text has the end id alone. Repeated rows are documents of their own, next to each other.
 A null doc_id sorts first. Empty tables give files without rows. Extra columns are not stored. A text of
@@ -25,6 +26,7 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -39,9 +41,9 @@ CHUNK_IDS = 65_536
 ROWS_A_RANGE = 2_000
 MAGIC = b"TLPL"
 #: Words that a task remembers, and words encoded at once; they bound its memory.
-REMEMBERED, AT_ONCE = 200_000, 4_000
+REMEMBERED, AT_ONCE = 200_000, 16_000
 #: Marks that end a word, after a letter.
-MARKED = re.compile(rb"(?<=[a-z])([.,;:!?*&%$#|\"'()-]+)(?![^\x20\x09-\x0D])")
+MARKED = re.compile(rb"[.,;:!?*&%$#|\"'()-](?<=[a-z].)[.,;:!?*&%$#|\"'()-]*(?![^\x20\x09-\x0D])")
 
 
 class WordEncoder:
@@ -56,7 +58,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens cross white space and marks: texts that spell one are encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.encode() for a in added for t in {a, a.lower()}]
         self.plain = Tokenizer(self.tokenizer.model)  # one model in memory for both
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -85,21 +89,21 @@ class WordEncoder:
             for word in [w for w in new if not w.isalpha()]:
                 text = word.decode("utf-8", "replace")
                 (letters if text.isalpha() and text == text.lower() and is_normalized("NFC", text) else rest).append(word)
-            lines = [letters[at : at + 64] for at in range(0, len(letters), 64)]
-            for line, e in zip(lines, self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                cuts = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
-                ids = ids.tobytes()
-                for word, a, b in zip(line, cuts[:-1], cuts[1:], strict=True):
-                    self.known[word] = ids[a:b]
+            lines = [b" ".join(letters[at : at + 64]).decode() for at in range(0, len(letters), 64)]
+            found = self.plain.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            ids = ids.tobytes()
+            self.known.update(zip(letters, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         self.known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest]), strict=True))
 
     def __call__(self, blobs: list[bytes | None]) -> list[bytes]:
         known = self.known
-        if self.short:
-            words = [MARKED.sub(rb" \1", (b or b"").lower()).split() for b in blobs]
-        else:
-            words = [(b or b"").split() for b in blobs]
+        texts = [(b or b"").lower() if self.short else b or b"" for b in blobs]
+        whole = {i for t in self.added for i, b in enumerate(texts) if t in b}
+        for i in whole:
+            texts[i] = b""
+        words = [MARKED.sub(rb" \g<0>", b).split() for b in texts] if self.short else [b.split() for b in texts]
         own_words = set().union(*words)
         new = [w for w in own_words if w not in known]
         if len(known) + len(new) > REMEMBERED:
@@ -107,7 +111,10 @@ class WordEncoder:
             self.known = known = {w: known[w] for w in own_words if w in known}
         for at in range(0, len(new), AT_ONCE):
             self._learn(new[at : at + AT_ONCE])
-        return [b"".join(map(known.__getitem__, own)) + self.end for own in words]
+        out = [b"".join(map(known.__getitem__, own)) + self.end for own in words]
+        for i in whole:
+            out[i] = self._whole([blobs[i].decode("utf-8", "replace")])[0] + self.end
+        return out
 
 
 @cache
@@ -179,7 +186,7 @@ def write_ids(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[b
         for batch in batches:
             ranges, names = batch.column("range").to_pylist(), batch.column("doc_id")
             doc_type, names = names.type, names.to_pylist()
-            for a, b in slices(batch.column("text"), 1 << 20):
+            for a, b in slices(batch.column("text")):
                 for at, doc_id, ids in zip(ranges[a:b], names[a:b], encode(blobs_of(batch.column("text").slice(a, b - a))), strict=True):
                     if at != current:
                         if held:

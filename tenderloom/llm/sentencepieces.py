@@ -6,9 +6,10 @@ white space marker, the unigram scores or the merges of a BPE model, and byte fa
 
 No piece joins a mark of white space to what stands before it, so a text falls apart, before each run of marks
 and around line feeds, into parts that are encoded alone; each task asks the library once for each part that it
-remembers. (``read_model`` checks the pieces; a model that has other pieces is encoded by whole texts.)
-Every part that is asked for is also encoded by the sentencepiece library, and ``mismatches`` counts
-the parts of a document whose ids differ: 0 means parity.
+remembers, many to a line, cut again at the ids of line feeds. (``read_model`` checks the pieces; a model that has other
+pieces is encoded by whole texts.) Every part that is asked for is also encoded by the sentencepiece
+library, and ``part_mismatches`` counts the parts of a document whose ids differ. It does not see the normaliser and the
+cuts: those are compared on whole texts in the tests, and by ``round_trip`` for every document.
 
 A null or empty text has no ids. Repeated rows get equal results. Empty tables give no rows. Extra columns
 are ignored. Characters outside the vocabulary become bytes, or the unknown id where the model has no
@@ -24,18 +25,21 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import give_back, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Parts that a task remembers, and parts encoded at once; they bound its memory.
-REMEMBERED, AT_ONCE = 200_000, 4_000
+REMEMBERED, AT_ONCE, LONG_PART = 200_000, 8_000, 64
+#: Parts asked for in one line.
+LINE = 64
 PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -114,9 +118,23 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+def normaliser(model: Model):
+    """What the model does to a text before it cuts pieces."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    if model.remove_extra:
+        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    if model.escape:
+        steps += [normalizers.Replace(" ", MARK)]
+    if model.dummy_prefix:
+        steps += [normalizers.Prepend(MARK)]
+    return normalizers.Sequence(steps)
+
+
 def build(model: Model, normalise: bool = True):
     """A tokenizer with the model's ids; without ``normalise`` it expects normalised parts."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Tokenizer, decoders, models
 
     if model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -129,14 +147,7 @@ def build(model: Model, normalise: bool = True):
     if defined:
         made.add_tokens(defined)
     if normalise:
-        steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
-        if model.remove_extra:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        if model.escape:
-            steps += [normalizers.Replace(" ", MARK)]
-        if model.dummy_prefix:
-            steps += [normalizers.Prepend(MARK)]
-        made.normalizer = normalizers.Sequence(steps)
+        made.normalizer = normaliser(model)
     last = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *last])
     return made
@@ -152,7 +163,10 @@ class Codec:
             with open(model, "rb") as file:
                 model = file.read()
         self.model = read_model(model)
-        self.whole, self.parts = build(self.model), build(self.model, normalise=False)
+        self.normal = normaliser(self.model).normalize_str
+        self.tokenizer = build(self.model, normalise=not self.model.divisible)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.model.divisible and len(feed) == 1 else None
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.verify = None
@@ -165,30 +179,52 @@ class Codec:
             self.verify = sentencepiece.SentencePieceProcessor(model_proto=model + plain)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts by the library; parts without a line feed are asked for in lines."""
+        ask = self.tokenizer.encode_batch_fast
+        if self.feed is None:
+            return [array("I", e.ids).tobytes() for e in ask(parts, add_special_tokens=False)]
+        out: dict[str, bytes] = {"\n": struct.pack("<I", self.feed)}
+        rest = [p for p in parts if p != "\n"]
+        lines = [rest[at : at + LINE] for at in range(0, len(rest), LINE)]
+        for line, e in zip(lines, ask(list(map("\n".join, lines)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            feeds = (4 * np.flatnonzero(ids == self.feed)).tolist()
+            ids = ids.tobytes()
+            out.update(zip(line, [ids[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(ids)], strict=True)], strict=True))
+        return list(map(out.__getitem__, parts))
+
     def _learn(self, new: list[str]) -> None:
-        tokenizer = self.parts if self.model.divisible else self.whole
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
-            for part, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = array("I", found.ids).tobytes()
+            found = self._ids(some)
+            self.known.update(zip(some, found, strict=True))
             if self.verify is not None:
-                for part, ids in zip(some, self.verify.encode(some, num_threads=self.threads), strict=True):
-                    if array("I", ids).tobytes() != self.known[part]:
-                        self.odd.add(part)
+                checked = self.verify.encode(some, num_threads=self.threads)
+                same = [4 * len(x) for x in checked] == list(map(len, found)) and array("I", chain.from_iterable(checked)).tobytes() == b"".join(found)
+                if not same:
+                    self.odd.update(p for p, ids, x in zip(some, found, checked, strict=True) if array("I", x).tobytes() != ids)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
         """Ids as little-endian u32, and the number of parts that sentencepiece encodes otherwise."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
         if self.model.divisible:
-            normal = self.whole.normalizer.normalize_str
-            parts = [PART.findall(normal(t)) if t else [] for t in texts]
+            parts = [PART.findall(self.normal(t)) if t else [] for t in texts]
         else:
             parts = [[t] if t else [] for t in texts]
-        known = self.known
-        self._learn([p for p in set().union(*parts) if p not in known])
-        return [(b"".join(map(known.__getitem__, own)), sum(p in self.odd for p in own) if self.odd else 0) for own in parts]
+        wanted = set().union(*parts)
+        new = [p for p in wanted if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            # Parts of these texts stay, and with them the common ones.
+            self.known = {p: self.known[p] for p in wanted if p in self.known}
+            self.odd &= self.known.keys()
+        self._learn(new)
+        known, odd = self.known, self.odd
+        out = [(b"".join(map(known.__getitem__, own)), sum(p in odd for p in own) if odd else 0) for own in parts]
+        for p in new:
+            if len(p) > LONG_PART:
+                del known[p]
+                odd.discard(p)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -199,12 +235,12 @@ class Codec:
 
 @cache
 def codec_for(model: bytes | str, threads: int = 1, verify: bool = True) -> Codec:
-    """One codec for each process: tasks that follow each other in a worker share it and its parts."""
+    """One codec for each process: tasks that follow each other in a worker share it; what they remember goes with them."""
     return Codec(model, threads, verify)
 
 
 def encode_documents(docs: DataFrame, model: bytes | str, threads: int = 1, verify: bool = True) -> DataFrame:
-    """doc_id, ids (little-endian u32), n_tokens, mismatches and round_trip of every document with doc_id and text.
+    """doc_id, ids (little-endian u32), n_tokens, part_mismatches and round_trip of every document with doc_id and text.
 
     ``round_trip`` says whether decoding the ids gives the text back; models that rewrite characters or white space
     do not always.
@@ -213,15 +249,18 @@ def encode_documents(docs: DataFrame, model: bytes | str, threads: int = 1, veri
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model, threads, verify)
-        for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 20):
-                texts = batch.column("text").slice(a, b - a).to_pylist()
-                found = codec.encode(texts)
-                same = [codec.decode(ids) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]
-                columns = [pa.array([i for i, _ in found], pa.binary()), pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "ids", "n_tokens", "mismatches", "round_trip"])
-
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, n_tokens bigint, mismatches bigint, round_trip boolean")
+        try:
+            for batch in batches:
+                for a, b in slices(batch.column("text"), 1 << 20):
+                    texts = batch.column("text").slice(a, b - a).to_pylist()
+                    found = codec.encode(texts)
+                    same = [codec.decode(ids) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]
+                    columns = [pa.array([i for i, _ in found], pa.binary()), pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(same)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "ids", "n_tokens", "part_mismatches", "round_trip"])
+        finally:
+            give_back(codec.known, codec.odd)
+
+    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, n_tokens bigint, part_mismatches bigint, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: bytes | str) -> DataFrame:

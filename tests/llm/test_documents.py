@@ -136,6 +136,27 @@ def test_token_files(spark, tmp_path, bits, chunk):
     assert index.agg(F.sum("n_ids")).first()[0] == at and index.where(F.col("n_ids") > chunk).isEmpty()
 
 
+def test_texts_that_spell_added_tokens():
+    """The library reads them as tokens; so does the encoder, at any place in a text."""
+    from tokenizers import Tokenizer
+
+    name = tokenizer_files.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(name), planes.WordEncoder(name, end_id=2)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "plain words.", "x <|endoftext|><|endoftext|>\n\ny !"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encode([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert got[0] == [3306, 49407, 1002, 2]
+
+
+def test_texts_word_by_word(spark, sf):
+    from tokenizers import Tokenizer
+
+    name = tokenizer_files.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(name), planes.WordEncoder(name)
+    texts = [r.text or "" for r in table(spark, sf, "documents").collect()] + ["a.. b,c. d!!e f?! .g h\"' i'd", "x.\x1cy z.\xa0w", "Ä. ß! é, e\u0301. ab.\n\ncd"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_without_rows(spark, tmp_path):
     path = str(tmp_path / "ids")
     planes.write_ids(frame(spark).limit(0), path, lambda: planes.WordEncoder(tokenizer_files.path("word_bpe_49k.json"), end_id=2))
@@ -175,6 +196,13 @@ def brute_targets(sizes):
         capped |= above
 
 
+def test_mix_of_rows_with_one_id(spark):
+    """Rows that differ in the text alone give the same mix in every partitioning."""
+    rows = [(7, " ".join(f"w{i}x{k}" for k in range(40)), "en", "a", i % 2) for i in range(10)] + [(8, "other words " * 30, "en", "b", 0)]
+    mixes = {tuple(sorted(r.mixed_text for r in mixing.mixed_texts(mixing.mix(frame(spark, rows).repartition(n, F.rand(n)), word_count(F.col("text")), block=16, weights=(1, 5))).collect())) for n in range(1, 6)}
+    assert len(mixes) == 1
+
+
 @pytest.mark.parametrize("shard_docs", [10, 2000])
 def test_mix(spark, shard_docs):
     rows = [r for r in documents() if r[0] != 2004] + [(4000 + i, "tiny source", "en", "b", 1) for i in range(3)] + [(5000, "", "en", "empty source", 0)]
@@ -239,14 +267,28 @@ def test_sentencepiece(spark):
     got = encoded.collect()
     want = Counter((r[0], tuple(reference.encode(r[1] or ""))) for r in rows)
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
-    assert all(r.mismatches == 0 and r.n_tokens == len(r.ids) // 4 for r in got)
+    assert all(r.part_mismatches == 0 and r.n_tokens == len(r.ids) // 4 for r in got)
     texts = Counter((r[0], reference.decode(reference.encode(r[1] or ""))) for r in rows)
     assert Counter((r.doc_id, r.text) for r in sentencepieces.decode_documents(encoded, name).collect()) == texts
     assert sentencepieces.encode_documents(frame(spark).limit(0), name).count() == 0
-    codec = sentencepieces.Codec(name)
+    whole = sentencepieces.build(sentencepieces.Codec(name).model)
     for text in ("whole texts too", "a  b\nc", "☃ é"):
-        ids = codec.whole.encode(text, add_special_tokens=False).ids
-        assert ids == reference.encode(text) and codec.whole.decode(ids) == text
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert ids == reference.encode(text) and whole.decode(ids) == text
+
+
+@pytest.mark.parametrize("remembered", [10, 200_000])
+def test_sentencepiece_of_given_texts(spark, sf, monkeypatch, remembered):
+    """Whole texts by the unchanged library, with a memory of parts that is always full and one that never is."""
+    import sentencepiece
+
+    name = tokenizer_files.path("piece_bpe_32k.model")
+    reference = sentencepiece.SentencePieceProcessor(model_file=name)
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", remembered)
+    texts = [r.text for r in table(spark, sf, "documents").collect()]
+    codec = sentencepieces.Codec(name)
+    got = [ids for at in range(0, len(texts), 20) for ids, odd in codec.encode(texts[at : at + 20]) if not odd]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [reference.encode(t or "") for t in texts]
 
 
 def test_unigram_model():

@@ -66,6 +66,6 @@ def test_pipeline(spark, sf):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     got = corpus_pipeline.run(spark, sf).collect()
     assert got and {r.doc_id for r in got} <= set(docs)
-    assert all(r.mismatches == 0 and r.n_tokens > 0 for r in got)
+    assert all(r.part_mismatches == 0 and r.n_tokens > 0 for r in got)
     kept = Counter(labels.get(r.doc_id) for r in got)
     assert kept[0] <= 0.05 * kept[1]
