@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian u32), n_tokens, mismatches and round_trip."""
+    """doc_id, ids (little-endian u32), n_tokens, part_mismatches and round_trip."""
     return sentencepieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
