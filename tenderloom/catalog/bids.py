@@ -343,7 +343,7 @@ def _names(spark, d):
 @query("G2_similar_names")
 def similar_names(spark, d):
     bids, listed = _names(spark, d)
-    return G.similar_names(bids, listed).select("a", "b", F.round("score", 6).alias("score"))
+    return G.similar_names(bids, listed, keep=files.kept).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def registered_and_extracted(spark, d):
@@ -384,7 +384,7 @@ def debarment_exact(spark, d):
 
 def debarment(spark, d):
     bidders = view(spark, d, "bidders")
-    return bidders, G.debarment_check(bidders, G.debarment_matches(bidders, view(spark, d, "debarment_list")))
+    return bidders, G.debarment_check(bidders, G.debarment_matches(bidders, view(spark, d, "debarment_list"), keep=files.kept))
 
 
 @query("G4_debarment_check")

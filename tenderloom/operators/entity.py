@@ -1,12 +1,14 @@
 """Company names: normalising, similarity, debarment screening.
 
 The similarity ratio is a Python function over Arrow batches.  It only ever sees
-candidate pairs; candidates come from an equi join on rare letter pairs that
-provably keeps every pair above the threshold.
+candidate pairs; candidates come from an equi join on rare letter pairs at near places
+that provably keeps every pair above the threshold.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -65,57 +67,85 @@ def _numbered(items: Column) -> Column:
     )
 
 
+#: Shared pairs that two names must have among their rare ones before their letters are compared.
+SHARED_RARE = 4
+
+
 def _spelling(names: DataFrame) -> DataFrame:
-    """Distinct names with their letters and adjacent letter pairs."""
+    """Distinct names with an id, their letters, and their adjacent letter pairs with the first and last place of each."""
     name = F.col("name")
     distinct = names.select("name").distinct().where(F.length(name) >= 2)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
-    return distinct.select("name", F.length(name).alias("len"), _numbered(F.split(name, "")).alias("letters"), _numbered(pairs).alias("pairs"))
+    raw = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
+
+    def placed(pairs: Column) -> Column:
+        ordered, backwards = F.array_sort(pairs), F.reverse(pairs)
+        return F.transform(
+            ordered,
+            lambda g, i: F.struct(
+                F.concat(g, F.lit("#"), (i + 2 - F.array_position(ordered, g)).cast("string")).alias("pair"),
+                F.array_position(pairs, g).alias("low"), (F.size(pairs) + 1 - F.array_position(backwards, g)).alias("high"),
+            ),
+        )
 
+    return distinct.select(F.xxhash64("name").alias("id"), "name", F.length(name).alias("len"), _numbered(F.split(name, "")).alias("letters"), let(raw, placed).alias("pairs"))
 
-def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:
+
+def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Pairs (a, b) of different names that may reach the threshold; none that does is missing.
 
-    With S = len(a) + len(b), a ratio >= t needs at least M = t*S/2 matched letters and
-    leaves at most S - 2M unmatched ones.  Matched blocks are separated by unmatched
-    letters, so there are at most S - 2M + 1 blocks and the names share at least
-    3M - S - 1 letter pairs.  Of the pairs of a name sorted by rarity it is thus enough
-    to join on the first (all - required + 1), which leaves out the common ones; the
-    same counts, and the letters the names share, then remove most joined pairs.
+    With S = len(a) + len(b), a ratio >= t needs M = t*S/2 matched letters or more. Matched blocks are separated
+    by at most S - 2M unmatched letters, so there are at most S - 2M + 1 blocks, and T = 3M - S - 1 letter pairs
+    lie inside blocks. Such a pair stands in b at most len(a) - M places before and len(b) - M behind its
+    place in a, since only unmatched letters shift it. Sort the pairs of all names by one order, rare ones
+    first: the first c of the T common ones are among the first (all - T + c) of either name. So
+    names meet on their rare pairs only, within the shift, and those that meet c times go on; the common
+    letters and pairs of trade words are not looked at. Letters and pairs in full then remove most of the rest.
+
+    Names that meet are counted by ids; equal ids of different names only give candidates more. ``keep``
+    may write the spellings, which are read several times.
     """
     shortest = threshold / (2.0 - threshold)  # smallest length quotient of two matching names
     share = 1.5 * threshold - 1.0
-    # Each side is read three times below; distinct names are few next to the rows behind them.
-    a, b = _spelling(left).persist(), _spelling(right).persist()
-    rarity = b.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    if share <= 0.0:
+        raise ValueError("below two thirds two names of any length may match without a common letter pair")
+    # Total lengths at which T may be 0: short names, none at the usual threshold. 3M - S - 1 > 0 beyond 2 / share.
+    short = [n for n in range(4, math.ceil(2.0 / share) + 4) if 3 * math.ceil(n * threshold / 2.0 - 1e-9) - n - 1 < 1]
+    a, b = keep(_spelling(left)), keep(_spelling(right))
+    rarity = b.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(rows: DataFrame) -> DataFrame:
-        ranked = rows.select("name", "len", F.explode("pairs").alias("pair")).join(rarity, "pair", "left").na.fill(0, ["n"])
-        order = W.partitionBy("name").orderBy("n", "pair")
+        ranked = rows.select("id", "len", F.inline("pairs")).join(rarity, "pair", "left").na.fill(0, ["n"])
+        order = W.partitionBy("id", "len").orderBy("n", "pair")
         required = F.greatest(F.lit(1), F.ceil(share * (1.0 + shortest) * F.col("len") - 1.0 - 1e-9))
         ranked = ranked.withColumn("_rank", F.row_number().over(order))
         # Pairs that the other side never has cannot join; they only use up ranks.
-        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + 1) & (F.col("n") > 0)).select("pair", "name", "len")
+        return ranked.where((F.col("_rank") <= F.col("len") - 1 - required + SHARED_RARE) & (F.col("n") > 0)).select("pair", "id", "len", "low", "high")
 
-    l, r = rare(a).toDF("pair", "a", "la"), rare(b).toDF("pair", "b", "lb")
-    near = (F.col("lb") >= F.col("la") * (shortest - 1e-9)) & (F.col("la") >= F.col("lb") * (shortest - 1e-9)) & (F.col("a") != F.col("b"))
-    joined = l.join(r, "pair").where(near).select("a", "b").distinct()
-    # Only now are the letters attached, once per pair of names.
-    full = joined.join(a.toDF("a", "la", "letters_a", "pairs_a"), "a").join(b.toDF("b", "lb", "letters_b", "pairs_b"), "b")
+    l, r = rare(a).toDF("pair", "a", "la", "low_a", "high_a"), rare(b).toDF("pair", "b", "lb", "low_b", "high_b")
     total = F.col("la") + F.col("lb")
     matched = F.ceil(total * (threshold / 2.0) - 1e-9)
-    shared_pairs = F.size(F.array_intersect("pairs_a", "pairs_b")) >= 3 * matched - total - 1
+    near = (F.col("lb") >= F.col("la") * (shortest - 1e-9)) & (F.col("la") >= F.col("lb") * (shortest - 1e-9)) & (F.col("a") != F.col("b"))
+    shifted = (F.col("low_a") - F.col("high_b") <= F.col("la") - matched) & (F.col("low_b") - F.col("high_a") <= F.col("lb") - matched)
+    met = l.join(r, "pair").where(near & shifted).groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    joined = met.where(F.col("n") >= F.least(F.lit(SHARED_RARE), 3 * matched - total - 1)).select("a", "b")
+    if short:
+        lettered = lambda rows, *names: rows.where(F.col("len") < max(short)).select("id", "len", F.explode("letters").alias("letter")).toDF(*names, "letter")
+        joined = joined.unionByName(lettered(a, "a", "la").join(lettered(b, "b", "lb"), "letter").where(total.isin(*short)).select("a", "b"))
+    joined = joined.distinct()
+    # Only now are the letters attached, once per pair of names.
+    full = joined.join(a.toDF("a", "name_a", "la", "letters_a", "pairs_a"), "a").join(b.toDF("b", "name_b", "lb", "letters_b", "pairs_b"), "b")
+    shared_pairs = F.size(F.array_intersect("pairs_a.pair", "pairs_b.pair")) >= 3 * matched - total - 1
     shared_letters = F.size(F.array_intersect("letters_a", "letters_b")) >= matched
-    return full.where(shared_pairs & shared_letters).select("a", "b")
+    return full.where(shared_pairs & shared_letters & (F.col("name_a") != F.col("name_b"))).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """All pairs of different names with a ratio of at least the threshold."""
-    pairs = similar_name_candidates(left, right, threshold)
+    pairs = similar_name_candidates(left, right, threshold, keep)
     return pairs.withColumn("score", similarity_ratio("a", "b")).where(F.col("score") >= threshold)
 
 
-def debarment_matches(bidders: DataFrame, debarred: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD) -> DataFrame:
+def debarment_matches(bidders: DataFrame, debarred: DataFrame, threshold: float = P.NAME_MATCH_THRESHOLD, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(bidder, entry, method) rows.  A PAN hit ends the search; else equal or similar names.
 
     Names are compared once per distinct spelling, whatever the number of bidders behind it.
@@ -125,7 +155,7 @@ def debarment_matches(bidders: DataFrame, debarred: DataFrame, threshold: float
     pan = bids.join(entries.select("entry_id", "pan_number"), "pan_number").select("bidder_id", "entry_id", F.lit("pan_match").alias("check_method"))
     rest = bids.join(pan.select("bidder_id").distinct(), "bidder_id", "left_anti")
     same = rest.select(F.col("name").alias("a")).distinct().withColumn("b", F.col("a"))
-    links = similar_names(rest, entries, threshold).select("a", "b").unionByName(same)
+    links = similar_names(rest, entries, threshold, keep).select("a", "b").unionByName(same)
     by_name = (
         links.join(entries.select("entry_id", F.col("name").alias("b")), "b")
         .join(rest.select("bidder_id", F.col("name").alias("a")), "a")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import pytest
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -108,6 +109,27 @@ def test_similar_names_loses_no_pair(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.7])
+def test_similar_names_of_few_letters(spark, threshold):
+    """Short names over a small alphabet repeat their pairs and match at many places."""
+    rng = random.Random(8)
+    left, right = (sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(2, 14))) for _ in range(150)}) for _ in range(2))
+    want = {(a, b) for a in left for b in right if a != b and SequenceMatcher(None, a, b).ratio() >= threshold}
+    frames = [spark.createDataFrame([(n,) for n in names], "name string") for names in (left, right)]
+    assert {(r["a"], r["b"]) for r in entity.similar_names(*frames, threshold).collect()} == want and want
+
+
+def test_names_do_not_meet_on_trade_words(spark):
+    """Candidates are near the number of hits although all names end in one of three words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    names = sorted({f"{word()} {word()} {rng.choice(['engineering', 'construction', 'technologies'])}" for _ in range(600)})
+    left, right = names[:400], names[400:] + [n.replace("a", "b", 1) for n in names[:40]]
+    frames = [spark.createDataFrame([(n,) for n in own], "name string") for own in (left, right)]
+    hits = entity.similar_names(*frames).count()
+    assert 35 <= hits <= entity.similar_name_candidates(*frames).count() <= hits + 0.005 * len(left) * len(right)
+
+
 def test_debarment_order_of_checks(spark):
     bidders = spark.createDataFrame(
         [(1, 1, "Alpha Steel Pvt Ltd", "P1"), (2, 1, "Alpha Steel Limited", None), (3, 1, "Alpa Steel Ltd", None), (4, 1, "Unrelated House", "P9")],
