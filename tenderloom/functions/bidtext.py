@@ -227,16 +227,22 @@ def numeric_terms(label: Column, criterion_text: Column) -> Column:
 
     known = F.array_distinct(
         F.concat(
-            words(has(hint, "turnover") | has(ct, "turnover"), "turnover", "total income", "revenue"),
-            words(has(hint, "net worth") | has(ct, "net worth"), "net worth"),
-            words(has(hint, "emd") | has(hint, "bid security") | has(ct, "earnest"), "emd", "bid security", "earnest money"),
-            words(has(hint, "work") | has(hint, "contract") | has(hint, "project"), "order value", "contract value", "amount"),
+            words(has(hint, "turnover") | has(ct, "turnover"), *P.TURNOVER_TERMS),
+            words(has(hint, "net worth") | has(ct, "net worth"), *P.NET_WORTH_TERMS),
+            words(has(hint, "emd") | has(hint, "bid security") | has(ct, "earnest"), *P.DEPOSIT_TERMS),
+            words(has(hint, "work") | has(hint, "contract") | has(hint, "project"), *P.ORDER_TERMS),
         )
     )
     fallback = F.array(F.when(F.length(hint) > 0, hint).otherwise(F.lit("turnover")))
     return F.when(F.size(known) > 0, known).otherwise(fallback)
 
 
+def known_terms(text: Column) -> Column:
+    """The usual terms of amount requirements that a text holds."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in P.NUMERIC_TERMS]))
+
+
 def scope_chunks(text: Column) -> Column:
     """Lines and sentences, the scopes an amount is looked up in."""
     return F.split(F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1\x01"), r"\n+", "\x01"), "\x01", -1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bidtext as B
 from ..functions import patterns as P
-from ..functions.common import lookup
+from ..functions.common import let, lookup
 
 _DOC_ORDER = ["uploaded_at", "document_id"]
 
@@ -78,14 +78,41 @@ def criterion_terms(criteria: DataFrame) -> DataFrame:
     return numeric.select("tender_id", "criterion_id", F.explode(B.numeric_terms(F.col("threshold_label"), F.col("criterion_text"))).alias("term"))
 
 
+def _usual() -> Column:
+    return F.col("term").isin(*P.NUMERIC_TERMS)
+
+
+def _with_usual_terms(rows: DataFrame, text: str) -> DataFrame:
+    """One row for each usual term that the text holds, with its amount.
+
+    Terms are found and the amount is read inside a row, once and only where there is a term.
+    """
+    numeric = F.struct(B.numeric_value(F.col(text)).alias("numeric"))
+    hits = let(
+        B.known_terms(F.col(text)),
+        lambda found: F.when(F.size(found) > 0, let(numeric, lambda n: F.transform(found, lambda t: F.struct(t.alias("term"), n["numeric"].alias("numeric"))))),
+    )
+    return rows.select("*", F.inline(hits))
+
+
+def _with_other_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """The same for terms in words of a criterion's own; only rows of tenders that have such are looked through."""
+    other = terms.where(~_usual()).select("tender_id", "term").distinct()
+    hits = rows.join(other, "tender_id").where(F.contains(F.lower(text), F.col("term")))
+    return hits.select(*rows.columns, F.inline(F.array(F.struct(F.col("term").alias("term"), B.numeric_value(F.col(text)).alias("numeric")))))
+
+
+def _wanted(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits whose term their tender asks for."""
+    return hits.join(terms.where(_usual()).select("tender_id", "term").distinct(), ["tender_id", "term"], "left_semi")
+
+
 def search_table_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Table rows that hold a term of their tender, with the amount of the row."""
     cells = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c.isNotNull())
     keep = [c for c in rows.columns if c != "cells"]
     lines = rows.select(*keep, F.array_join(cells, " ").alias("line"))
-    # The amount is read once per row, before the row meets its terms.
-    lines = lines.withColumn("numeric", B.numeric_value(F.col("line")))
-    hits = lines.join(terms.select("tender_id", "term").distinct(), "tender_id").where(F.contains(F.lower("line"), F.col("term")))
+    hits = _wanted(_with_usual_terms(lines, "line"), terms).unionByName(_with_other_terms(lines, "line", terms))
     return hits.withColumn("confidence", F.when(F.col("numeric").isNotNull(), 0.85).otherwise(0.7)).drop("line")
 
 
@@ -110,19 +137,22 @@ def best_table_numeric(matches: DataFrame) -> DataFrame:
 
 
 def text_chunks(documents: DataFrame) -> DataFrame:
-    """Lines and sentences that hold an amount."""
+    """Lines and sentences with a digit."""
     rows = documents.select("tender_id", "bidder_id", *_DOC_ORDER, F.posexplode(B.scope_chunks(F.col("text"))).alias("chunk_no", "chunk"))
-    return rows.where(F.col("chunk").rlike("[0-9,]")).withColumn("numeric", B.numeric_value(F.col("chunk"))).where(F.col("numeric").isNotNull())
+    return rows.where(F.col("chunk").rlike("[0-9,]"))
 
 
 def scoped_numeric(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per bidder and term: the surest amount in a line or sentence that holds the term."""
+    """Per bidder and term: the surest amount in a line or sentence that holds the term.
+
+    Terms are reduced to one row for a bidder before they meet those that its tender asks for.
+    """
     chunks = text_chunks(documents)
-    hits = chunks.join(terms.select("tender_id", "term").distinct(), "tender_id").where(F.contains(F.lower("chunk"), F.col("term")))
     rank = _rank(1, low=-F.col("numeric.confidence"), k3=F.col("uploaded_at"), k4=F.col("document_id"), n1=F.col("chunk_no").cast("bigint"))
-    return hits.groupBy("bidder_id", "term").agg(
-        F.min(F.struct(rank.alias("rank"), "numeric", F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("bigint").alias("page_number"))).alias("best")
-    )
+    found = F.struct(rank.alias("rank"), "numeric", F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("bigint").alias("page_number"))
+    best = lambda hits: hits.where(F.col("numeric").isNotNull()).groupBy("tender_id", "bidder_id", "term").agg(F.min(found).alias("best"))
+    every = _wanted(best(_with_usual_terms(chunks, "chunk")), terms).unionByName(best(_with_other_terms(chunks, "chunk", terms)))
+    return every.groupBy("bidder_id", "term").agg(F.min("best").alias("best"))
 
 
 def _floor(mean: Column) -> Column:
