@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bidtext as B
 from ..functions import patterns as P
+from ..operators import branches as X
 from ..operators import entity as G
 from ..operators import evaluate as E
 from ..operators import evidence as V
+from ..operators import qualitative as Q
 from ..plans import evaluation as plans
 from ..sources import files
 from ..sources.adapters import view
@@ -264,32 +266,78 @@ def temporal_evidence(spark, d):
     return rows.select("bidder_id", "criterion_id", "project_count", F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
-def assessments(spark, d):
-    """Both branches for wording criteria: recorded evidence rows stand in for the two verdicts."""
-    from ..operators.branches import qualitative_union
+# Answers recorded for the prompts of wording cases: none, a newer one after an older one, fenced, in running text, or unusable.
+_ANSWER_BODY = """concat('{{"verdict": "', CASE {salt} % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END, '", "confidence": 0.', CAST({salt} % 9 + 1 AS {text}), ', "reasoning": "',
+    CASE WHEN criterion_id % 4 = 0 THEN '' ELSE concat('Answer about case ', CAST({salt} % 97 AS {text})) END, '", "factors": ["model factor ', CAST({salt} % 5 AS {text}), '"]}}')"""
+_ANSWER_TEXT = """CASE bidder_id % 7 WHEN 1 THEN concat('```json', chr(10), {body}, chr(10), '```') WHEN 2 THEN concat('The answer is ', {body}, ' as asked.') WHEN 3 THEN 'no answer' ELSE {body} END"""
+
+
+def _answer(text: str, salt: str = "(bidder_id + criterion_id)") -> str:
+    return _ANSWER_TEXT.format(body=_ANSWER_BODY.format(salt=salt, text=text))
+
+
+def answer_log(spark, d):
+    """A response log of wording cases, in versions: the first, and a second that answers one bidder's prompts anew."""
+    cases = wording_cases(spark, d).where("bidder_id % 5 <> 0")
+    asked = cases.withColumn("prompt_hash", X.prompt_hash(F.lit(Q.PROMPT_TYPE), Q.prompt_of(F.col("criterion_text"), F.col("company_name"), F.col("bidder_id"))))
+    entry = lambda rows, text, at, version: rows.select("prompt_hash", F.expr(text).alias("response"), F.lit("model-a").alias("model_version"), F.lit(at).alias("logged_at"), F.lit(version).alias("version"))
+    older = entry(asked.where("bidder_id % 5 = 1"), "'{\"verdict\": \"FAIL\", \"confidence\": 0.99}'", "2024-05-01T00:00:00Z", 1)
+    newer = entry(asked, _answer("STRING"), "2024-05-02T00:00:00Z", 1)
+    anew = entry(asked.where("bidder_id % 100 = 12"), "'{\"verdict\": \"PASS\", \"confidence\": 0.123}'", "2024-05-03T00:00:00Z", 2)
+    return older.unionByName(newer).unionByName(anew)
 
-    rows = view(spark, d, "evidence").groupBy("bidder_id").agg(
-        F.max("rules_verdict").alias("rules_verdict"), F.max("model_verdict").alias("model_verdict"),
-        F.max("extraction_confidence").alias("rules_confidence"), F.max("model_confidence").alias("model_confidence"),
-    )
-    wanted = pairs(spark, d).where(F.col("criterion_type") == "qualitative_assessment").select("bidder_id", "criterion_id")
-    named = wanted.join(rows, "bidder_id").withColumn("top_factor", F.lit(None).cast("string")).withColumn("model_reasoning", F.lit(None).cast("string"))
-    return qualitative_union(named)
 
+def wording_cases(spark, d):
+    return pairs(spark, d).where(F.col("criterion_type") == "qualitative_assessment")
 
-_OPINIONS = f"""{_BID}, opinion AS (SELECT bidder_id, max(rules_verdict) AS rules_verdict, max(model_verdict) AS model_verdict, max(extraction_confidence) AS rc, max(model_confidence) AS mc FROM evidence GROUP BY bidder_id),
-    said AS (SELECT *, {search._AGREE} AS agreement, {search._CONSENSUS} AS verdict FROM opinion),
+
+def assessments(spark, d, version=1):
+    """Both branches for wording criteria: vectors of the bid, and the answers logged up to a version."""
+    log = Q.log_at(answer_log(spark, d), version)
+    return Q.assess(wording_cases(spark, d), view(spark, d, "criterion_vecs"), view(spark, d, "bid_chunk_vecs"), view(spark, d, "precedent_vecs"), log)
+
+
+_SIMILAR = """cases AS (SELECT * FROM pairs WHERE criterion_type = 'qualitative_assessment'),
+    dsims AS (SELECT c.bidder_id, c.criterion_id, max(round(list_dot_product(k.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)) AS ds
+        FROM cases c JOIN criterion_vecs v ON v.criterion_id = c.criterion_id JOIN bid_chunk_vecs k ON k.bidder_id = c.bidder_id GROUP BY ALL),
+    psims AS (SELECT v.criterion_id, p.precedent_id, round(list_dot_product(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS ps
+        FROM criterion_vecs v JOIN precedent_vecs p ON p.scope = v.scope QUALIFY row_number() OVER (PARTITION BY v.criterion_id ORDER BY ps DESC, p.precedent_id) = 1),
+    meant AS (SELECT c.bidder_id, c.criterion_id, coalesce(ds, 0.0) AS ds, coalesce(ps, 0.0) AS ps, precedent_id FROM cases c LEFT JOIN dsims d ON d.bidder_id = c.bidder_id AND d.criterion_id = c.criterion_id LEFT JOIN psims p ON p.criterion_id = c.criterion_id),
+    ruled AS (SELECT *, CASE WHEN ds >= 0.55 AND ps >= 0.55 THEN 'PASS' ELSE 'REVIEW' END AS rules_verdict, greatest(0.0, least(1.0, 0.5 * ds + 0.5 * ps)) AS rc FROM meant)"""
+_OPINIONS = f"""{_BID}, {_SIMILAR},
+    heard AS (SELECT *, bidder_id % 5 <> 0 AND bidder_id % 7 <> 3 AS said, (bidder_id + criterion_id) % 3 AS vote, (bidder_id + criterion_id) % 9 + 1 AS tenths FROM ruled),
+    opinion AS (SELECT *, CASE WHEN said THEN CASE vote WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END END AS branch_verdict, CASE WHEN said THEN tenths::DOUBLE / 10 ELSE 0.0 END AS mc FROM heard),
+    voted AS (SELECT *, coalesce(branch_verdict, 'REVIEW') AS model_verdict FROM opinion),
+    said AS (SELECT *, {search._AGREE} AS agreement, {search._CONSENSUS} AS verdict FROM voted),
     weighed AS (SELECT *, CASE WHEN mc = 0 THEN rc WHEN rc = 0 THEN mc * 0.8 WHEN agreement = 'agree' THEN round(least(1.0, sqrt(rc * mc) + 0.1), 3) WHEN agreement = 'disagree' THEN round(least(rc, mc) * 0.7, 3)
-        ELSE round((rc + mc) / 2, 3) END AS confidence FROM said)"""
+        ELSE round((rc + mc) / 2, 3) END AS confidence,
+        CASE WHEN said AND criterion_id % 4 <> 0 THEN concat('Answer about case ', (bidder_id + criterion_id) % 97)
+            ELSE concat('Semantic analysis: criterion↔document similarity: ', {D.two('ds')}, '. Rules-LLM ', agreement, '. Routing to officer review.') END AS reasoning,
+        concat(CASE WHEN said THEN concat('model factor ', (bidder_id + criterion_id) % 5, '; ') ELSE '' END, 'criterion↔document similarity: ', {D.two('ds')}, '; best precedent similarity: ', {D.two('ps')},
+            CASE WHEN precedent_id IS NOT NULL THEN concat('; top precedent: ', precedent_id) ELSE '' END) AS factors FROM said)"""
+_VECS = "criterion_vecs bid_chunk_vecs precedent_vecs"
+
+
+@query(
+    "E15_qualitative_path",
+    f"bid_pages bidders criteria {_VECS}",
+    f"""WITH {_PAIRS}, {_OPINIONS} SELECT bidder_id, criterion_id, round(ds, 6) AS document_similarity, round(ps, 6) AS precedent_similarity, rules_verdict, branch_verdict, agreement, verdict,
+        round(confidence, 3) AS confidence, reasoning, factors FROM weighed""",
+)
+def qualitative_path(spark, d):
+    """The whole path of wording cases: vectors, precedents, logged answers, consensus."""
+    return assessments(spark, d).select(
+        "bidder_id", "criterion_id", F.round("document_similarity", 6).alias("document_similarity"), F.round("precedent_similarity", 6).alias("precedent_similarity"), "rules_verdict", "branch_verdict",
+        "agreement", "verdict", F.round("confidence", 3).alias("confidence"), "reasoning", F.array_join("factors", "; ").alias("factors"),
+    )
 
 
 @query(
     "F18_qualitative_evidence",
-    "bid_pages bidders criteria evidence",
-    f"""WITH {_PAIRS}, {_OPINIONS} SELECT p.bidder_id, p.criterion_id, coalesce(w.verdict, 'REVIEW') AS model_verdict, coalesce(w.mc, 0.0) AS model_confidence, coalesce(w.agreement, 'agree') AS agreement,
-        CASE WHEN w.agreement IS NOT NULL THEN concat('Semantic analysis: no specific factors identified. Rules-LLM ', w.agreement, '. Routing to officer review.') END AS reasoning,
-        round(least(greatest(coalesce(w.confidence, 0.0), 0.3), greatest(coalesce(t.mean_confidence, 0.0), 0.3)), 6) AS ocr_confidence
-    FROM pairs p LEFT JOIN bid_text t ON t.bidder_id = p.bidder_id LEFT JOIN weighed w ON w.bidder_id = p.bidder_id WHERE p.criterion_type = 'qualitative_assessment'""",
+    f"bid_pages bidders criteria {_VECS}",
+    f"""WITH {_PAIRS}, {_OPINIONS} SELECT p.bidder_id, p.criterion_id, w.verdict AS model_verdict, w.mc AS model_confidence, w.agreement, w.reasoning,
+        round(least(greatest(w.confidence, 0.3), greatest(coalesce(t.mean_confidence, 0.0), 0.3)), 6) AS ocr_confidence
+    FROM cases p JOIN weighed w ON w.bidder_id = p.bidder_id AND w.criterion_id = p.criterion_id LEFT JOIN bid_text t ON t.bidder_id = p.bidder_id""",
 )
 def qualitative_evidence(spark, d):
     _, profile = _profile(spark, d)
@@ -456,18 +504,35 @@ def entity_consensus(spark, d):
 # --- H12: everything ------------------------------------------------------------------------
 
 
-def full_run(spark, d, text=None):
+def full_run(spark, d, version=1, name_threshold=P.NAME_MATCH_THRESHOLD):
     return plans.evaluate_all(
         view(spark, d, "bidders"), view(spark, d, "criteria"), bid_documents(spark, d), view(spark, d, "debarment_list"), view(spark, d, "precedents"),
-        bid_tables(spark, d), assessments(spark, d), as_of=AS_OF, keep=files.kept,
+        bid_tables(spark, d), assessments(spark, d, version), as_of=AS_OF, keep=files.kept, name_threshold=name_threshold,
     )
 
 
+def rerun(spark, d, then, now):
+    """Two runs of everything over the given tables, with the answers logged up to one version and up to another."""
+    run = lambda version: full_run(spark, d, version, name_threshold=1.0).cases
+    return plans.reproduce_run(run, then, now, keep=files.kept)
+
+
+@query(
+    "N6_rerun",
+    "bidders criteria debarment_list",
+    f"""WITH {_EXACT}, {_PAIRS} SELECT tender_id, count(*) AS total, count(*) AS matches, 0 AS differences, true AS match, true AS identical FROM pairs
+    WHERE bidder_id NOT IN (SELECT bidder_id FROM exact) GROUP BY tender_id""",
+)
+def rerun_identical(spark, d):
+    """A rerun with the recorded answers gives every case again."""
+    return rerun(spark, d, 1, 1).select("tender_id", "total", "matches", "differences", "match", "identical")
+
+
 @query("H12_evaluate_all")
 def evaluate_all(spark, d):
     return full_run(spark, d).cases.select(
         "evaluation_id", "tender_id", "bidder_id", "criterion_id", "criterion_type", "verdict", F.round("confidence", 6).alias("confidence"), "route",
-        "route_reason", "status", "headline", "detail",
+        "route_reason", "status", "headline", "detail", "reasoning",
     )
 
 

@@ -362,6 +362,14 @@ VIEWS: dict[str, str] = {
         SELECT vec_id AS precedent_id, label AS scope, embedding FROM {embeddings} WHERE vec_id % 2 = 0""",
     "query_vecs": """
         SELECT vec_id AS query_id, label AS scope, embedding FROM {embeddings} WHERE vec_id % 2 = 1""",
+    # Vectors of criteria, and three chunks of each bid.
+    "criterion_vecs": """
+        SELECT p.p_partkey AS criterion_id, e.label AS scope, e.embedding
+        FROM {part} p CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) s JOIN {embeddings} e ON e.vec_id = p.p_partkey % s.n""",
+    "bid_chunk_vecs": """
+        SELECT o.o_orderkey AS bidder_id, k.chunk_no, e.embedding
+        FROM {orders} o CROSS JOIN (VALUES (0), (1), (2)) AS k(chunk_no) CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) s
+        JOIN {embeddings} e ON e.vec_id = (o.o_orderkey * 7 + k.chunk_no * 13) % s.n""",
     # The recorded model answers: a user turn and the reply that follows it.
     "response_log": """
         SELECT u.conv_id AS tender_id, u.turn AS turn, sha256(u.text) AS prompt_hash, a.text AS response,
