@@ -43,7 +43,7 @@ from .sentencepieces import BYTE, read_model
 #: Runs of a block, and runs that one merge reads.
 RADIXES, FAN_IN = 64, 48
 #: Records and documents of a block, and parts that a task remembers and aligns at once; they bound its memory.
-BLOCK_RECORDS, BLOCK_DOCS, REMEMBERED, AT_ONCE, LONG_PART = 1_000_000, 20_000, 200_000, 8_000, 64
+BLOCK_RECORDS, BLOCK_DOCS, REMEMBERED, AT_ONCE, LONG_PART = 1_000_000, 20_000, 400_000, 8_000, 64
 #: Groups with more links than this are counted by distinct ids.
 WIDE = 256
 CUT = re.compile(r"(?<=\S)(?=[ \n])")

@@ -269,7 +269,7 @@ def test_blocks_keep_their_bounds(monkeypatch):
         for at in range(0, len(rows), size):
             block = alignment.Block(0)
             block.add(aligner, *map(list, zip(*rows[at : at + size], strict=True)))
-            assert len(aligner.known) <= max(remembered, 20_000)
+            assert len(aligner.known) <= max(remembered, 20_000)  # at least the parts of these texts
             out += [(rows[at + int(d)][0], int(c), int(t)) for own in block.records for d, c, t in zip(*own, strict=True)]
         return Counter(out)
 
