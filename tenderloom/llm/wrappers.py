@@ -13,8 +13,10 @@ wrappers are written, and joined to the pages by host: Spark broadcasts them onl
 and splits a hot host otherwise.
 
 The article is what lies in ``article``, else in ``main`` or a content block, else in the body, without
-navigation, headers outside articles, footers, asides, forms, scripts, styles, controls, drawings, and elements whose class, id
-or role says menu, advert, notice, sidebar, comments and the like. Where that leaves a page empty, the marks
+navigation, headers outside articles, footers, asides, forms, scripts, styles, controls, drawings, and elements of any name
+whose class, id or role says menu, advert, notice, sidebar, comments and the like; a heading of such words goes with the
+marked element that it stands before. A plain word counts where all of the name are such words (``related-posts``, not
+``related-work``), names of ``has-`` and the like never, nothing inside code. Where that leaves a page empty, the marks
 of elements that frame most of the page do not count. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line feed. Broken markup is read
 leniently: a paragraph ends the one before, an end tag closes what is open above its start, a missing end
@@ -45,20 +47,34 @@ from .urlrules import host_of
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe".split())
 #: Elements without article text; like others they end with their parent.
-SILENT = set("noscript template svg select button object".split())
+SILENT = set("noscript template svg select button object label datalist".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 REGIONS = set("article aside body details dialog div fieldset footer form header main menu nav section table".split())
+PLACES = REGIONS | SILENT
 OUTSIDE = set("aside dialog fieldset footer form menu nav".split())
 #: Parts of a page: what holds one and most of the text is the frame of the page.
 PARTS = set("article aside footer header main nav".split())
-MARKS = set(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header "
-    "login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond search share sharing sidebar "
-    "skip social sponsor sponsored subscribe toolbar widget".split()
+#: Words that mark an element wherever they stand in a name.
+CLEAR = set(
+    "ad ads advert advertisement advertisements adverts advertising adsbygoogle breadcrumb breadcrumbs commentlist complementary consent contentinfo cookie cookies "
+    "disqus masthead nav navbar newsletter pagination popup promo sidebar sponsor sponsored sponsors toolbar".split()
 )
+MARKS = CLEAR | set(
+    "banner comment comments footer header login menu modal navigation notice notices promotion related replies respond search share sharing skip social subscribe widget".split()
+)
+#: Words that may stand beside a plain mark in a name.
+BESIDE = set(
+    "area articles bar block body bottom box button buttons container count footer global group header icons inline inner items left link links list main more of outer page panel post posts "
+    "primary right secondary section site stories tags the thread to top us wrap wrapper".split()
+)
+#: First words of names that speak of a layout or state, not of what the element holds.
+STATES = set("has is no not with without".split())
+#: Marks that say nothing on an element that is no region, such as a heading or a cell.
+OF_REGIONS = {"banner", "header", "search"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTENT = set("article content entry main maincontent post story".split())
 #: An opening tag of the key ends an open tag of the set first.
 ENDS = {
@@ -99,13 +115,25 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                 continue
             if name in SILENT and SELF_CLOSED.search(found[3]):
                 continue
-            yield "open", name + (marks_of(found[3]) if name in REGIONS and found[3] else "")
+            yield "open", name + (marks_of(found[3], name in REGIONS) if found[3] and name not in VOID else "")
+
 
+def marks_of(attributes: str, region: bool) -> str:
+    """``.boilerplate``, or for a region ``.content``, if class, id or role has such a name."""
+    names = [WORDS.findall(name) for groups in NAMED.findall(attributes) for name in "".join(groups).lower().split()]
+    if any(is_mark(words, region) for words in names):
+        return ".boilerplate"
+    return ".content" if region and any(CONTENT.intersection(words) for words in names) else ""
 
-def marks_of(attributes: str) -> str:
-    """``.boilerplate`` or ``.content`` if class, id or role has such a word."""
-    words = {w for groups in NAMED.findall(attributes) for w in WORDS.findall("".join(groups).lower())}
-    return ".boilerplate" if words & MARKS else ".content" if words & CONTENT else ""
+
+def is_mark(words: list[str], region: bool) -> bool:
+    """Whether the words of a name say that its element is no article."""
+    if not words or words[0] in STATES:
+        return False
+    if CLEAR.intersection(words):
+        return True
+    own = MARKS.intersection(words) if region else MARKS.intersection(words) - OF_REGIONS
+    return bool(own) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words)
 
 
 class Walk:
@@ -117,7 +145,7 @@ class Walk:
 
     def _cut(self, at: int) -> None:
         del self.open[at:]
-        self.region = ">".join(x for x in self.open if x.partition(".")[0] in REGIONS | SILENT)
+        self.region = ">".join(x for x in self.open if x.endswith(".boilerplate") or x.partition(".")[0] in PLACES)
 
     def _last(self, names: set[str], fences: set[str]) -> int | None:
         for at in range(len(self.open) - 1, -1, -1):
@@ -147,8 +175,10 @@ class Walk:
             at = above if above is not None and (at is None or above < at) else at
         if at is not None:
             self._cut(at)
+        if tag != name and name not in REGIONS and self._last({"code", "pre"}, REGIONS) is not None:
+            tag = name
         self.open.append(tag)
-        if name in REGIONS or name in SILENT:
+        if name in PLACES or tag.endswith(".boilerplate"):
             self._cut(len(self.open))
 
     def end(self, name: str) -> None:
@@ -334,11 +364,14 @@ def extracted(page: str, where: str, frames: set[str] | frozenset[str] = frozens
     """The article of a page whose articles lie in ``where``; marks of ``frames`` do not count."""
     walk, blocks, own = Walk(), [], []
     known: dict[str, bool] = {}
+    heading = False
 
     def close() -> None:
+        nonlocal heading
         text = " ".join(html.unescape("".join(own)).split())
         if text:
             blocks.append(text)
+            heading = False
         own.clear()
 
     for kind, value in tokens(page):
@@ -349,12 +382,18 @@ def extracted(page: str, where: str, frames: set[str] | frozenset[str] = frozens
             if known[region]:
                 own.append(value)
             continue
-        name = value.partition(".")[0]
+        name, _, mark = value.partition(".")
         if name in BLOCKS:
             close()
+            if kind == "close" and name in HEADINGS and blocks:
+                heading = all(w in MARKS or w in BESIDE or w.isdigit() for w in WORDS.findall(blocks[-1].lower())) and not MARKS.isdisjoint(WORDS.findall(blocks[-1].lower()))
         elif name == "br":
             own.append(" ")
         if kind == "open":
+            if heading and mark == "boilerplate" and name in BLOCKS:
+                # The heading of what is left out.
+                blocks.pop()
+                heading = False
             walk.start(value)
         else:
             walk.end(value)

@@ -100,6 +100,26 @@ def test_broken_markup(page, text):
     assert wrappers.extracted(page, "article") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>a</p><p class='notice'>Buy now</p><p class=advert>AD</p><p>b</article>", "a\nb"),
+        ("<article><p>a <span class=share>Share this</span>b</p><ul class='menu'><li>x<li>y</ul><p>c</article>", "a b\nc"),
+        ("<article><p>a<h2>3 Comments</h2><ol class='commentlist'><li>nice<li>bad</ol><p>b</article>", "a\nb"),
+        ("<article><h2>Comments</h2><p>on a law</p><ul class=comments><li>nice</ul>b</article>", "Comments\non a law\nb"),
+        ("<article><h2>Related work</h2><div class='related-work'><p>a</p></div></article>", "Related work\na"),
+        ("<article><p>a</p><div class='related-posts'><p>no</p></div><div id='share_buttons'>no</div></article>", "a"),
+        ("<article class='has-sidebar'><p class='no-ads'>a</p></article>", "a"),
+        ("<article><h1 class=header>a</h1><table><tr><th class=header>b</table></article>", "a\nb"),
+        ("<article><pre>x <span class='comment'># y</span></pre></article>", "x # y"),
+        ("<article><p>a <label>mail</label></p><p class=ad>no<p>b</article>", "a\nb"),
+        ("<article><a class=ad href=x><div>no</div></a><b class=promo>no</b><p>a</article>", "a"),
+    ],
+)
+def test_marks_on_any_element(page, text):
+    assert wrappers.extracted(page, "article") == text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
