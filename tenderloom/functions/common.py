@@ -150,9 +150,73 @@ def json_object(fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+def json_float(value: Column) -> Column:
+    """A double as Python prints it: the shortest digits, an exponent below 1e-4 and from 1e16 on."""
+
+    def shown(v: Column) -> Column:
+        text = F.abs(v).cast("string")
+        mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+        whole = F.split_part(mantissa, F.lit("."), F.lit(1))
+        digits = F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2)))
+        bare = F.ltrim(digits, F.lit("0"))
+        # The value is 0.bare times ten to the place.
+        place = F.length(whole) + power - F.length(digits) + F.length(bare)
+        parts = let(F.struct(F.rtrim(bare, F.lit("0")).alias("d"), place.alias("p")), lambda x: shortest(v, x))
+        body = let(let(parts, lambda x: shortest(v, x)), lambda x: placed(x["d"], x["p"]))
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        return F.when(v.isNull() | F.isnan(v) | text.startswith("I"), v.cast("string")).otherwise(F.concat(sign, F.when(v == 0, "0.0").otherwise(body)))
+
+    def shortest(v: Column, x: Column) -> Column:
+        # The runtime may print a digit or two more than needed.
+        less = F.substring(x["d"], F.lit(1), F.length(x["d"]) - 1)
+        more = (less.try_cast("bigint") + 1).cast("string")
+        value = lambda d: F.concat(d, F.lit("E"), (x["p"] - F.length(less)).cast("string")).try_cast("double")
+        same = lambda d: (F.length(less) > 0) & (value(d) == F.abs(v))
+        cut = lambda d: F.struct(F.rtrim(d, F.lit("0")).alias("d"), (x["p"] - F.length(less) + F.length(d)).alias("p"))
+        down = F.substring(x["d"], -1, 1) < "5"
+        return F.when(down & same(less), cut(less)).when(same(more), cut(more)).when(same(less), cut(less)).otherwise(x)
+
+    def placed(d: Column, p: Column) -> Column:
+        n = F.length(d)
+        plain = (
+            F.when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+            .when(n <= p, F.concat(F.rpad(d, p, "0"), F.lit(".0")))
+            .otherwise(F.concat(F.substring(d, F.lit(1), p), F.lit("."), F.substring(d, p + 1, n)))
+        )
+        e = p - 1
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), n))).otherwise("")
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        return F.when((e >= -4) & (e < 16), plain).otherwise(F.concat(F.substring(d, 1, 1), rest, F.lit("e"), power))
+
+    return F.coalesce(let(value.cast("double"), shown), F.lit("null"))
+
+
 def canonical_json(text: Column) -> Column:
-    """Sorted keys, compact, ASCII; null when the text is not JSON."""
-    return let(F.to_json(F.try_parse_json(text)), ascii_escape)
+    """Sorted keys, compact, ASCII, numbers as Python prints them; null when the text is not JSON."""
+    sort = lambda t: F.to_json(F.try_parse_json(t))
+
+    # Escapes stand for a while as control characters, which JSON has not, so that every quote ends a string.
+    hidden = lambda t: F.replace(F.replace(t, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    restored = lambda t: F.replace(F.replace(t, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+    def number(t: Column) -> Column:
+        return F.when(t.rlike("[.eE]"), json_float(t.try_cast("double"))).otherwise(F.when(t == "-0", "0").otherwise(t))
+
+    def kept_numbers(t: Column) -> Column:
+        # Strings get the letter s, numbers become strings with the letter n while keys are sorted.
+        tagged = F.transform(
+            F.split(hidden(t), '"'), lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("s"), x)).otherwise(F.regexp_replace(x, r"-?[0-9][0-9.eE+-]*", '"n$0"'))
+        )
+        parts = F.split(hidden(sort(restored(F.array_join(tagged, '"')))), '"')
+        read = F.transform(
+            parts,
+            lambda x, i: F.when(i % 2 == 0, x).when(x.startswith("n"), number(F.substr(x, F.lit(2)))).otherwise(F.concat(F.lit('"'), F.substr(x, F.lit(2)), F.lit('"'))),
+        )
+        return F.when(F.try_parse_json(t).isNotNull(), restored(F.array_join(read, "")))
+
+    # Short whole numbers come back as they are.
+    special = text.rlike(r"[0-9][.eE]|-0|[0-9]{18}")
+    return let(F.when(special, let(text, kept_numbers)).otherwise(sort(text)), ascii_escape)
 
 
 def natural_id(*columns: str) -> Column:

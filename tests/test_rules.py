@@ -199,6 +199,39 @@ def test_replay_and_thresholds(spark):
     assert out == [(True, "PROCESSING_OCR"), (False, "PROCESSING_OCR"), (True, "OCR_COMPLETE")]
 
 
+@pytest.mark.parametrize("chunks", [None, 1, 5])
+def test_replay_equals_the_loop(spark, chunks):
+    """One tender with most requests over many chunks and batches, others with few, unknown states and targets, nulls, ties."""
+    random.seed(11)
+    starts = {1: "DOCUMENTS_UPLOADED", 2: "HITL_PENDING", 3: "no such state", 4: None, 5: "EVALUATING"}
+    follow = {}
+    for a, b in P.TRANSITIONS:
+        follow.setdefault(a, []).append(b)
+    steps, state = [], dict(starts)
+    for i in range(3000):
+        t = 1 if random.random() < 0.9 else random.choice([2, 3, 4])
+        further = follow.get(state[t], [])
+        # Few steps succeed, so that states change in all chunks.
+        target = random.choice(further) if further and random.random() < 0.006 else random.choice([*(x for x in P.STATES if x not in further), "unknown", None])
+        state[t] = target if (state[t], target) in P.TRANSITIONS else state[t]
+        steps.append((i, t, target, f"2024-01-{1 + i // 200:02d}" if i >= 200 else None))
+    steps.append((3000, 9, "PROCESSING_OCR", "2024-02-01"))
+    tenders = spark.createDataFrame(list(starts.items()), "tender_id bigint, status string")
+    requests = spark.createDataFrame(random.sample(steps, len(steps)), "request_id bigint, tender_id bigint, target_status string, requested_on string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r["request_id"]: (r["accepted"], r["state_after"]) for r in workflow.replay_status(tenders, requests, chunks).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, state = {}, dict(starts)
+    for i, t, target, _ in steps[:-1]:
+        ok = (state[t], target) in P.TRANSITIONS
+        state[t] = target if ok else state[t]
+        want[i] = (ok, state[t])
+    assert got == want and len({want[i][1] for i, t, _, _ in steps[:-1] if t == 1}) >= 8
+    assert workflow.replay_status(tenders, requests.limit(0), chunks).count() == 0
+
+
 def test_vector_search_over_blocks(spark):
     rng = random.Random(4)
     rows = [(i, i % 2, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(60)]

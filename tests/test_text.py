@@ -90,6 +90,25 @@ def test_json_text_matches_python(spark):
     assert many(spark, loose, M.canonical_json) == ['{"a":{"c":null,"d":"\\u00e9"},"b":[1,2]}', None, "[3,1]"]
 
 
+def test_numbers_print_as_in_python(spark):
+    random.seed(3)
+    values = [0.0, -0.0, 1.0, 1e-05, 0.0001, 1.5, 1e15, 1e16, 123456789012345680.0, 1e22, 2e-44, 9.999999999999999e22, 5e-324, 1.7976931348623157e308, 2.0**-44, 0.1 + 0.2]
+    values += [random.uniform(-1, 1) * 10.0 ** random.randint(-30, 30) for _ in range(4000)] + [round(random.uniform(-1e6, 1e6), random.randint(0, 6)) for _ in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", M.json_float(F.col("v")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [repr(v) for v in values]
+    loose = [
+        '{"b": 1.0, "a": [1e-05, 1.50, -0, -0.0, 1E5], "c": {"z": 2, "y": 0.0001}}', '{"n 1.0": "a, 1.50, b", "q\\"1.0": "\\\\", "s": "\\u0007 2.50"}', "1.0", "[1.0", '"1.0"',
+        '{"big": 123456789012345678901234567890, "far": 123456789012345678901234567890123456789012345678901234567890, "e": ""}', '["é 1.0", 12345678901234567890.0, true, null, 3e0]',
+    ]
+    want = []
+    for t in loose:
+        try:
+            want.append(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
+        except ValueError:
+            want.append(None)
+    assert many(spark, loose, M.canonical_json) == want
+
+
 def test_prose_projects_equal_the_one_piece_pattern(spark):
     random.seed(7)
     bits = ["Supply order", "works - Rs. 5 lakh", " on 12-03-2021", "\n", ": 31-12-2027", "–", "Rs 7,50,000", "bridge at site", "2024-01-05", " | 9 cr May 2020", "x" * 70, "-3.5"]
