@@ -167,14 +167,13 @@ def json_float(value: Column) -> Column:
         return F.when(v.isNull() | F.isnan(v) | text.startswith("I"), v.cast("string")).otherwise(F.concat(sign, F.when(v == 0, "0.0").otherwise(body)))
 
     def shortest(v: Column, x: Column) -> Column:
-        # The runtime may print a digit or two more than needed.
+        # The runtime may print a digit or two more than needed: try the digits without the last one, rounded as it says first.
         less = F.substring(x["d"], F.lit(1), F.length(x["d"]) - 1)
-        more = (less.try_cast("bigint") + 1).cast("string")
-        value = lambda d: F.concat(d, F.lit("E"), (x["p"] - F.length(less)).cast("string")).try_cast("double")
-        same = lambda d: (F.length(less) > 0) & (value(d) == F.abs(v))
-        cut = lambda d: F.struct(F.rtrim(d, F.lit("0")).alias("d"), (x["p"] - F.length(less) + F.length(d)).alias("p"))
-        down = F.substring(x["d"], -1, 1) < "5"
-        return F.when(down & same(less), cut(less)).when(same(more), cut(more)).when(same(less), cut(less)).otherwise(x)
+        rounded = lambda d: F.array(d, (d.try_cast("bigint") + 1).cast("string"))
+        both = let(less, lambda d: F.when(F.substring(x["d"], -1, 1) < "5", rounded(d)).otherwise(F.reverse(rounded(d))))
+        same = lambda d: F.concat(d, F.lit("E"), (x["p"] - F.length(x["d"]) + 1).cast("string")).try_cast("double") == F.abs(v)
+        cut = F.transform(F.filter(both, same), lambda d: F.struct(F.rtrim(d, F.lit("0")).alias("d"), (x["p"] - F.length(x["d"]) + 1 + F.length(d)).alias("p")))
+        return F.coalesce(F.get(cut, F.lit(0)), x)
 
     def placed(d: Column, p: Column) -> Column:
         n = F.length(d)
@@ -214,8 +213,8 @@ def canonical_json(text: Column) -> Column:
         )
         return F.when(F.try_parse_json(t).isNotNull(), restored(F.array_join(read, "")))
 
-    # Short whole numbers come back as they are.
-    special = text.rlike(r"[0-9][.eE]|-0|[0-9]{18}")
+    # Sorting alone leaves numbers as they are but these: exponents, zeros at the end of a fraction, minus zero, small and long ones.
+    special = text.rlike(r"(?:^|[:,\[])\s*(?:-0(?![0-9.])|-?(?:[0-9.]+[eE]|[0-9]+\.[0-9]*0(?![0-9])|[0-9]+\.0000|[0-9.]{16}))")
     return let(F.when(special, let(text, kept_numbers)).otherwise(sort(text)), ascii_escape)
 
 
