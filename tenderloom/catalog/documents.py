@@ -477,10 +477,20 @@ def extraction_confidence(spark, d):
 
 # --- D: amendments ------------------------------------------------------------------------
 
-_HISTORY = """h AS (SELECT c.tender_id, c.criterion_id, row_number() OVER w AS seq, coalesce(lag(a.amended_rupees) OVER w, c.threshold_rupees) AS original_value, a.amended_rupees AS amended_value,
-        concat('Corrigendum doc ', corrigendum_id) AS corrigendum_ref, coalesce(reason, 'Corrigendum amendment') AS amendment_reason
-    FROM criteria c JOIN amendments a ON a.tender_id = c.tender_id AND a.clause_ref = c.source_clause_ref AND a.criterion_type = c.criterion_type
-    WINDOW w AS (PARTITION BY c.criterion_id ORDER BY a.uploaded_at, a.ord))"""
+_HISTORY = """k AS (SELECT tender_id, source_clause_ref, list(DISTINCT criterion_type) AS kinds FROM criteria GROUP BY ALL),
+    m AS (SELECT c.tender_id, c.criterion_id, a.uploaded_at, a.ord, a.corrigendum_id, a.reason,
+        struct_pack(r := c.threshold_rupees, d := c.threshold_document, n := cast(c.threshold_count AS bigint), p := c.threshold_period) AS own,
+        CASE WHEN coalesce(cast(a.amended_rupees AS varchar), a.amended_document, cast(a.amended_count AS varchar), a.amended_period) IS NOT NULL
+            THEN struct_pack(r := a.amended_rupees, d := a.amended_document, n := cast(a.amended_count AS bigint), p := a.amended_period) END AS given
+        FROM criteria c JOIN amendments a ON a.tender_id = c.tender_id AND a.clause_ref = c.source_clause_ref
+        JOIN k ON k.tender_id = c.tender_id AND k.source_clause_ref = c.source_clause_ref WHERE a.criterion_type = c.criterion_type OR NOT list_contains(k.kinds, a.criterion_type)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY uploaded_at, ord) AS seq,
+        coalesce(last_value(given IGNORE NULLS) OVER (PARTITION BY criterion_id ORDER BY uploaded_at, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), own) AS o FROM m),
+    t AS (SELECT *, coalesce(given, o) AS e FROM s),
+    h AS (SELECT tender_id, criterion_id, seq, o.r AS original_value, o.d AS original_document, o.n AS original_count, o.p AS original_period,
+        e.r AS amended_value, e.d AS amended_document, e.n AS amended_count, e.p AS amended_period,
+        concat('Corrigendum doc ', corrigendum_id) AS corrigendum_ref, coalesce(reason, 'Corrigendum amendment') AS amendment_reason FROM t),
+    l AS (SELECT criterion_id, arg_min(o, seq) AS o, arg_max(e, seq) AS e, arg_max(concat('Corrigendum doc ', corrigendum_id), seq) AS corrigendum_ref, count(*) AS n FROM t GROUP BY 1)"""
 
 
 @query("D1_amendment_history", "criteria amendments", f"WITH {_HISTORY} SELECT * FROM h")
@@ -491,19 +501,21 @@ def amendment_history(spark, d):
 @query(
     "D1_apply_corrigenda",
     "criteria amendments",
-    f"""WITH {_HISTORY}, l AS (SELECT criterion_id, max_by(amended_value, seq) AS amended, count(*) AS n FROM h GROUP BY 1)
-    SELECT c.criterion_id, c.tender_id, coalesce(amended, threshold_rupees) AS threshold_rupees, coalesce(n, 0) AS amendments FROM criteria c LEFT JOIN l ON l.criterion_id = c.criterion_id""",
+    f"""WITH {_HISTORY} SELECT c.criterion_id, c.tender_id, CASE WHEN n > 0 THEN e.r ELSE threshold_rupees END AS threshold_rupees, CASE WHEN n > 0 THEN e.d ELSE threshold_document END AS threshold_document,
+        CASE WHEN n > 0 THEN e.n ELSE threshold_count END AS threshold_count, CASE WHEN n > 0 THEN e.p ELSE threshold_period END AS threshold_period, coalesce(n, 0) AS amendments
+    FROM criteria c LEFT JOIN l ON l.criterion_id = c.criterion_id""",
 )
 def apply_corrigenda(spark, d):
     rows = M.apply_corrigenda(view(spark, d, "criteria"), view(spark, d, "amendments"))
-    return rows.select("criterion_id", "tender_id", "threshold_rupees", "amendments")
+    return rows.select("criterion_id", "tender_id", "threshold_rupees", "threshold_document", "threshold_count", "threshold_period", "amendments")
 
 
 @query(
     "D2_criterion_diff",
     "criteria amendments",
-    f"""WITH {_HISTORY}, l AS (SELECT criterion_id, min_by(coalesce(original_value, -1), seq) AS original, max_by(amended_value, seq) AS amended, max_by(corrigendum_ref, seq) AS corrigendum_ref, count(*) AS n FROM h GROUP BY 1)
-    SELECT c.criterion_id, c.tender_id, CASE WHEN n > 0 THEN nullif(original, -1) ELSE threshold_rupees END AS original, amended, corrigendum_ref, coalesce(n, 0) AS amendments, coalesce(n, 0) > 0 AS has_amendments
+    f"""WITH {_HISTORY} SELECT c.criterion_id, c.tender_id, CASE WHEN n > 0 THEN o.r ELSE threshold_rupees END AS original, CASE WHEN n > 0 THEN o.d ELSE threshold_document END AS original_document,
+        CASE WHEN n > 0 THEN o.n ELSE threshold_count END AS original_count, CASE WHEN n > 0 THEN o.p ELSE threshold_period END AS original_period,
+        e.r AS amended, e.d AS amended_document, e.n AS amended_count, e.p AS amended_period, corrigendum_ref, coalesce(n, 0) AS amendments, coalesce(n, 0) > 0 AS has_amendments
     FROM criteria c LEFT JOIN l ON l.criterion_id = c.criterion_id""",
 )
 def criterion_diff(spark, d):

@@ -11,43 +11,76 @@ from ..functions.common import json_bool, json_number, json_object, json_string
 from .digests import ordered_digest
 
 
-def amendment_history(criteria: DataFrame, amendments: DataFrame) -> DataFrame:
-    """One row per applied amendment: the value before, the value after, where and why.
+#: Parts of a threshold; an amendment replaces all of them.
+PARTS = ["rupees", "document", "count", "period"]
+
+
+def _threshold(rows: DataFrame, prefix: str) -> Column:
+    """The parts of a threshold as one value; parts that the rows have no column for are null."""
+    kinds = {"rupees": "bigint", "document": "string", "count": "bigint", "period": "string"}
+    return F.struct(*[(F.col(f"{prefix}_{p}") if f"{prefix}_{p}" in rows.columns else F.lit(None)).cast(kinds[p]).alias(p) for p in PARTS])
+
+
+def _opened(column: str, name: str) -> list[Column]:
+    """The parts of a threshold as columns; the amount has the plain name."""
+    return [F.col(f"{column}.{p}").alias(name if p == "rupees" else f"{name.removesuffix('_value')}_{p}") for p in PARTS]
+
 
-    An amendment applies to the criteria of its clause that have its type; several
-    amendments of one criterion apply in upload order.
+def _amended(criteria: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Criteria with the amendments of their clause, their order and the thresholds before and after.
+
+    An amendment applies to the criteria of its clause that have its type, or to all of the clause where none has
+    it. It replaces the whole threshold, whatever the type; one without a threshold leaves the one before.
     """
-    base = criteria.select("criterion_id", "tender_id", F.col("source_clause_ref").alias("clause_ref"), "criterion_type", "threshold_rupees")
-    rows = base.join(amendments, ["tender_id", "clause_ref", "criterion_type"])
+    base = criteria.select("criterion_id", "tender_id", F.col("source_clause_ref").alias("clause_ref"), F.col("criterion_type").alias("_own"), _threshold(criteria, "threshold").alias("_first"))
+    # At most one entry for each type.
+    kinds = base.groupBy("tender_id", "clause_ref").agg(F.collect_set("_own").alias("_kinds"))
+    given = _threshold(amendments, "amended")
+    stated = F.coalesce(*[given[p].cast("string") for p in PARTS]).isNotNull()
+    changes = amendments.select("tender_id", "clause_ref", "criterion_type", "corrigendum_id", "uploaded_at", "ord", "reason", F.when(stated, given).alias("_given"))
+    changes = changes.join(kinds, ["tender_id", "clause_ref"])
+    fits = F.col("_own").eqNullSafe(F.col("criterion_type")) | ~F.coalesce(F.array_contains("_kinds", F.col("criterion_type")), F.lit(False))
+    rows = base.join(changes, ["tender_id", "clause_ref"]).where(fits)
     order = W.partitionBy("criterion_id").orderBy("uploaded_at", "ord")
-    return rows.select(
-        "tender_id", "criterion_id", F.row_number().over(order).alias("seq"),
-        F.coalesce(F.lag("amended_rupees").over(order), F.col("threshold_rupees")).alias("original_value"),
-        F.col("amended_rupees").alias("amended_value"),
+    before = F.last("_given", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("_before", F.coalesce(before, F.col("_first")))
+    return rows.withColumn("_after", F.coalesce("_given", "_before"))
+
+
+def amendment_history(criteria: DataFrame, amendments: DataFrame) -> DataFrame:
+    """One row per applied amendment: the threshold before, the threshold after, where and why."""
+    return _amended(criteria, amendments).select(
+        "tender_id", "criterion_id", "seq", *_opened("_before", "original_value"), *_opened("_after", "amended_value"),
         F.concat(F.lit("Corrigendum doc "), F.col("corrigendum_id")).alias("corrigendum_ref"),
         F.coalesce("reason", F.lit("Corrigendum amendment")).alias("amendment_reason"),
     )
 
 
 def criterion_diff(criteria: DataFrame, history: DataFrame) -> DataFrame:
-    """First and last state of every criterion."""
+    """First and last threshold of every criterion."""
+    packed = lambda name: F.struct(*[F.col(name if p == "rupees" else f"{name.removesuffix('_value')}_{p}").alias(p) for p in PARTS])
     ends = history.groupBy("criterion_id").agg(
-        F.min_by("original_value", "seq").alias("original"),
-        F.max_by("amended_value", "seq").alias("amended"),
+        F.min_by(packed("original_value"), "seq").alias("_original"),
+        F.max_by(packed("amended_value"), "seq").alias("_amended"),
         F.max_by("corrigendum_ref", "seq").alias("corrigendum_ref"),
         F.count(F.lit(1)).alias("amendments"),
     )
-    out = criteria.select("criterion_id", "tender_id", "threshold_rupees").join(ends, "criterion_id", "left").na.fill(0, ["amendments"])
-    return out.withColumn("has_amendments", F.col("amendments") > 0).withColumn(
-        "original", F.when(F.col("has_amendments"), F.col("original")).otherwise(F.col("threshold_rupees"))
-    ).drop("threshold_rupees")
+    out = criteria.select("criterion_id", "tender_id", _threshold(criteria, "threshold").alias("_first")).join(ends, "criterion_id", "left").na.fill(0, ["amendments"])
+    out = out.withColumn("_original", F.coalesce("_original", "_first"))
+    return out.select(
+        "criterion_id", "tender_id", *_opened("_original", "original"), *_opened("_amended", "amended"), "corrigendum_ref", "amendments", (F.col("amendments") > 0).alias("has_amendments")
+    )
 
 
 def apply_corrigenda(criteria: DataFrame, amendments: DataFrame) -> DataFrame:
     """Criteria with the threshold of their last amendment."""
-    last = criterion_diff(criteria, amendment_history(criteria, amendments)).select("criterion_id", "amended", "amendments")
-    rows = criteria.join(last, "criterion_id")
-    return rows.withColumn("threshold_rupees", F.coalesce("amended", "threshold_rupees")).drop("amended")
+    ends = _amended(criteria, amendments).groupBy("criterion_id").agg(F.max_by("_after", "seq").alias("_last"), F.count(F.lit(1)).alias("amendments"))
+    rows = criteria.join(ends, "criterion_id", "left").na.fill(0, ["amendments"])
+    for p in PARTS:
+        if f"threshold_{p}" in criteria.columns:
+            value = F.when(F.col("amendments") > 0, F.col(f"_last.{p}")).otherwise(F.col(f"threshold_{p}"))
+            rows = rows.withColumn(f"threshold_{p}", value.cast(criteria.schema[f"threshold_{p}"].dataType))
+    return rows.drop("_last")
 
 
 def validate_amendment_targets(amendments: DataFrame, criteria: DataFrame) -> DataFrame:

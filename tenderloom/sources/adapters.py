@@ -230,6 +230,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_size % 2 = 0 THEN concat('4.', {_txt('p_size % 9 + 1')}) ELSE '9.9' END AS clause_ref,
                {_TYPE} AS criterion_type,
                cast(floor(p_retailprice) AS bigint) * 60 AS amended_rupees,
+               CASE WHEN p_partkey % 6 = 1 THEN CASE p_size % 3 WHEN 0 THEN 'iso 9001' WHEN 1 THEN 'udyam' ELSE 'pan card' END ELSE NULL END AS amended_document,
+               CASE WHEN p_partkey % 6 IN (2, 5) THEN p_size % 6 + 1 ELSE NULL END AS amended_count,
+               CASE WHEN p_partkey % 6 = 2 THEN concat({_txt('p_size % 5 + 2')}, ' years') ELSE NULL END AS amended_period,
                CASE WHEN p_partkey % 16 = 0 THEN 'Scope revised' ELSE NULL END AS reason,
                round(cast(p_size AS double) / 100, 6) AS confidence
         FROM {{part}}
@@ -238,7 +241,10 @@ VIEWS: dict[str, str] = {
                concat('C2-', {_txt('cast(floor(p_partkey * 3 / 4) AS bigint)')}) AS corrigendum_id,
                '2024-04-01T08:00:00Z' AS uploaded_at,
                p_partkey AS ord, concat('4.', {_txt('p_partkey % 9 + 1')}) AS clause_ref, {_TYPE} AS criterion_type,
-               cast(floor(p_retailprice) AS bigint) * 70 AS amended_rupees, 'Second notice' AS reason,
+               cast(floor(p_retailprice) AS bigint) * 70 AS amended_rupees,
+               CASE WHEN p_partkey % 6 = 1 THEN CASE p_size % 3 WHEN 0 THEN 'iso 9001' WHEN 1 THEN 'udyam' ELSE 'pan card' END ELSE NULL END AS amended_document,
+               CASE WHEN p_partkey % 6 IN (2, 5) THEN p_size % 6 + 1 ELSE NULL END AS amended_count,
+               CASE WHEN p_partkey % 6 = 2 THEN concat({_txt('p_size % 5 + 2')}, ' years') ELSE NULL END AS amended_period, 'Second notice' AS reason,
                cast(0.5 AS double) AS confidence
         FROM {{part}}""",
     # Letterhead page from the order, one project page per order line.

@@ -199,6 +199,24 @@ def test_replay_and_thresholds(spark):
     assert out == [(True, "PROCESSING_OCR"), (False, "PROCESSING_OCR"), (True, "OCR_COMPLETE")]
 
 
+def test_amendments_replace_whole_thresholds(spark):
+    """Clause 4.1 has an amount and a document, 4.2 a count; a type that a clause lacks meets all its criteria, nothing stated changes nothing."""
+    criteria = spark.createDataFrame(
+        [(1, 1, "4.1", "numeric_threshold", 100, None, None, None), (2, 1, "4.1", "categorical_presence", None, "pan card", None, None), (3, 1, "4.2", "temporal_recency", None, None, 3, "5 years"), (4, 1, "4.3", "composite", 5, None, None, None)],
+        "criterion_id int, tender_id int, source_clause_ref string, criterion_type string, threshold_rupees bigint, threshold_document string, threshold_count int, threshold_period string",
+    )
+    changes = spark.createDataFrame(
+        [(1, "c", "2024-01-02", 1, "4.1", "categorical_presence", None, "udyam", None, None, None), (1, "c", "2024-01-03", 1, "4.2", "numeric_threshold", 70, None, None, None, None),
+         (1, "c", "2024-01-01", 2, "4.2", "temporal_recency", None, None, 2, "3 years", None), (1, "c", "2024-01-04", 1, "4.2", None, None, None, None, None, "none stated"), (1, "c", "2024-01-01", 3, "9.9", "composite", 1, None, None, None, None)],
+        "tender_id int, corrigendum_id string, uploaded_at string, ord int, clause_ref string, criterion_type string, amended_rupees bigint, amended_document string, amended_count int, amended_period string, reason string",
+    )
+    names = ["threshold_rupees", "threshold_document", "threshold_count", "threshold_period", "amendments"]
+    got = {r["criterion_id"]: tuple(r[n] for n in names) for r in amend.apply_corrigenda(criteria, changes).collect()}
+    assert got == {1: (100, None, None, None, 0), 2: (None, "udyam", None, None, 1), 3: (70, None, None, None, 3), 4: (5, None, None, None, 0)}
+    steps = [(h["original_value"], h["original_count"], h["amended_value"], h["amended_count"], h["amended_period"]) for h in amend.amendment_history(criteria, changes).where("criterion_id = 3").orderBy("seq").collect()]
+    assert steps == [(None, 3, None, 2, "3 years"), (None, 2, 70, None, None), (70, None, 70, None, None)]
+
+
 @pytest.mark.parametrize("chunks", [None, 1, 5])
 def test_replay_equals_the_loop(spark, chunks):
     """One tender with most requests over many chunks and batches, others with few, unknown states and targets, nulls, ties."""
