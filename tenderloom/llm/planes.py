@@ -41,7 +41,7 @@ CHUNK_IDS = 65_536
 ROWS_A_RANGE = 2_000
 MAGIC = b"TLPL"
 #: Words that a task remembers, and words encoded at once; they bound its memory.
-REMEMBERED, AT_ONCE = 200_000, 16_000
+REMEMBERED, AT_ONCE = 400_000, 16_000
 #: Marks that end a word, after a letter.
 MARKED = re.compile(rb"[.,;:!?*&%$#|\"'()-](?<=[a-z].)[.,;:!?*&%$#|\"'()-]*(?![^\x20\x09-\x0D])")
 
