@@ -585,10 +585,12 @@ def approved_criteria(spark, d):
 
 
 _PATCHED = """pt AS (SELECT e.edit_id, e.criterion_id, c.tender_id, e.officer_id, CASE WHEN c.tender_id IS NULL THEN 'CRITERION_NOT_FOUND' WHEN coalesce(t.status, '') <> 'SCHEMA_PENDING_REVIEW' THEN 'NOT_IN_REVIEW'
-        WHEN e.criterion_text IS NULL AND e.criterion_type IS NULL AND e.threshold_rupees IS NULL AND e.is_mandatory IS NULL THEN 'NO_CHANGES'
+        WHEN e.criterion_text IS NULL AND e.criterion_type IS NULL AND e.threshold_rupees IS NULL AND e.is_mandatory IS NULL
+            AND e.gfr_override_permitted IS NULL AND e.measurement_period IS NULL THEN 'NO_CHANGES'
         WHEN e.criterion_type NOT IN ('numeric_threshold', 'categorical_presence', 'temporal_recency', 'composite', 'qualitative_assessment') THEN 'INVALID_TYPE' END AS code,
         coalesce(e.criterion_text, c.criterion_text) AS ntext, coalesce(e.criterion_type, c.criterion_type) AS ntype, coalesce(e.threshold_rupees, c.threshold_rupees) AS nrupees,
-        coalesce(e.is_mandatory, c.is_mandatory) AS nmand, c.criterion_text AS otext
+        coalesce(e.is_mandatory, c.is_mandatory) AS nmand, coalesce(e.gfr_override_permitted, c.gfr_override_permitted) AS ngfr,
+        coalesce(e.measurement_period, c.measurement_period) AS nperiod, c.criterion_text AS otext
     FROM edits e LEFT JOIN criteria c ON e.criterion_id = c.criterion_id LEFT JOIN tenders t ON t.tender_id = c.tender_id)"""
 
 
@@ -600,7 +602,8 @@ def patched(spark, d):
     "D6_patch_criteria",
     "edits criteria tenders",
     f"""WITH {_PATCHED} SELECT edit_id, criterion_id, officer_id, code, CASE WHEN code IS NULL THEN ntext END AS new_criterion_text, CASE WHEN code IS NULL THEN ntype END AS new_criterion_type,
-        CASE WHEN code IS NULL THEN nrupees END AS new_threshold_rupees, CASE WHEN code IS NULL THEN nmand END AS new_is_mandatory, CASE WHEN code IS NULL THEN 'reviewed' END AS new_status FROM pt""",
+        CASE WHEN code IS NULL THEN nrupees END AS new_threshold_rupees, CASE WHEN code IS NULL THEN nmand END AS new_is_mandatory,
+        CASE WHEN code IS NULL THEN ngfr END AS new_gfr_override_permitted, CASE WHEN code IS NULL THEN nperiod END AS new_measurement_period, CASE WHEN code IS NULL THEN 'reviewed' END AS new_status FROM pt""",
 )
 def patch_criteria(spark, d):
     return patched(spark, d).drop("tender_id", "old_criterion_text")

@@ -142,7 +142,7 @@ def approved_criteria(criteria: DataFrame, accepted: DataFrame) -> DataFrame:
     return criteria.join(ok, "tender_id").withColumn("status", F.lit("approved"))
 
 
-EDITABLE = ["criterion_text", "criterion_type", "threshold_rupees", "is_mandatory"]
+EDITABLE = ["criterion_text", "criterion_type", "threshold_rupees", "gfr_override_permitted", "is_mandatory", "measurement_period"]
 
 
 def patch_criteria(criteria: DataFrame, edits: DataFrame, tenders: DataFrame) -> DataFrame:

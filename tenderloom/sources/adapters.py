@@ -125,6 +125,7 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN 'iso 9001' WHEN 3 THEN 'udyam' ELSE 'cin' END ELSE NULL END AS threshold_document,
                CASE WHEN p_partkey % 6 = 2 THEN p_size % 4 + 1 ELSE NULL END AS threshold_count,
                CASE WHEN p_partkey % 6 = 2 THEN '5 years' ELSE NULL END AS threshold_period,
+               CASE WHEN p_partkey % 6 IN (0, 2) THEN concat('last ', {_txt('p_size % 5 + 2')}, ' years') ELSE NULL END AS measurement_period,
                p_size % 2 = 0 AS is_mandatory,
                p_size % 3 <> 0 AS gfr_override_permitted,
                CASE WHEN p_size % 3 = 0 THEN 'GFR Rule 173(i)' ELSE NULL END AS gfr_rule_number,
@@ -396,6 +397,8 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 5 WHEN 0 THEN 'composite' WHEN 1 THEN 'bogus_type' ELSE NULL END AS criterion_type,
                CASE p_partkey % 3 WHEN 0 THEN cast(p_size AS bigint) * 1000 ELSE NULL END AS threshold_rupees,
                CASE WHEN p_partkey % 7 = 0 THEN p_size % 2 = 0 ELSE NULL END AS is_mandatory,
+               CASE WHEN p_partkey % 11 = 0 THEN p_size % 3 = 0 ELSE NULL END AS gfr_override_permitted,
+               CASE WHEN p_partkey % 13 = 0 THEN concat('last ', {_txt('p_size % 4 + 1')}, ' financial years') ELSE NULL END AS measurement_period,
                concat('officer-', {_txt('p_size % 4')}) AS officer_id
         FROM {{part}}""",
     "approvals": f"""

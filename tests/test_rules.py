@@ -306,3 +306,19 @@ def test_two_decimals_round_the_decimal_text(spark):
     """Known difference: ties of the decimal text go to even, where C rounds the binary value."""
     got = spark.sql("SELECT 1.015D AS a, 1.035D AS b, 1.025D AS c").select(*(evaluate.two(F.col(k)) for k in "abc")).first()
     assert tuple(got) == ("1.02", "1.04", "1.02") and [f"{x:.2f}" for x in (1.015, 1.035, 1.025)] == ["1.01", "1.03", "1.02"]
+
+
+def test_every_editable_field(spark):
+    """An edit replaces the fields it names, a false flag included, and leaves the others; one without fields changes nothing."""
+    fields = "criterion_text string, criterion_type string, threshold_rupees long, gfr_override_permitted boolean, is_mandatory boolean, measurement_period string"
+    old = ("Turnover", "numeric_threshold", 500, True, True, "last 3 years")
+    criteria = spark.createDataFrame([(1, 7, *old), (2, 8, *old)], f"criterion_id long, tender_id long, {fields}")
+    tenders = spark.createDataFrame([(7, "SCHEMA_PENDING_REVIEW"), (8, "SCHEMA_APPROVED")], "tender_id long, status string")
+    values = ("Net worth", "composite", 900, False, False, "last 5 years")
+    edits = [(i, 1, "o", *(v if i == j else None for j, v in enumerate(values))) for i in range(7)] + [(7, 2, "o", *values), (8, 3, "o", *values)]
+    rows = amend.patch_criteria(criteria, spark.createDataFrame(edits, f"edit_id long, criterion_id long, officer_id string, {fields}"), tenders).collect()
+    got = {r.edit_id: (r.code, tuple(r[f"new_{c}"] for c in amend.EDITABLE)) for r in rows}
+    for i in range(6):
+        assert got[i] == (None, tuple(v if i == j else o for j, (v, o) in enumerate(zip(values, old))))
+    none = (None,) * 6
+    assert [got[i] for i in (6, 7, 8)] == [("NO_CHANGES", none), ("NOT_IN_REVIEW", none), ("CRITERION_NOT_FOUND", none)]
