@@ -130,6 +130,21 @@ def test_names_do_not_meet_on_trade_words(spark):
     assert 35 <= hits <= entity.similar_name_candidates(*frames).count() <= hits + 0.005 * len(left) * len(right)
 
 
+def test_names_meet_in_blocks(spark, monkeypatch):
+    """Names cut into many small blocks find the same pairs, also where blocks have none; meetings are counted inside a task."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    left = sorted({f"{word()} {word()} works" for _ in range(90)})
+    right = sorted({n.replace(rng.choice("abcdefgh"), "z", 1) for n in left[:60]} | {"ab", "\u00e9\U0001f3d7 works"})
+    frames = [spark.createDataFrame([(n,) for n in names + [None]], "name string") for names in (left, right)]
+    monkeypatch.setattr(entity, "LEFT_BLOCK", 7)
+    monkeypatch.setattr(entity, "RIGHT_BLOCK", 5)
+    found = entity.similar_names(*frames)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a in left for b in right if a != b and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert "CoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert entity.similar_names(*frames, 1.0).count() == 0
+
+
 def test_debarment_order_of_checks(spark):
     bidders = spark.createDataFrame(
         [(1, 1, "Alpha Steel Pvt Ltd", "P1"), (2, 1, "Alpha Steel Limited", None), (3, 1, "Alpa Steel Ltd", None), (4, 1, "Unrelated House", "P9")],
