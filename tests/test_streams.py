@@ -6,6 +6,7 @@ from pathlib import Path
 
 from test_rules import chain_model
 
+from tenderloom.catalog.search import ingest_stream
 from tenderloom.streaming import streams
 
 SCHEMA = "event_id bigint, tender_id bigint, event_type string, event_data string, actor string, ts_text string"
@@ -61,3 +62,15 @@ def test_ledger_stream_restarts(spark, tmp_path):
     assert len(list(Path(out, "ledger").glob("batch=*"))) == 7
     # The runs before batch 6 and the one it wrote; those are all that is left.
     assert {p.name for p in Path(out, "tails").iterdir()} == {f"{a}-{z}" for a, z in [*streams.tail_runs(6), *streams.tail_runs(7)]}
+
+
+def test_ingest_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    """A table may be one file or a folder of part files; both give the same uploads."""
+    rows = [(i, f"text {i % 12}", "en", f"s{i % 2}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    table.coalesce(1).write.parquet(str(tmp_path / "staged"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "documents.parquet").write_bytes(next((tmp_path / "staged").glob("*.parquet")).read_bytes())
+    table.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    found = [sorted(map(tuple, ingest_stream(spark, str(tmp_path / place)).collect())) for place in ("one", "many")]
+    assert found[0] == found[1] and found[0]
