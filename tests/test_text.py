@@ -119,6 +119,29 @@ def test_prose_projects_equal_the_one_piece_pattern(spark):
         assert [p["description"] for p in projects] == [w for w in want if w], text
 
 
+def test_prose_projects_of_a_file_of_many_pages(spark):
+    """The tails of a file are cut out once; each with the rest of the file behind it would be gigabytes here."""
+    page = "Supply order {} to depot - Rs. {}.5 Lakh completed 1997-0{}-11, 12,{}\n"
+    text = "".join(page.format(i, i % 50, i % 9 + 1, i % 10) for i in range(10_000))
+    (projects,) = many(spark, [text], B.prose_projects)
+    assert len(projects) == 10_000
+    assert [(p["amount"], p["completion_date"]) for p in projects[:3]] == [(50_000, "1997-01-11"), (150_000, "1997-02-11"), (250_000, "1997-03-11")]
+
+
+def test_project_tails_with_less_trial_are_the_same(spark):
+    """Tails whose date starts among the digits of the amount, and those without a date."""
+    texts = ["bridge at site - 12,10-05-2024", "bridge at site - 12.45-03-2024", "bridge at site: 2024-05-1", "supply of pipes | rs. 3 l. octopus, Sept  2021", "supply of pipes - 1.2.2020", "supply of pipes: 4 lac no date",
+             "supply of pipes - 5 crore" + " " * 61 + "May 2020", None, ""]
+    got = many(spark, texts, B.prose_projects)
+    for text, projects in zip(texts, got):
+        if text is None:
+            assert projects is None
+            continue
+        want = [(m.group(1).strip(" -:–|"), m.group(2)) for m in re.finditer(P.PROJECT_IN_PROSE, text)]
+        assert [p["description"] for p in projects] == [w for w, _ in want], text
+    assert len(got[0]) == len(got[1]) == 1 and got[5] == []
+
+
 def test_layout_equals_a_running_cursor(spark):
     random.seed(3)
     texts = [" ".join("w" * random.choice([1, 3, 9, 40, 150, 310]) for _ in range(random.randint(0, 60))) for _ in range(40)]
