@@ -15,8 +15,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return isolation.apply_rules(docs, isolation.fit_rules(docs, table(spark, sf_dir, "labels")))
+    counted = isolation.measured(table(spark, sf_dir, "documents"))
+    return isolation.judge_counts(counted, isolation.fit_counts(counted, table(spark, sf_dir, "labels")))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,26 @@ def test_rules_without_rows(spark):
     assert isolation.apply_rules(docs.limit(0), forest).count() == 0
 
 
+def test_rules_learn_from_all_labelled(spark):
+    """Limits and threshold are those of all good labelled texts, whatever number of rows the trees draw from."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "be", "Gamma,", "d1", "epsilon!"], int(rng.integers(20, 60)))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, counts int")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(400)], "doc_id long, quality int")
+    forest = isolation.fit_rules(docs, labels, tree_rows=60)
+    counts = isolation.statistics([t.encode() for t in texts], isolation.WordHashes())
+    good = isolation.ratios(counts[(np.arange(400) % 7 > 0) & ~isolation.base_failed(counts)])[:, : isolation.N_RULES]
+    assert np.array_equal([forest.low, forest.high], np.quantile(good, [isolation.LIMIT, 1 - isolation.LIMIT], axis=0))
+    assert np.allclose(forest.scale, good.std(0) + isolation.SPREAD)
+    assert forest.threshold == np.quantile(forest.score(good), 1 - isolation.GOOD_LOSS)
+
+
+def test_values_at_ranks(spark):
+    values = sorted([0.0, -0.0, 1.5, -2.25, 1e-300, -1e300, 7.0, 7.0, 1e300, 0.1])
+    rows = spark.createDataFrame([([v, float(i % 2)],) for i, v in enumerate(values)], "x array<double>")
+    assert isolation.values_at(rows, [(0, k) for k in range(10)] + [(1, 4), (1, 5)], 2) == [*values, 0.0, 1.0]
+
+
 def test_forest_prefers_rare_rows():
     rng = np.random.default_rng(1)
     x = np.zeros((500, isolation.N_RULES))
