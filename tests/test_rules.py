@@ -175,6 +175,42 @@ def test_greedy_merge_equals_the_loop(spark):
     assert {(r["document_id"], r["rule_no"], r["model_no"]) for r in branches.greedy_matches(pairs).collect()} == want
 
 
+def test_similar_pairs_and_matches_in_blocks(spark):
+    """Blocks give all pairs in the sums of ``dot``; matches without pairs are those of the pairs, with copies, nulls and other widths."""
+    rng = random.Random(4)
+    some = [[rng.choice([-1.0, -0.3, 0.1, 0.7]) for _ in range(3)] for _ in range(9)]
+    vec = lambda: rng.choice(some)
+    side = lambda n: [(d, i, vec()) for d in range(3) for i in range(n)] + [(0, 4, vec()), (0, 5, [0.5, 0.5]), (1, 6, [0.5, None, 1.0]), (1, 7, None), (None, 1, vec())]
+    rules, model = side(30), side(25) + [(2, None, some[0]), (1, 50, [float("nan"), 1.0, 1.0])]
+    schema = "document_id int, item_no bigint, embedding array<double>"
+    frames = [spark.createDataFrame(rows, schema) for rows in (rules, model)]
+    want = []
+    for d, i, r in rules:
+        for dd, j, m in model:
+            if d is not None and d == dd and r and m and len(r) == len(m) and None not in r + m:
+                total = 0.0
+                for x, y in zip(r, m):
+                    total += x * y
+                if not total < 0.1:
+                    want.append((d, i, j, repr(total)))
+    pairs = branches.similar_pairs(*frames, 0.1, block=7)
+    key = lambda row: tuple(map(str, row))
+    assert sorted(((r[0], r[1], r[2], repr(r[3])) for r in pairs.collect()), key=key) == sorted(want, key=key)
+    taken, rule, chosen = set(), None, []
+    for d, i, j, s in sorted(want, key=lambda w: (w[0], w[1], -float(w[3].replace("nan", "inf")), -1 if w[2] is None else w[2])):
+        if (d, i) != rule and (d, j) not in taken:
+            rule = d, i
+            taken |= {(d, j)} if j is not None else set()
+            chosen.append((d, i, j))
+    assert sorted(((r.document_id, r.rule_no, r.model_no) for r in branches.best_matches(*frames, 0.1).collect()), key=key) == sorted(chosen, key=key)
+    nobody = frames[0].union(spark.createDataFrame([(0, None, vec()), (1, None, vec())], schema))
+    got = branches.best_matches(nobody, frames[1], 0.1).select("document_id", "rule_no", "model_no")
+    old = branches.greedy_matches(branches.similar_pairs(nobody, frames[1], 0.1)).select("document_id", "rule_no", "model_no")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, old.collect()), key=key)
+    plan = branches.best_matches(*frames, 0.1)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_amendments_apply_in_upload_order(spark):
     criteria = spark.createDataFrame([(1, 1, "4.1", "numeric_threshold", 100), (2, 1, "4.2", "numeric_threshold", 7)], "criterion_id int, tender_id int, source_clause_ref string, criterion_type string, threshold_rupees bigint")
     changes = spark.createDataFrame(
