@@ -175,6 +175,27 @@ def test_greedy_merge_equals_the_loop(spark):
     assert {(r["document_id"], r["rule_no"], r["model_no"]) for r in branches.greedy_matches(pairs).collect()} == want
 
 
+def test_first_scores_of_rows():
+    import numpy as np
+
+    scores = np.random.default_rng(1).integers(0, 6, (50, 17)).astype(float)
+    for n in (1, 3, 17):
+        assert (retrieve._first(scores, n) == np.argsort(-scores, axis=1, kind="stable")[:, :n]).all()
+    scores[3, 4] = np.nan
+    assert (retrieve._first(scores, 3) == np.argsort(-scores, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_vector_search_queries_use_whole_blocks(spark, sf):
+    """A row is sent once to each block of the other side: I3 and I8 over small scopes make one block pair of a scope."""
+    from unittest import mock
+
+    from tenderloom.catalog import search
+
+    with mock.patch.object(search.I, "cosine_top_k", wraps=retrieve.cosine_top_k) as called:
+        search.cosine(spark, sf)
+    assert min(called.call_args.kwargs.get("block", 4096), called.call_args.kwargs.get("chunk", 1000)) >= 1000
+
+
 def test_similar_pairs_and_matches_in_blocks(spark):
     """Blocks give all pairs in the sums of ``dot``; matches without pairs are those of the pairs, with copies, nulls and other widths."""
     rng = random.Random(4)
