@@ -175,6 +175,64 @@ def test_greedy_merge_equals_the_loop(spark):
     assert {(r["document_id"], r["rule_no"], r["model_no"]) for r in branches.greedy_matches(pairs).collect()} == want
 
 
+def test_accepted_decisions_are_those_without_code(spark):
+    """Repeated and null ids, late and refused decisions: the accepted rows, without the rows that cannot be among them."""
+    from tenderloom.operators import review
+
+    rng = random.Random(6)
+    ids = [f"e{i}" for i in range(25)] + [None, "e1", "e2", "e3"]
+    cases = spark.createDataFrame(
+        [(e, 1, rng.choice([1, 2, 3, None]), rng.choice(["PASS", "FAIL"]), rng.choice(["pending_review", "pending_review", "resolved", None])) for e in ids],
+        "evaluation_id string, tender_id int, criterion_id int, verdict string, status string",
+    )
+    decisions = spark.createDataFrame(
+        [(rng.choice([*ids, "gone"]), f"d{i}", rng.choice(["confirm", "override", "maybe", None]), "o", rng.choice(["why", " ", None]), f"t{rng.randint(0, 9)}") for i in range(200)],
+        "evaluation_id string, decision_id string, decision string, officer_id string, reason string, decided_at string",
+    )
+    criteria = spark.createDataFrame([(1, True, True), (2, False, True), (3, None, None), (1, False, False)], "criterion_id int, gfr_override_permitted boolean, is_mandatory boolean")
+    whole = review.apply_decisions(cases, decisions, criteria).where("code is null")
+    key = lambda row: tuple(map(str, row))
+    accepted = review.accepted_decisions(cases, decisions, criteria)
+    assert accepted.count() > 10
+    assert sorted(map(tuple, accepted.collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+
+
+def test_decisions_move_only_rows_that_can_be_accepted(spark, sf):
+    from unittest import mock
+
+    from tenderloom.catalog import reporting
+
+    with mock.patch.object(reporting.J, "apply_decisions", wraps=reporting.J.apply_decisions) as called:
+        reporting.decisions_to_precedents(spark, sf)
+    cases, decisions, _ = called.call_args.args
+    assert cases.where("status <> 'pending_review'").count() == 0
+    assert decisions.where("decision = 'maybe' or (decision = 'override' and trim(coalesce(reason, '')) = '')").count() == 0
+
+
+def test_wide_rows_are_not_sorted_for_lookups(spark, sf):
+    """Evidence of H9 and cases of J2 meet criteria and bidders without a sort, so no task's memory grows with them."""
+    from tenderloom.catalog import evaluation, search
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in evaluation.explain(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        cards = search.review_card(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert cards.count("ShuffledHashJoin") >= 3
+        # Texts are dealt before their tokens are counted: no count of tokens in the task that scans them.
+        assert "partial_count" not in retrieve.postings(search.view(spark, sf, "precedents"))._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_weights_of_common_and_rare_tokens(spark):
+    known = spark.createDataFrame([(f"p{i}", f"all word{i % 7} word{i}", "", "d", "c") for i in range(60)] + [(None, "all", None, "d", "c")] * 2, "precedent_id string, criterion_text string, resolved_interpretation string, department string, tender_category string")
+    posted = retrieve.postings(known)
+    want = posted.join(retrieve.token_weights(posted, known).drop("df"), "token").select("precedent_id", "token", "f", "length", "idf")
+    for parts in (1, 20, 10_000):
+        got = retrieve.weighted_postings(posted, known, parts).select("precedent_id", "token", "f", "length", "idf")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_first_scores_of_rows():
     import numpy as np
 
