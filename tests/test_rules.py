@@ -233,6 +233,26 @@ def test_weights_of_common_and_rare_tokens(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_run_hash_of_moved_hashes_and_summary_of_repeated_keys(spark):
+    """Hashes computed before a move are those computed after it; tenders and keys may repeat or be null."""
+    rows = [(f"e{i % 9}" if i % 8 else None, i % 3 if i % 4 else None, i, i % 5, "PASS", 0.5, "r", "d", 1, None) for i in range(40)]
+    cases = spark.createDataFrame(rows, "evaluation_id string, tender_id int, bidder_id int, criterion_id int, verdict string, confidence double, route string, source_document_id string, source_page_number int, source_bbox string")
+    key = lambda row: tuple(map(str, row))
+    moved = repro.with_line_hash(cases)
+    assert moved.schema["_line_hash"].dataType.simpleString() == "binary" and len(moved.first()["_line_hash"]) == 32
+    assert sorted(map(tuple, repro.run_hash(moved).collect()), key=key) == sorted(map(tuple, repro.run_hash(cases).collect()), key=key)
+    lines = [r["h"] for r in cases.where("tender_id = 1").select(F.sha2(repro.case_line(), 256).alias("h")).collect()]
+    parts = {p: hashlib.sha256("".join(sorted(h for h in lines if h[:3] == p)).encode()).hexdigest() for p in {h[:3] for h in lines}}
+    want = hashlib.sha256("".join(parts[p] for p in sorted(parts)).encode()).hexdigest()
+    assert repro.run_hash(moved).where("tender_id = 1").first()["run_hash"] == want
+    diffs = spark.createDataFrame([("e1", "verdict"), ("e1", "route"), ("e2", "route"), (None, "missing"), ("gone", "missing")], "evaluation_id string, field string")
+    got = {tuple(r) for r in repro.rerun_summary(cases, diffs).collect()}
+    bad = {"e1": 2, "e2": 1}
+    tenders = {r[1] for r in rows}
+    mine = lambda t: [bad.get(r[0], 0) for r in rows if r[1] == t]
+    assert got == {(t, len(mine(t)), mine(t).count(0), sum(mine(t)), sum(mine(t)) == 0) for t in tenders}
+
+
 def test_first_scores_of_rows():
     import numpy as np
 
