@@ -472,3 +472,36 @@ def test_every_editable_field(spark):
         assert got[i] == (None, tuple(v if i == j else o for j, (v, o) in enumerate(zip(values, old))))
     none = (None,) * 6
     assert [got[i] for i in (6, 7, 8)] == [("NO_CHANGES", none), ("NOT_IN_REVIEW", none), ("CRITERION_NOT_FOUND", none)]
+
+
+def test_amounts_are_read_for_bidders_with_amount_cases_alone(spark):
+    keys = spark.createDataFrame([(i, i % 7) for i in range(3000)], "bidder_id long, tender_id long")
+    chosen = keys.where("bidder_id % 100 = 3").select("bidder_id")
+    kept = evidence.may_have(keys, chosen, "bidder_id")
+    left = {r["bidder_id"] for r in kept.collect()}
+    assert {i for i in range(3000) if i % 100 == 3} <= left and len(left) < 60  # none lost, few others
+    assert evidence.may_have(keys, chosen.where("bidder_id < 0"), "bidder_id").count() == 0
+    # The rows themselves are not shuffled, and a key of another type is not compared by its hash.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
+    assert evidence.may_have(keys, chosen.select(F.col("bidder_id").cast("int")), "bidder_id").count() == 3000
+
+
+def test_own_terms_and_usual_terms_of_amount_cases(spark):
+    docs = spark.createDataFrame(
+        [
+            ("d1", 1, 1, "certificate", "2024-01-01", "Paid up capital of Rs 4 crore.\nTurnover Rs 9 lakh", 0.9, 0.9, 1),
+            ("d2", 2, 2, "certificate", "2024-01-01", "Paid up capital of Rs 6 crore. Turnover Rs 8 lakh", 0.9, 0.9, 1),
+            ("d3", 1, 3, "certificate", "2024-01-01", "Paid up capital of Rs 5 crore", 0.9, 0.9, 1),
+        ],
+        "document_id string, tender_id int, bidder_id int, doc_type string, uploaded_at string, text string, mean_confidence double, confidence_sum double, confidence_pages int",
+    )
+    pairs = spark.createDataFrame(
+        [(1, 1, "A", 1, "capital", "numeric_threshold", "Paid up capital", None), (2, 2, "B", 2, "money", "numeric_threshold", "turnover", None), (1, 1, "A", 3, "x", "composite", None, None)],
+        "tender_id int, bidder_id int, company_name string, criterion_id int, criterion_text string, criterion_type string, threshold_label string, threshold_document string",
+    )
+    tables = spark.createDataFrame([(2, 2, "t2", "2024-01-01", 1, 0, 1, [" Turnover ", None, "Rs 7 lakh"]), (2, 9, "t9", "2024-01-01", 1, 0, 1, ["Turnover", "Rs 3 lakh"])], _ROWS)
+    found = {r["criterion_id"]: (r["best"]["numeric"]["amount"], r["best"]["document_id"]) for r in evidence.best_numeric(pairs, docs, None).collect()}
+    assert found == {1: (40_000_000, None), 2: (800_000, None)}
+    found = {r["criterion_id"]: (r["best"]["numeric"]["amount"], r["best"]["document_id"]) for r in evidence.best_numeric(pairs, docs, tables).collect()}
+    assert found == {1: (40_000_000, None), 2: (700_000, "t2")}

@@ -166,3 +166,42 @@ def test_unicode_spaces_are_read_as_blanks(spark):
     assert text == "Turnover: Rs. 5 Crore only\nFY 2023-24"
     amount = spark.createDataFrame([(text,)], "t string").select(B.numeric_value(F.col("t")).alias("n")).first()["n"]
     assert amount["amount"] == 50_000_000
+
+
+def test_preferred_amount_is_the_first_match_with_a_unit(spark):
+    # Python's (?i) also folds the long s and the like, which these texts have not.
+    currency, bare = re.compile(P.CURRENCY_AMOUNT), re.compile(P.UNIT_AMOUNT)
+    rng = random.Random(25)
+    parts = ["Rs.", "rs", "INR ", "\u20b9", " ", "\n", "12", "5,00", ",", ".5", "3.25", "crore", " lakh", "cr.", "l", "k", "mn", "FY 2023-24", "2022/23", "x", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", B.numeric_value(F.col("t")).alias("n")).collect()
+    got = {r["i"]: r["n"] for r in rows}
+    for i, t in enumerate(texts):
+        matches = list(currency.finditer(t))
+        m = next((m for m in matches if m.group(2)), matches[0] if matches else bare.search(t))
+        raw = m.group(1).replace(",", "") if m else ""
+        if not raw:
+            assert got[i] is None, t
+            continue
+        quality = (2 if m.group(2) else 1) if matches else 0
+        assert (got[i]["raw_value"], got[i]["unit"], got[i]["quality"]) == (float(raw), (m.group(2) or "rupees").lower(), quality), t
+        year = year_of(t[max(0, m.start() - 40) : m.end() + 40])
+        assert got[i]["fiscal_year"] == year, t
+
+
+def year_of(window):
+    for pattern in P.FISCAL_YEAR_PATTERNS:
+        if found := re.search(pattern, window):
+            years = re.split("[-–/]", re.sub(r"\s+", "", found.group(1)))
+            start, end = years[0], years[-1]
+            return f"{'20' + start if len(start) == 2 else start}-{end[2:] if len(end) == 4 else end}"
+    return None
+
+
+def test_chunks_and_blanks_as_cut_step_by_step(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice([".", "!", "?", " ", "\n", "\t", "\r", "\x01", "\x1c", "\xa0", "\u2003", "a", "7"]) for _ in range(rng.randint(0, 20))) for _ in range(400)]
+    steps = F.split(F.regexp_replace(F.regexp_replace("t", r"([.!?])\s+", "$1\x01"), r"\n+", "\x01"), "\x01", -1)
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    rows = rows.select(B.scope_chunks(F.col("t")).alias("a"), steps.alias("b"), M.plain_spaces(F.col("t")).alias("c"), F.translate("t", P.UNICODE_SPACES, " " * len(P.UNICODE_SPACES)).alias("d"))
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows.collect())
