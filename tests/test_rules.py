@@ -505,3 +505,10 @@ def test_own_terms_and_usual_terms_of_amount_cases(spark):
     assert found == {1: (40_000_000, None), 2: (800_000, None)}
     found = {r["criterion_id"]: (r["best"]["numeric"]["amount"], r["best"]["document_id"]) for r in evidence.best_numeric(pairs, docs, tables).collect()}
     assert found == {1: (40_000_000, None), 2: (700_000, "t2")}
+
+
+def test_files_are_assembled_once_for_amount_evidence(spark, sf):
+    from tenderloom.catalog import bids
+
+    plan = bids.numeric_evidence(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # every use of the files reads what was written
