@@ -130,6 +130,21 @@ def test_names_do_not_meet_on_trade_words(spark):
     assert 35 <= hits <= entity.similar_name_candidates(*frames).count() <= hits + 0.005 * len(left) * len(right)
 
 
+def test_names_with_equal_endings(spark):
+    """Two long trade words outweigh what tells names apart; still hardly a pair that is no hit goes on, and long names lose none."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    ends = lambda n: sorted({f"{word(7)} {word(7)} infrastructure corporation" for _ in range(n)})
+    left, right = ends(200), ends(200)
+    right += [n[:3] + n[5:] for n in left[:20]]
+    long = [f"{word(30)} {word(35)} works" for _ in range(12)]
+    left, right = left + long, right + [n[:k] + word(4) + n[k + 6 :] for n in long for k in (0, 25, 50)]
+    want = {(a, b) for a in left for b in right if a != b and 2 * SequenceMatcher(None, a, b).ratio() >= 1.7}
+    frames = [spark.createDataFrame([(n,) for n in own], "name string") for own in (left, right)]
+    got = [(r["a"], r["b"]) for r in entity.similar_name_candidates(*frames).collect()]
+    assert len(want) > 40 and want <= set(got) and len(got) <= len(want) + 0.002 * len(left) * len(right)
+
+
 def test_names_meet_in_blocks(spark, monkeypatch):
     """Names cut into many small blocks find the same pairs, also where blocks have none; meetings are counted inside a task."""
     rng = random.Random(11)
