@@ -142,6 +142,17 @@ def test_project_tails_with_less_trial_are_the_same(spark):
     assert len(got[0]) == len(got[1]) == 1 and got[5] == []
 
 
+def test_prose_projects_are_read_by_one_function(spark):
+    """A file is read once, without a pattern over it for each part of a tail; units do not carry over from a place that is no tail."""
+    text = "Turnover: Rs. 7.00 Crore." + " " * 70 + "\nSupply order 1 to depot: 45 completed 2001-07-17\nBridge at the site | 1,250.5 lakh in Sept 2019, 31-02-2020"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(B.prose_projects(F.col("text")).alias("p"))
+    want = [("Supply order 1 to depot", 45, "2001-07-17", 0.85), ("Bridge at the site", 125_050_000, "2019-09-01", 0.85)]
+    assert [r.p and [tuple(p) for p in r.p] for r in rows.collect()] == [want, None, []]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+    assert rows.select(F.explode("p")).count() == 2
+
+
 def test_layout_equals_a_running_cursor(spark):
     random.seed(3)
     texts = [" ".join("w" * random.choice([1, 3, 9, 40, 150, 310]) for _ in range(random.randint(0, 60))) for _ in range(40)]
