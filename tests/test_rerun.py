@@ -1,11 +1,15 @@
 """Wording cases from vectors and logged answers, and reruns with a log as it stood at a version."""
 
 import random
+from difflib import SequenceMatcher
+from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.catalog import bids
+from tenderloom.functions import patterns as P
 from tenderloom.operators import branches, qualitative
 from tenderloom.plans import evaluation as plans
 from tenderloom.sources import files
@@ -61,3 +65,26 @@ def test_rerun_changes_exactly_the_cases_of_new_answers(spark, sf):
     hit = {k[0] for k in differ}
     assert {r.tender_id for r in changed if not r.identical} == hit and all((r.original_hash == r.reproduced_hash) == (r.tender_id not in hit) for r in changed)
     assert sum(r.total - r.matches for r in changed) == len(differ)
+
+
+def test_rerun_screens_names_in_full(spark, sf, monkeypatch):
+    """Both runs compare names at the usual threshold, and the SQL finds the same similar names as the ratio."""
+    asked = []
+
+    def run(*tables, **options):
+        asked.append(options.get("name_threshold", P.NAME_MATCH_THRESHOLD))
+        return SimpleNamespace(cases=None)
+
+    monkeypatch.setattr(bids.plans, "evaluate_all", run)
+    monkeypatch.setattr(bids.plans, "reproduce_run", lambda run, then, now, keep: [run(then), run(now)])
+    bids.rerun(spark, sf, 1, 1)
+    assert asked == [P.NAME_MATCH_THRESHOLD] * 2
+    bidders = ["Alpha Beta Works", "Alpha Beta Infra Pvt. Ltd.", "Gamma Delta Traders", "abcabcabd", None]
+    listed = ["Alpha Betta Works", "Alpha Bta Infrastructure", "Gama Dlta Traders", "abcabdabc", "xyz"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE bidders AS SELECT unnest(?::VARCHAR[]) AS company_name", [bidders])
+    con.execute("CREATE TABLE debarment_list AS SELECT unnest(?::VARCHAR[]) AS entity_name", [listed])
+    got = set(con.execute(f"WITH RECURSIVE {bids._ALIKE} SELECT a, b FROM alike").fetchall())
+    name = lambda n: n.lower().replace(".", "").replace(" pvt ltd", "").replace(" infra", " infrastructure").replace("infrastructurestructure", "infrastructure")
+    pairs = {(name(a), name(b)) for a in bidders if a for b in listed}
+    assert got == {(a, b) for a, b in pairs if a != b and SequenceMatcher(None, a, b).ratio() >= P.NAME_MATCH_THRESHOLD} and len(got) >= 3
